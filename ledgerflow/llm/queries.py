@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import minhash_dedup
-from ledgerflow.llm.runtime import table
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from ledgerflow.llm import fingerprints, minhash_dedup, packing, token_output
+from ledgerflow.llm.runtime import table, table_path
+
+#: The vocabulary of the token queries; operators take any path.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +22,23 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_minhash_dedup,)}
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = table_path(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_BPE, end=0)
+    return token_output.with_crc32(token_output.read_tokens(spark, path))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = table_path(spark, "pieces")
+    packing.cut_pieces(table(spark, sf_dir, "documents"), BYTE_BPE, end=2).write.options(**token_output.FILE_OPTIONS).parquet(path)
+    pieces = token_output.with_crc32(spark.read.schema(packing.PIECES).parquet(path))
+    return packing.pack(pieces)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_output, op4_minhash_dedup, op7_best_fit_packing, op10_fingerprints)}
 
 ORACLE_SQL: dict[str, str] = {}
