@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import fingerprints, minhash_dedup, packing, token_output
+from ledgerflow.llm import embedding_dedup, fingerprints, minhash_dedup, packing, token_output, toxicity
 from ledgerflow.llm.runtime import table, table_path
 
 #: The vocabulary of the token queries; operators take any path.
@@ -18,6 +18,18 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, carry=["doc_id"])
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -35,10 +47,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_output, op4_minhash_dedup, op7_best_fit_packing, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_output, op3_toxicity, op4_minhash_dedup, op7_best_fit_packing, op9_embedding_dedup, op10_fingerprints)}
 
 ORACLE_SQL: dict[str, str] = {}
