@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import embedding_dedup, fingerprints, minhash_dedup, packing, token_output, toxicity
+from ledgerflow.llm import embedding_dedup, fingerprints, lm_scoring, minhash_dedup, packing, token_output, toxicity
 from ledgerflow.llm.runtime import table, table_path
 
 #: The vocabulary of the token queries; operators take any path.
@@ -47,6 +47,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -55,6 +59,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_output, op3_toxicity, op4_minhash_dedup, op7_best_fit_packing, op9_embedding_dedup, op10_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_output, op3_toxicity, op4_minhash_dedup, op7_best_fit_packing, op8_lm_scoring, op9_embedding_dedup, op10_fingerprints)}
 
 ORACLE_SQL: dict[str, str] = {}
