@@ -105,14 +105,15 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
 
     Two passes over the pieces: one counts lengths in shares (the driver receives at most capacity * SHARES counts), one
     numbers each share and looks the slots up.  Equal pieces, repeated rows included, get slots of their own; other
-    columns are carried along; an empty table stays empty.
+    columns are carried along (one that has the name of an added one is replaced); an empty table stays empty.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     share = F.pmod(F.xxhash64(*order), F.lit(SHARES)).cast("int")
-    dealt = pieces.withColumn("_share", share)
-    counted = dealt.groupBy("length", "_share").count().collect()
+    dealt = pieces.withColumn("_pack_share", share)
+    counted = dealt.groupBy("length", "_pack_share").count().collect()
     counts: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(SHARES, np.int64))
     for r in counted:
-        counts[r["length"]][r["_share"]] = r["count"]
+        counts[r["length"]][r["_pack_share"]] = r["count"]
     plan, _ = best_fit_plan({k: int(v.sum()) for k, v in counts.items()}, capacity)
     before = {k: np.cumsum(v) - v for k, v in counts.items()}
     shared = pieces.sparkSession.sparkContext.broadcast((plan, before))
@@ -122,7 +123,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
         slots, offsets = shared.value
         current, done = None, 0
         for batch in batches:
-            length, part = batch.column("length").to_numpy(), batch.column("_share").to_numpy()
+            length, part = batch.column("length").to_numpy(), batch.column("_pack_share").to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             bounds = group_bounds(length, part)
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -138,7 +139,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return dealt.repartition("length", "_share").sortWithinPartitions("length", "_share", *order).mapInArrow(place, schema)
+    return dealt.repartition("length", "_pack_share").sortWithinPartitions("length", "_pack_share", *order).mapInArrow(place, schema)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids array<int>"

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import embedding_dedup, fingerprints, lm_scoring, minhash_dedup, packing, token_output, toxicity
+from ledgerflow.llm import embedding_dedup, fingerprints, lm_scoring, minhash_dedup, packing, paragraph_dedup, sentencepiece_codec, suffix_dedup, token_output, toxicity
 from ledgerflow.llm.runtime import table, table_path
 
 #: The vocabulary of the token queries; operators take any path.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -34,19 +36,37 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trips(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = table_path(spark, "tokens")
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_BPE, end=0)
     return token_output.with_crc32(token_output.read_tokens(spark, path))
 
 
-def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans_by_document(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.duplicate_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Pieces of ``docs`` with their places in sequences of 1024 tokens: the pieces' ids are written once, then only
+    lengths and digests travel."""
     path = table_path(spark, "pieces")
-    packing.cut_pieces(table(spark, sf_dir, "documents"), BYTE_BPE, end=2).write.options(**token_output.FILE_OPTIONS).parquet(path)
+    packing.cut_pieces(docs, BYTE_BPE, end=2).write.options(**token_output.FILE_OPTIONS).parquet(path)
     pieces = token_output.with_crc32(spark.read.schema(packing.PIECES).parquet(path))
     return packing.pack(pieces)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
 
@@ -59,6 +79,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_output, op3_toxicity, op4_minhash_dedup, op7_best_fit_packing, op8_lm_scoring, op9_embedding_dedup, op10_fingerprints)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_token_output,
+        op3_toxicity,
+        op4_minhash_dedup,
+        op5_suffix_dedup,
+        op6_substring_dedup,
+        op7_best_fit_packing,
+        op8_lm_scoring,
+        op9_embedding_dedup,
+        op10_fingerprints,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -115,4 +115,5 @@ def membership_filter(ids: DataFrame, column: str) -> Callable[[np.ndarray], np.
 
 
 def filter_position(column):
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    """Ids and hashes alike are spread by their remainder, which numpy computes as well."""
+    return F.pmod(column, F.lit(FILTER_BITS))

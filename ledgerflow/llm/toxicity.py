@@ -117,6 +117,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
+def _guess(y: np.ndarray, per_text: np.ndarray, start: np.ndarray, text_word: np.ndarray, grams: np.ndarray, gram_at: np.ndarray, size_of: np.ndarray) -> np.ndarray:
+    """A first score of each passage: its highest word by the mean log odds of the word's n-grams over texts of either class."""
+    seen = np.zeros((2, BUCKETS))
+    for t in range(len(y)):
+        w = np.unique(text_word[start[per_text[t]] : start[per_text[t + 1]]])
+        if len(w):
+            n = size_of[w]
+            g = grams[np.repeat(gram_at[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            seen[int(y[t])][np.unique(g)] += 1
+    share = (seen + 0.5) / (np.array([(y == 0).sum(), (y == 1).sum()])[:, None] + 1)
+    word = _means(np.log(share[1] / share[0])[grams], gram_at)
+    return np.maximum.reduceat(word[text_word], start[:-1])
+
+
 def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     """Joint training of n-gram vectors and softmax by Adagrad; with fewer than two classes, the share of toxic rows."""
     y = np.array(labels, np.float32)
@@ -160,23 +174,24 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     def difference() -> np.ndarray:
         return vectors @ (softmax[1] - softmax[0])
 
+    first_guess = _guess(y, per_text, start, text_word, grams, gram_at, size_of)
     for epoch in range(EPOCHS):
         picked = []
-        if epoch < 2:  # before the model knows anything: passages at random
-            for _ in range(6):
-                picked.append(per_text[have] + (rng.random(len(have)) * passages[have]).astype(np.int64))
+        if epoch < 3:  # before the model knows anything
+            score = first_guess
         else:
             score = _means(_means(difference()[grams], gram_at)[text_word], start) + bias[1] - bias[0]
-            best = np.maximum.reduceat(score, per_text[:-1][have])
-            top = np.flatnonzero(score == np.repeat(best, passages[have]))
-            owner = np.searchsorted(per_text, top, side="right") - 1
-            picked.append(top[np.unique(owner, return_index=True)[1]])
-            clean = have[y[have] == 0]
-            picked += [per_text[clean] + (rng.random(len(clean)) * passages[clean]).astype(np.int64) for _ in range(2)]
+        best = np.maximum.reduceat(score, per_text[:-1][have])
+        top = np.flatnonzero(score == np.repeat(best, passages[have]))
+        owner = np.searchsorted(per_text, top, side="right") - 1
+        picked.append(top[np.unique(owner, return_index=True)[1]])
+        clean = have[y[have] == 0]
+        picked += [per_text[clean] + (rng.random(len(clean)) * passages[clean]).astype(np.int64) for _ in range(3)]
         chosen = rng.permutation(np.concatenate(picked))
         target = y[np.searchsorted(per_text, chosen, side="right") - 1]
-        for low in range(0, len(chosen), 256):
-            seg, t = chosen[low : low + 256], target[low : low + 256]
+        size = min(256, max(8, len(chosen) // 24))  # few examples still make enough steps
+        for low in range(0, len(chosen), size):
+            seg, t = chosen[low : low + size], target[low : low + size]
             n_words = start[seg + 1] - start[seg]
             w = text_word[np.repeat(start[seg], n_words) + np.arange(n_words.sum()) - np.repeat(np.cumsum(n_words) - n_words, n_words)]
             n_grams = size_of[w]
@@ -224,9 +239,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of ``docs`` (by default all) with ``toxicity`` from 0 to 1 of its ``text``; a null text is empty."""
+    """The columns ``carry`` of ``docs`` (by default all) with ``toxicity`` from 0 to 1 of its ``text``; a null text is
+    empty, a column that already has the name ``toxicity`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns if carry is None else carry
+    names = [n for n in (docs.columns if carry is None else carry) if n != "toxicity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
