@@ -1,0 +1 @@
+"""ledgerflow: analytics over financial ledgers as DataFrame and SQL expressions."""
