@@ -11,7 +11,7 @@ from ledgerflow.functions import classify, text, values
 from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.vocabulary import BANK_SIGNALS, CARD_SIGNALS, ISSUES, TAXONOMY, UNKNOWN_CURRENCIES
-from ledgerflow.operators import canonical, layout, memory, metrics, report, retrieval, validate
+from ledgerflow.operators import canonical, layout, memory, metrics, report, retrieval, statements, validate
 from ledgerflow.plans.adapters import BALANCE_SQL, COPIES_SQL, LEDGER_SQL, QUESTIONS, ledger, table, with_balance, with_copies
 from ledgerflow.sources.readers import web_pages
 
@@ -494,3 +494,59 @@ _add(
     "select cast(date_trunc('week', ts) as date) as week, event_type, cast(sum(cast(value as decimal(18,2))) as double) as value, count(*) as events from events group by 1, 2",
     base=False,
 )
+
+
+# statements, categories and answers
+_hits = lambda terms: " + ".join(f"max(case when contains(lower(description_raw), '{t}') then 1 else 0 end)" for t in terms)
+_add(
+    "card_flags",
+    _on_ledger(statements.card_flags),
+    f"select statement_id, said or (card >= 2 and card > bank) as is_card from (select statement_id, bool_or(statement_type = 'credit_card') as said, {_hits(statements.CARD_TERMS)} as card,"
+    f" {_hits(statements.BANK_TERMS)} as bank from ledger group by 1)",
+)
+_add(
+    "category_membership",
+    lambda spark, sf_dir: statements.category_membership(memory.classified(ledger(spark, sf_dir)).selectExpr("position", "rule_category as category", "rule_subcategory as subcategory")),
+    "select r.position, r.category, r.subcategory, m.n is not null as known, coalesce(list_contains(m.subs, r.subcategory), false) as fits, cast(coalesce(m.n, 0) as integer) as n_sub from"
+    f" (select position, {classify.rule_part(D, 'rule', 1)} as category, {classify.rule_part(D, 'rule', 2)} as subcategory from ({_RULED})) r left join (values "
+    + ", ".join(f"('{c}', {D.array(D.text(x) for x in subs)}, {len(subs)})" for c, subs in TAXONOMY.items())
+    + ") m(category, subs, n) on r.category = m.category",
+)
+_add(
+    "campaign_apply",
+    _on_ledger(
+        lambda rows: statements.apply_campaign(rows, memory.campaign(rows.filter("position % 50 = 0"), rows.filter("position % 500 = 0")), "Groceries").select("position", "category", "requires_review")
+    ),
+)
+_add(
+    "answers",
+    _on_ledger(statements.answers),
+    f"select unnest(['income', 'expenses', 'net', 'review']) as intent, unnest(['You received AED ' || {D.money('i')} || '.', 'You spent AED ' || {D.money('e')} || '.', 'Your net cash flow was AED ' || {D.money('i - e')} || '.',"
+    f" r || ' transactions are for review.']) as answer from (select {total(CREDIT)} as i, {total('direction = ' + repr('debit'))} as e, count(*) filter (requires_review) as r from ledger)",
+)
+
+
+def _summary_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of labels and amounts per customer."""
+    amount = lambda e: f"format_number({e}, 2)"
+    text = (
+        f"concat_ws('\n', 'ACCOUNT SUMMARY', concat('Opening Balance ', {amount('abs(c_acctbal)')}, ' CR'), 'Card Limit', {amount('10000.0D')}, concat('Available Limit: AED ', {amount('abs(c_acctbal)')}),"
+        f" concat('Total Payment Due ', {amount('c_custkey * 1.0D')}), concat('balance ', {amount('abs(c_acctbal) + 1')}, ' CR'), 'GRAND TOTAL', concat('x ', {amount('9.0D')}, ' CR'))"
+    )
+    return table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as doc_id", "1 as page_number", f"{text} as text")
+
+
+_add(
+    "statement_balances",
+    lambda spark, sf_dir: statements.bank_balances(_summary_pages(spark, sf_dir)).selectExpr("doc_id", "cast(opening_balance as double) as opening_balance", "cast(closing_balance as double) as closing_balance"),
+    "select cast(c_custkey as varchar) as doc_id, cast(cast(abs(c_acctbal) as decimal(18,2)) as double) as opening_balance, cast(cast(abs(c_acctbal) as decimal(18,2)) + 1 as double) as closing_balance from customer",
+    base=False,
+)
+_add(
+    "card_summary",
+    lambda spark, sf_dir: statements.card_summary(_summary_pages(spark, sf_dir)).selectExpr(
+        "doc_id", "cast(card_limit as double) as card_limit", "cast(available_limit as double) as available_limit", "cast(total_payment_due as double) as total_payment_due"
+    ),
+    "select cast(c_custkey as varchar) as doc_id, 10000.0::double as card_limit, cast(cast(abs(c_acctbal) as decimal(18,2)) as double) as available_limit, c_custkey::double as total_payment_due from customer",
+    base=False,
+)
