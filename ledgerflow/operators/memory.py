@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ledgerflow.functions import classify, text
 from ledgerflow.functions.dialect import SPARK as S
@@ -59,7 +60,7 @@ def add_categories(known: DataFrame, added: DataFrame) -> DataFrame:
     return known.unionByName(added.dropDuplicates(["name"]).join(known, "name", "left_anti").select("name", "subcategory"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity of two texts; there is no built-in of it, so it only ever sees distinct names."""
     for a, b in pairs:

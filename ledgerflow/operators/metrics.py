@@ -8,7 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CREDIT, DEBIT = F.expr("direction = 'credit'"), F.expr("direction = 'debit'")
+def credit() -> Column:
+    return F.expr("direction = 'credit'")
+
+
+def debit() -> Column:
+    return F.expr("direction = 'debit'")
 
 
 def amount() -> Column:
@@ -27,16 +32,20 @@ def merchant_name(missing: str = "Unknown merchant") -> Column:
     return F.coalesce(F.expr("nullif(trim(merchant), '')"), F.expr("nullif(trim(description_raw), '')"), F.lit(missing))
 
 
-_SPENT = F.expr("direction = 'debit' and transaction_type <> 'transfer'")
-_EARNED = F.expr("direction = 'credit' and transaction_type not in ('transfer', 'payment', 'refund')")
+def spent() -> Column:
+    return F.expr("direction = 'debit' and transaction_type <> 'transfer'")
+
+
+def earned() -> Column:
+    return F.expr("direction = 'credit' and transaction_type not in ('transfer', 'payment', 'refund')")
 
 
 def analyzer_summary(ledger: DataFrame) -> DataFrame:
     """Income, expenses, transfers, refunds, net and count; income leaves out transfers, payments and refunds (AG1-6, AG10)."""
     signed = F.col("original_amount")
     out = ledger.agg(
-        total(_EARNED, signed).alias("income"),
-        total(_SPENT, signed).alias("expenses"),
+        total(earned(), signed).alias("income"),
+        total(spent(), signed).alias("expenses"),
         total(F.expr("transaction_type = 'transfer'"), signed).alias("transfers"),
         total(F.expr("transaction_type = 'refund'"), signed).alias("refunds"),
         F.count(F.lit(1)).alias("transactions"),
@@ -51,8 +60,8 @@ def dashboard_totals(ledger: DataFrame) -> DataFrame:
         F.bool_or(F.expr("statement_type = 'credit_card'")).alias("card"),
         total(F.expr("transaction_type in ('refund', 'cashback')")).alias("card_income"),
         total(F.expr("transaction_type = 'purchase'")).alias("card_expenses"),
-        total(F.coalesce(CREDIT, F.lit(False))).alias("bank_income"),
-        total(~F.coalesce(CREDIT, F.lit(False))).alias("bank_expenses"),
+        total(F.coalesce(credit(), F.lit(False))).alias("bank_income"),
+        total(~F.coalesce(credit(), F.lit(False))).alias("bank_expenses"),
     )
     pick = lambda what: F.when(F.col("card"), F.col(f"card_{what}")).otherwise(F.col(f"bank_{what}"))
     out = both.select("statement_id", "card", pick("income").alias("income"), pick("expenses").alias("expenses"))
@@ -62,8 +71,8 @@ def dashboard_totals(ledger: DataFrame) -> DataFrame:
 def retrieval_totals(ledger: DataFrame) -> DataFrame:
     """Every credit against every debit (AG18)."""
     return ledger.agg(
-        total(CREDIT).alias("income"),
-        total(DEBIT).alias("expenses"),
+        total(credit()).alias("income"),
+        total(debit()).alias("expenses"),
         F.count_if("requires_review").alias("to_review"),
         F.min("transaction_date").alias("first_date"),
         F.max("transaction_date").alias("last_date"),
@@ -72,14 +81,14 @@ def retrieval_totals(ledger: DataFrame) -> DataFrame:
 
 def report_totals(ledger: DataFrame) -> DataFrame:
     """Credits against everything that is no credit (RP1)."""
-    credit = F.coalesce(CREDIT, F.lit(False))
-    out = ledger.agg(total(credit).alias("income"), total(~credit).alias("expenses"))
+    received = F.coalesce(credit(), F.lit(False))
+    out = ledger.agg(total(received).alias("income"), total(~received).alias("expenses"))
     return out.withColumn("net", F.round(F.col("income") - F.col("expenses"), 2))
 
 
 def spending_by(ledger: DataFrame, name: Column, alias: str, limit: int | None = None) -> DataFrame:
     """Spending (debits but transfers) by a name, largest first, ties by first position (AG7, AG8, TK1, TK2)."""
-    out = ledger.filter(_SPENT).groupBy(name.alias(alias)).agg(F.sum("original_amount").cast("double").alias("spent"), F.min("position").alias("first_position"))
+    out = ledger.filter(spent()).groupBy(name.alias(alias)).agg(F.sum("original_amount").cast("double").alias("spent"), F.min("position").alias("first_position"))
     if limit:
         out = out.filter("spent is not null").orderBy(F.desc("spent"), "first_position").limit(limit)
     return out
@@ -87,16 +96,16 @@ def spending_by(ledger: DataFrame, name: Column, alias: str, limit: int | None =
 
 def monthly_summary(ledger: DataFrame) -> DataFrame:
     """Income, expenses and net by month; a month whose rows are all left out is absent (AG9)."""
-    kept = ledger.filter(F.col("transaction_date").isNotNull() & (_SPENT | _EARNED))
+    kept = ledger.filter(F.col("transaction_date").isNotNull() & (spent() | earned()))
     out = kept.groupBy(F.date_format("transaction_date", "yyyy-MM").alias("month")).agg(
-        total(_EARNED, F.col("original_amount")).alias("income"), total(_SPENT, F.col("original_amount")).alias("expenses")
+        total(earned(), F.col("original_amount")).alias("income"), total(spent(), F.col("original_amount")).alias("expenses")
     )
     return out.withColumn("net", F.round(F.col("income") - F.col("expenses"), 2))
 
 
 def by_category(ledger: DataFrame) -> DataFrame:
     """Debits by category: total, count, average, share of all debits in percent (AG12, AG19, AG24, AG29)."""
-    groups = ledger.filter(DEBIT).groupBy(category_name("Uncategorized").alias("category")).agg(F.sum(amount()).alias("s"), F.count(F.lit(1)).alias("transactions"))
+    groups = ledger.filter(debit()).groupBy(category_name("Uncategorized").alias("category")).agg(F.sum(amount()).alias("s"), F.count(F.lit(1)).alias("transactions"))
     whole = F.sum("s").over(Window.partitionBy())  # one row per category by now
     return groups.select(
         "category",
@@ -109,7 +118,7 @@ def by_category(ledger: DataFrame) -> DataFrame:
 
 def merchants_of_categories(ledger: DataFrame) -> DataFrame:
     """Debits by category and merchant with the share of the category in percent (AG22)."""
-    groups = ledger.filter(DEBIT).groupBy(category_name("Uncategorized").alias("category"), merchant_name().alias("name")).agg(
+    groups = ledger.filter(debit()).groupBy(category_name("Uncategorized").alias("category"), merchant_name().alias("name")).agg(
         F.sum(amount()).alias("s"), F.count(F.lit(1)).alias("transactions")
     )
     whole = F.sum("s").over(Window.partitionBy("category")).cast("double")
@@ -118,7 +127,7 @@ def merchants_of_categories(ledger: DataFrame) -> DataFrame:
 
 def top_merchants_and_others(ledger: DataFrame, top: int = 5) -> DataFrame:
     """The largest merchants of each category and one row for all others (AG23)."""
-    groups = ledger.filter(DEBIT).groupBy(category_name("Uncategorized").alias("category"), merchant_name().alias("name")).agg(F.sum(amount()).alias("s"))
+    groups = ledger.filter(debit()).groupBy(category_name("Uncategorized").alias("category"), merchant_name().alias("name")).agg(F.sum(amount()).alias("s"))
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("s"), "name"))
     named = groups.withColumn("name", F.when(rank <= top, F.col("name")).otherwise(F.lit("Others")))
     return named.groupBy("category", "name").agg(F.sum("s").cast("double").alias("spent"), F.count(F.lit(1)).alias("merchants"))
@@ -126,7 +135,7 @@ def top_merchants_and_others(ledger: DataFrame, top: int = 5) -> DataFrame:
 
 def monthly_by_category(ledger: DataFrame, last: int = 6) -> DataFrame:
     """Debits by category and month, the last months of each category (AG25)."""
-    groups = ledger.filter(DEBIT & F.col("transaction_date").isNotNull()).groupBy(
+    groups = ledger.filter(debit() & F.col("transaction_date").isNotNull()).groupBy(
         category_name("Uncategorized").alias("category"), F.trunc("transaction_date", "month").alias("month")
     )
     out = groups.agg(F.sum(amount()).cast("double").alias("spent"), F.count(F.lit(1)).alias("transactions"))
@@ -136,7 +145,7 @@ def monthly_by_category(ledger: DataFrame, last: int = 6) -> DataFrame:
 def weekly_flow(ledger: DataFrame, last: int | None = None) -> DataFrame:
     """Received, spent and net by week from Monday (AG26-28, JN8): conditional sums, so both sides meet without a join."""
     week = F.date_trunc("week", "transaction_date").cast("date").alias("week")
-    out = ledger.filter("transaction_date is not null").groupBy(week).agg(total(CREDIT).alias("received"), total(~F.coalesce(CREDIT, F.lit(False))).alias("spent"))
+    out = ledger.filter("transaction_date is not null").groupBy(week).agg(total(credit()).alias("received"), total(~F.coalesce(credit(), F.lit(False))).alias("spent"))
     out = out.withColumn("net", F.round(F.col("received") - F.col("spent"), 2))
     return out.orderBy(F.desc("week")).limit(last) if last else out
 
@@ -150,7 +159,7 @@ def repeated_merchants(ledger: DataFrame, limit: int = 8) -> DataFrame:
 def insights(ledger: DataFrame) -> DataFrame:
     """Coverage of categories in percent and the largest and smallest category of debits (AG13, AG31)."""
     covered = ~F.lower(F.trim(F.coalesce("category", F.lit("")))).isin("", "unknown", "uncategorized", "other", "none", "null")
-    groups = ledger.filter(DEBIT).groupBy(category_name("Uncategorized").alias("category")).agg(
+    groups = ledger.filter(debit()).groupBy(category_name("Uncategorized").alias("category")).agg(
         F.sum(amount()).alias("s"), F.count(F.lit(1)).alias("n"), F.count_if(covered).alias("c")
     )
     known = ~F.lower("category").isin("unknown", "uncategorized", "other", "none", "null")
@@ -176,19 +185,19 @@ def modal_currency(ledger: DataFrame) -> DataFrame:
 
 def largest(ledger: DataFrame, limit: int = 10, debits: bool = False) -> DataFrame:
     """The largest transactions by absolute amount, ties by position (AG35, TK3, TK6)."""
-    rows = ledger.filter(DEBIT) if debits else ledger
+    rows = ledger.filter(debit()) if debits else ledger
     return rows.select("position", "statement_id", "transaction_date", amount().cast("double").alias("amount")).orderBy(F.desc("amount"), "position").limit(limit)
 
 
 def smallest(ledger: DataFrame, limit: int = 5) -> DataFrame:
     """The smallest debits above zero (TK4)."""
-    rows = ledger.filter(DEBIT).select("position", "statement_id", amount().cast("double").alias("amount")).filter("amount > 0")
+    rows = ledger.filter(debit()).select("position", "statement_id", amount().cast("double").alias("amount")).filter("amount > 0")
     return rows.orderBy("amount", "position").limit(limit)
 
 
 def smallest_merchant(ledger: DataFrame) -> DataFrame:
     """Per category, the merchant of the smallest positive total (TK10)."""
-    totals = ledger.filter(DEBIT).groupBy(category_name("Uncategorized").alias("category"), merchant_name().alias("name")).agg(F.sum(amount()).alias("s")).filter("s > 0")
+    totals = ledger.filter(debit()).groupBy(category_name("Uncategorized").alias("category"), merchant_name().alias("name")).agg(F.sum(amount()).alias("s")).filter("s > 0")
     best = F.min(F.struct("s", "name"))
     return totals.groupBy("category").agg(best["name"].alias("name"), best["s"].cast("double").alias("spent"))
 
@@ -201,7 +210,7 @@ def category_distribution(ledger: DataFrame) -> DataFrame:
 def featured_categories(ledger: DataFrame, preferred: list[str], limit: int = 6) -> DataFrame:
     """Preferred categories first, in their order, then the others by amount (AG21)."""
     place = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col("category"))
-    groups = ledger.filter(DEBIT).groupBy(category_name("Uncategorized").alias("category")).agg(F.sum(amount()).cast("double").alias("spent"))
+    groups = ledger.filter(debit()).groupBy(category_name("Uncategorized").alias("category")).agg(F.sum(amount()).cast("double").alias("spent"))
     shown = groups.filter(~F.lower("category").isin("uncategorized", "other")).withColumn("place", F.when(place > 0, place).otherwise(F.lit(len(preferred) + 1)))
     return shown.orderBy("place", F.desc("spent"), "category").limit(limit).drop("place")
 

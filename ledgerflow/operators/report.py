@@ -19,7 +19,7 @@ def overview_export(ledger: DataFrame, currency: str = "AED") -> DataFrame:
 
 def merchant_concentration(ledger: DataFrame, limit: int = 12) -> DataFrame:
     """The largest merchants with their share of all that is no credit, in percent (RP4)."""
-    rows = ledger.filter(~F.coalesce(metrics.CREDIT, F.lit(False)))
+    rows = ledger.filter(~F.coalesce(metrics.credit(), F.lit(False)))
     groups = rows.groupBy(metrics.merchant_name().alias("name")).agg(F.sum(metrics.amount()).alias("s"), F.count(F.lit(1)).alias("transactions"))
     total = rows.agg(F.sum(metrics.amount()).cast("double").alias("t"))
     top = groups.orderBy(F.desc("s"), "name").limit(limit)

@@ -95,12 +95,12 @@ def find_merchants(ledger: DataFrame, questions: DataFrame) -> DataFrame:
 def merchants(ledger: DataFrame) -> DataFrame:
     """Debit totals and counts by merchant, by description where there is none (AG16)."""
     name = F.expr(text.cleaned(S, "coalesce(nullif(trim(merchant), ''), description_raw)")).alias("name")
-    return ledger.filter(metrics.DEBIT).groupBy(name).agg(F.sum(metrics.amount()).cast("double").alias("spent"), F.count(F.lit(1)).alias("transactions"))
+    return ledger.filter(metrics.debit()).groupBy(name).agg(F.sum(metrics.amount()).cast("double").alias("spent"), F.count(F.lit(1)).alias("transactions"))
 
 
 def categories(ledger: DataFrame) -> DataFrame:
     """Debit totals, counts and mean confidence by inferred category (AG17)."""
-    rows = inferred_categories(ledger).filter(metrics.DEBIT & F.col("i_category").isNotNull())
+    rows = inferred_categories(ledger).filter(metrics.debit() & F.col("i_category").isNotNull())
     return rows.groupBy(F.col("i_category").alias("category")).agg(
         F.sum(metrics.amount()).cast("double").alias("spent"), F.count(F.lit(1)).alias("transactions"), F.round(F.avg(F.col("i_confidence").cast("decimal(6,4)").cast("double")), 2).alias("confidence")
     )

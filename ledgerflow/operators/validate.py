@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ledgerflow.functions.vocabulary import ISSUES, UNKNOWN_CURRENCIES
 
-_ORDER = Window.partitionBy("statement_id").orderBy("position")
+def _order() -> WindowSpec:
+    return Window.partitionBy("statement_id").orderBy("position")
 
 
 def duplicate_key() -> Column:
@@ -26,7 +28,7 @@ def duplicates(ledger: DataFrame) -> DataFrame:
 def balance_mismatch(ledger: DataFrame) -> DataFrame:
     """Add ``mismatch``: the printed balance is not the previous one moved by the amount, within 0.01 (WN1)."""
     signed = F.expr("case when direction = 'debit' then -abs(original_amount) when direction = 'credit' then abs(original_amount) end")
-    off = F.abs(F.col("running_balance") - (F.lag("running_balance").over(_ORDER) + signed)) > F.lit(0.01).cast("decimal(18,2)")
+    off = F.abs(F.col("running_balance") - (F.lag("running_balance").over(_order()) + signed)) > F.lit(0.01).cast("decimal(18,2)")
     return ledger.withColumn("mismatch", F.coalesce(off, F.lit(False)))
 
 
@@ -90,7 +92,7 @@ def reconciliation(ledger: DataFrame, opening: float = 0.0) -> DataFrame:
 def derived_balance(ledger: DataFrame, opening: float = 0.0) -> DataFrame:
     """A running balance from the opening one and the movements, where none is printed (WN5)."""
     signed = F.expr("coalesce(case when direction = 'credit' then abs(original_amount) else -abs(original_amount) end, 0)")
-    running = F.sum(signed).over(_ORDER.rowsBetween(Window.unboundedPreceding, 0)) + F.lit(opening).cast("decimal(18,2)")
+    running = F.sum(signed).over(_order().rowsBetween(Window.unboundedPreceding, 0)) + F.lit(opening).cast("decimal(18,2)")
     return ledger.withColumn("derived_balance", running.cast("decimal(18,2)"))
 
 

@@ -74,11 +74,11 @@ _add("income_expense_report", _on_ledger(metrics.report_totals), f"select *, rou
 
 # breakdowns
 for key, column, alias, missing in (("spending_by_category", "category", "category", "Other"), ("spending_by_merchant", "merchant", "merchant", "Unknown")):
-    named = F.coalesce(F.expr(f"nullif({column}, '')"), F.lit(missing))
+    named = f"coalesce(nullif({column}, ''), '{missing}')"
     sql = f"select coalesce(nullif({column}, ''), '{missing}') as {alias}, cast(sum(original_amount) as double) as spent, min(position) as first_position from ledger where {SPENT} group by 1"
-    _add(key, _on_ledger(lambda rows, n=named, a=alias: metrics.spending_by(rows, n, a)), sql)
+    _add(key, _on_ledger(lambda rows, n=named, a=alias: metrics.spending_by(rows, F.expr(n), a)), sql)
     top = "top_categories" if column == "category" else "top_merchants"
-    _add(top, _on_ledger(lambda rows, n=named, a=alias: metrics.spending_by(rows, n, a, 10)), f"select * from ({sql}) where spent is not null order by spent desc, first_position limit 10")
+    _add(top, _on_ledger(lambda rows, n=named, a=alias: metrics.spending_by(rows, F.expr(n), a, 10)), f"select * from ({sql}) where spent is not null order by spent desc, first_position limit 10")
 _add(
     "monthly_summary",
     _on_ledger(metrics.monthly_summary),
