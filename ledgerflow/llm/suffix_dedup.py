@@ -87,20 +87,28 @@ def kept_suffixes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept suffixes of each text.  Those that look alike with all their neighbours are one row with all their positions, so
+    a text that repeats a few words for long has few rows."""
     width = 4 * SIDE + 2
+    weight = words.mix(np.arange(2 * SIDE + 3, dtype=_U) + _U(5)) | _U(1)
     for batch in batches:
         for i, _, text, position, key, near, room in kept_suffixes(batch.column("text")):
-            take = pa.array(text + i)
-            raw = np.concatenate([near.view(np.uint8).reshape(len(key), -1), room.view(np.uint8)], axis=1)
-            places = pa.array(np.arange(len(key) + 1, dtype=np.int32) * width)
-            around = pa.Array.from_buffers(pa.binary(), len(key), [None, places.buffers()[1], pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+            look = words.mix((near.astype(_U) * weight[: 2 * SIDE]).sum(1, dtype=_U) + key * weight[2 * SIDE] + (room.astype(_U) * weight[2 * SIDE + 1 :]).sum(1, dtype=_U))
+            order = np.lexsort((position, look, text))
+            cuts = group_bounds(text[order], look[order])
+            first = order[cuts[:-1]]
+            take = pa.array(text[first] + i)
+            raw = np.concatenate([near[first].view(np.uint8).reshape(len(first), -1), room[first].view(np.uint8)], axis=1)
+            places = pa.array(np.arange(len(first) + 1, dtype=np.int32) * width)
+            around = pa.Array.from_buffers(pa.binary(), len(first), [None, places.buffers()[1], pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+            positions = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(position[order]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), batch.column("place").take(take), batch.column("row").take(take), pa.array(position), around], ["key", "place", "row", "position", "around"]
+                [pa.array(key[first].view(np.int64)), batch.column("place").take(take), batch.column("row").take(take), positions, around], ["key", "place", "row", "positions", "around"]
             )
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated stretches (row, start, end, source) of a stream sorted by (key, place, row, position)."""
+    """Repeated stretches (row, start, end, source) of a stream sorted by (key, place, row)."""
     for rows in rows_by_key(batches, ["key"]):
         rows = rows.combine_chunks()
         key, place = rows.column("key").to_numpy(), rows.column("place").to_numpy()
@@ -117,7 +125,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extend(rows: pa.Table) -> pa.RecordBatch | None:
     rows = rows.combine_chunks()
-    key, place, row, position = (rows.column(c).to_numpy() for c in ("key", "place", "row", "position"))
+    key, place, row = (rows.column(c).to_numpy() for c in ("key", "place", "row"))
     raw = np.frombuffer(b"".join(rows.column("around").to_pylist()), np.uint8).reshape(len(key), -1)
     near = np.ascontiguousarray(raw[:, : 4 * SIDE]).view(np.uint16).astype(_U)
     room = raw[:, 4 * SIDE :].view(np.int8).astype(np.int64)
@@ -147,8 +155,19 @@ def _extend(rows: pa.Table) -> pa.RecordBatch | None:
     if not len(which):
         return None
     out = np.minimum.reduceat(np.append(source.ravel(), 0), np.stack([which * (SIDE + 1) + first, which * (SIDE + 1) + last], 1).ravel())[::2]
+    lists = rows.column("positions").chunk(0)
+    at, position = lists.offsets.to_numpy(), lists.values.to_numpy()
+    size = np.diff(at)[which]
+    each = np.repeat(np.arange(len(which)), size)
+    position = position[np.repeat(at[:-1][which] - np.cumsum(size) + size, size) + np.arange(size.sum())]
     return pa.RecordBatch.from_arrays(
-        [pa.array(row[which]), pa.array((position[which] - last + 1).astype(np.int32)), pa.array((position[which] - first + PASSAGE).astype(np.int32)), pa.array(out)], ["row", "start", "end", "source"]
+        [
+            pa.array(row[which][each]),
+            pa.array((position - last[each] + 1).astype(np.int32)),
+            pa.array((position - first[each] + PASSAGE).astype(np.int32)),
+            pa.array(out[each]),
+        ],
+        ["row", "start", "end", "source"],
     )
 
 
@@ -195,8 +214,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     short texts have no spans; an empty table gives no rows.
     """
     rows = _with_row(docs.select("doc_id", "text")).filter(F.col("text").isNotNull())
-    kept = rows.select("place", "row", "text").mapInArrow(_emit, "key long, place long, row long, position int, around binary")
-    found = kept.repartition("key").sortWithinPartitions("key", "place", "row", "position").mapInArrow(_compare, "row long, start int, end int, source long")
+    kept = rows.select("place", "row", "text").mapInArrow(_emit, "key long, place long, row long, positions array<int>, around binary")
+    found = kept.repartition("key").sortWithinPartitions("key", "place", "row").mapInArrow(_compare, "row long, start int, end int, source long")
     return _merged(found)
 
 
