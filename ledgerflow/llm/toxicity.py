@@ -132,13 +132,13 @@ def _guess(y: np.ndarray, per_text: np.ndarray, start: np.ndarray, text_word: np
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
-    """Joint training of n-gram vectors and softmax by Adagrad; with fewer than two classes, the share of toxic rows."""
+    """Joint training of n-gram vectors and softmax by Adagrad; with fewer than two classes or no words, a constant score."""
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 9.0 if len(y) and y.min() == 1 else -9.0)
     rng = np.random.default_rng(seed)
     # distinct words once: their n-grams, and texts as word numbers
-    hashes, gram_parts, size_parts, counts = [], [], [], []
+    hashes, gram_parts, counts = [], [], []
     for _, _, found, bounds, h in word_grams(pa.array(texts, pa.large_string())):
         unique, where = np.unique(h, return_index=True)
         owner = np.concatenate([o for _, o in found]) if found else np.zeros(0, np.int32)
@@ -151,6 +151,8 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         hashes.append(h)
         counts.append(np.diff(bounds))
     all_words = np.concatenate(hashes)
+    if not len(all_words):  # no text has a word
+        return Model(np.zeros(BUCKETS, np.float32), float(np.clip(np.log(y.mean() / (1 - y.mean())), -9, 9)))
     vocabulary, text_word = np.unique(all_words, return_inverse=True)
     size_of, grams_of = np.zeros(len(vocabulary), np.int64), [None] * len(vocabulary)
     for unique, take, bucket in gram_parts:

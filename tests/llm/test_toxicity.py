@@ -43,3 +43,8 @@ def test_without_both_classes(spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.train(docs, empty)).first().toxicity < 0.5
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), empty)).count() == 0
+
+
+def test_texts_without_words():
+    model = toxicity.fit([None, "", "..."], [0, 0, 1])
+    assert (model.score(pa.array(["", "a b"])) < 0.5).all()
