@@ -67,21 +67,66 @@ def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+#: Pairs of a group are listed while they are at most so many per row of it.
+PAIRS_PER_ROW = 8
+
+
+def _families(ledger: DataFrame) -> DataFrame:
+    """The named rows (position, direction, family); directions are compared in any case, a missing one is a direction."""
+    rows = ledger.select("position", F.expr("coalesce(lower(direction), '')").alias("direction"), F.expr(text.family_key(S, "coalesce(nullif(merchant, ''), description_raw)")).alias("_key"))
+    # the key is a column of its own and the family never null, so that no plan spells the key out once per known family
+    return rows.filter("_key <> ''").select("position", "direction", F.expr(f"coalesce({text.family(S, '_key')}, '')").alias("family"))
+
+
+def _links(rows: DataFrame, chosen: DataFrame, least: float) -> DataFrame:
+    """(direction, a, family, n, m): families that the ``n`` anchors of family ``a`` reach, and the rows of each.
+
+    Families are compared, not rows: those of anchors meet those of the ledger of a length that allows the ratio."""
+    of = lambda frame, n: frame.groupBy("direction", "family").agg(F.count(F.lit(1)).alias(n))
+    own = of(chosen, "n").withColumnRenamed("family", "a")
+    # a ratio of 0.92 needs nearly equal lengths, so candidates meet by length, not all with all
+    near = own.withColumn("l", F.explode(F.sequence(F.ceil(F.length("a") * least / (2 - least)).cast("int"), F.floor(F.length("a") * (2 - least) / least).cast("int"))))
+    met = near.join(of(rows, "m").withColumn("l", F.length("family")), ["direction", "l"])
+    return met.withColumn("r", ratio("a", "family")).filter(F.col("r") >= least).select("direction", "a", "family", "n", "m")
+
+
 def campaign(ledger: DataFrame, anchors: DataFrame, least: float = 0.92) -> DataFrame:
     """(anchor, position): rows of the anchor's direction whose merchant family is the anchor's or spelt much like it (JN3-4).
 
-    Families are compared, not rows: distinct anchor families meet distinct families of the ledger that share their first
-    three letters or are of a length that allows the ratio, then rows are joined by family."""
-    named = ledger.withColumn("family", F.expr(text.family(S, text.family_key(S, "coalesce(nullif(merchant, ''), description_raw)")))).filter("family <> ''")
-    rows = named.select("position", "direction", "family")
-    chosen = rows.join(anchors.select(F.col("position")), "position").select(F.col("position").alias("anchor"), "direction", "family")
-    own, other = chosen.select(F.col("family").alias("a")).distinct(), rows.select(F.col("family").alias("b")).distinct()
-    # a ratio of 0.92 needs nearly equal lengths, so candidates meet by length, not all with all
-    near = own.withColumn("n", F.explode(F.sequence(F.ceil(F.length("a") * least / (2 - least)).cast("int"), F.floor(F.length("a") * (2 - least) / least).cast("int"))))
-    alike = near.join(other.withColumn("n", F.length("b")), "n").filter(F.col("a") != F.col("b")).withColumn("r", ratio("a", "b")).filter(F.col("r") >= least).select("a", "b")
-    pairs = own.select("a", F.col("a").alias("b")).unionByName(alike)
-    out = chosen.join(pairs, F.col("family") == F.col("a")).select("anchor", "direction", "b").join(rows.withColumnRenamed("family", "b"), ["direction", "b"])
-    return out.filter("anchor <> position").select("anchor", "position")
+    As many rows as there are pairs; ``campaign_groups`` says the same in rows that grow with the ledger."""
+    rows = _families(ledger)
+    chosen = rows.join(anchors.select("position").distinct(), "position")
+    reached = chosen.select(F.col("position").alias("anchor"), "direction", F.col("family").alias("a")).join(_links(rows, chosen, least), ["direction", "a"])
+    return reached.select("anchor", "direction", "family").join(rows, ["direction", "family"]).filter("anchor <> position").select("anchor", "position")
+
+
+def campaign_groups(ledger: DataFrame, anchors: DataFrame, least: float = 0.92) -> DataFrame:
+    """The pairs of ``campaign`` without listing those of hot groups: (anchor, position, direction, family).
+
+    A group is a direction and a family.  A row with both numbers is a pair.  Of a hot group, which has more than
+    ``PAIRS_PER_ROW`` pairs per row, each anchor that reaches it and each position in it has one row, the other number
+    null: every such anchor goes with every such position but itself.  Nothing is left out."""
+    rows = _families(ledger)
+    chosen = rows.join(anchors.select("position").distinct(), "position")
+    group, none = ["direction", "family"], F.lit(None).cast("long")
+    links = _links(rows, chosen, least).withColumn("n", F.sum("n").over(Window.partitionBy(*group)))
+    links = links.select("direction", "a", "family", (F.col("n") * F.col("m") > PAIRS_PER_ROW * (F.col("n") + F.col("m"))).alias("hot"))
+    reached = chosen.select(F.col("position").alias("anchor"), "direction", F.col("family").alias("a")).join(links, ["direction", "a"])
+    listed = reached.filter("not hot").select("anchor", *group).join(rows, group).filter("anchor <> position").select("anchor", "position", *group)
+    some = reached.filter("hot").select("anchor", none.alias("position"), *group)
+    members = rows.join(links.filter("hot").select(*group).distinct(), group).select(none.alias("anchor"), "position", *group)
+    return listed.unionByName(some).unionByName(members)
+
+
+def campaign_positions(ledger: DataFrame, anchors: DataFrame, least: float = 0.92) -> DataFrame:
+    """(position) of each row that an anchor other than itself reaches: the distinct positions of ``campaign``, found by
+    the number of anchors per group.  An anchor always reaches its own family."""
+    rows = _families(ledger)
+    chosen = rows.join(anchors.select("position").distinct(), "position")
+    reach = _links(rows, chosen, least).groupBy("direction", "family").agg(F.sum("n").alias("n"))
+    alone = chosen.select("position", F.lit(1).alias("self"))
+    out = rows.join(reach, ["direction", "family"]).join(alone, "position", "left")
+    return out.filter("n > coalesce(self, 0)").select("position")
 
 
 def first_spellings(ledger: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def available_categories(custom: DataFrame) -> DataFrame:
 
 
 def apply_campaign(ledger: DataFrame, pairs: DataFrame, category: str) -> DataFrame:
-    """The ledger with a category set on the rows of confirmed pairs (anchor, position) (JN6)."""
+    """The ledger with a category set on the rows whose ``position`` is in ``pairs``, such as confirmed ones (JN6)."""
     chosen = pairs.select("position").distinct().withColumn("_hit", F.lit(True))
     out = ledger.join(chosen, "position", "left")
     return out.withColumn("category", F.when(F.col("_hit"), F.lit(category)).otherwise(F.col("category"))).withColumn("requires_review", F.when(F.col("_hit"), F.lit(False)).otherwise(F.col("requires_review"))).drop("_hit")

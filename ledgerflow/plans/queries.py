@@ -361,7 +361,7 @@ _add(
     _on_ledger(memory.first_spellings),
     "select lower(merchant) as name_key, min_by(merchant, position) as name, min(position) as first_position from ledger where nullif(trim(merchant), '') is not null group by 1",
 )
-_add("campaign_candidates", _on_ledger(lambda rows: memory.campaign(rows.filter("position % 50 = 0"), rows.filter("position % 500 = 0"))))
+_add("campaign_candidates", _on_ledger(lambda rows: memory.campaign_groups(rows, rows.filter("position % 100 = 0"))))
 
 # questions
 def _questions(spark: SparkSession) -> DataFrame:
@@ -515,7 +515,7 @@ _add(
 _add(
     "campaign_apply",
     _on_ledger(
-        lambda rows: statements.apply_campaign(rows, memory.campaign(rows.filter("position % 50 = 0"), rows.filter("position % 500 = 0")), "Groceries").select("position", "category", "requires_review")
+        lambda rows: statements.apply_campaign(rows, memory.campaign_positions(rows, rows.filter("position % 100 = 0")), "Groceries").select("position", "category", "requires_review")
     ),
 )
 _add(
