@@ -1,7 +1,8 @@
 """Near-duplicate paragraphs across documents by MinHash banding, exact confirmation and connected components.
 
-A paragraph is a line of a text; those of at least ``MIN_WORDS`` words take part.  Paragraphs of equal words are one node
-from the start.  A node's 36 MinHash values of five-word shingles make 12 bands of 3: a pair of similarity 0.8 shares no
+A paragraph is a line of a text; those of at least ``MIN_WORDS`` words, which have a shingle, take part.  Paragraphs of equal
+words are one node from the start.  Sets of up to ``FEW`` shingles are only similar if equal and meet by a hash of the
+whole set.  Of a larger one, 36 MinHash values of five-word shingles make 12 bands of 3: a pair of similarity 0.8 shares no
 band with probability 0.488**12 = 2e-4, and one of 0.9 with 3e-7.  Nodes that collide in a band form loose families,
 in which exact Jaccard similarity is confirmed on full shingle sets; classes are the components of confirmed links.
 Within a band, nodes are sorted by size and only neighbours are joined: where the size of one allows no similarity of
@@ -23,7 +24,9 @@ from ledgerflow.llm.runtime import FILTER_BITS, cut, membership_filter, rows_by_
 
 SHINGLE = 5
 PERCENT = 80
-MIN_WORDS = 40
+MIN_WORDS = SHINGLE
+#: A set of f shingles and another one share at most f of f + 1; below 4 of 5 that is no similarity of PERCENT.
+FEW = 3
 BANDS, ROWS = 12, 3
 _U = np.uint64
 
@@ -75,16 +78,19 @@ def _bands(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             take = np.repeat(at[:-1][where] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             bounds = np.concatenate([[0], np.cumsum(size)])
             sets, set_at = words.distinct_per_text(grams[take], bounds)
-            values = words.minima(sets, set_at, BANDS * ROWS).astype(_U)
-            keys = []
+            n = np.diff(set_at)
+            few = np.flatnonzero(n <= FEW)
+            many = np.flatnonzero(n > FEW)
+            whole = words.mix(np.add.reduceat(words.mix(sets), set_at[:-1]) + n.astype(_U))
+            values = words.minima(sets[np.repeat(n > FEW, n)], np.concatenate([[0], np.cumsum(n[many])]), BANDS * ROWS).astype(_U)
+            keys = [whole[few]]
             for b in range(BANDS):
-                key = np.full(len(where), b + 1, _U)
+                key = np.full(len(many), b + 1, _U)
                 for r in range(ROWS):
                     key = words.mix(key * _U(0x9E3779B97F4A7C15) + values[:, b * ROWS + r])
                 keys.append(key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(np.diff(set_at).astype(np.int32), BANDS)), pa.array(np.tile(node[where], BANDS))], ["key", "n", "node"]
-            )
+            own = np.concatenate([few, np.tile(many, BANDS)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(n[own].astype(np.int32)), pa.array(node[where][own])], ["key", "n", "node"])
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,3 +67,19 @@ def test_null_ids_repeats_and_empty(spark):
     assert got == [(0, 3, False), (3, 3, True), (3, 3, True)]
     assert duplicate_paragraphs(frame.filter("doc_id = 3")).count() == 0
     assert duplicate_paragraphs(frame.limit(0)).count() == 0
+
+
+def test_short_lines_take_part(spark):
+    rng = random.Random(7)
+    word = lambda: f"W{rng.randrange(400)}"
+    passage = "\n".join(" ".join(word() for _ in range(11)) for _ in range(5))
+    base = [[word() for _ in range(rng.choice([5, 6, 7, 8, 9, 14, 30]))] for _ in range(40)]
+    rows = [(1000, passage), (1001, f"before it\n{passage}\nafter it"), (1002, "a b a b a b a b\na b a b a b"), (1003, "b a b a b a b a b\none two")]
+    for i in range(150):
+        copy = rng.choice(base)[:]
+        if rng.random() < 0.4:
+            copy[rng.choice([0, -1])] = word()
+        rows.append((i, "\n".join([" ".join(copy), " ".join(word() for _ in range(rng.randrange(0, 9)))])))
+    got = {(r.doc_id, r.paragraph, r.n_words, r.owner_doc_id, r.kept) for r in duplicate_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(rows, 5)
+    assert {(1001, k, 11, 1000, False) for k in range(1, 6)} <= got
