@@ -5,7 +5,7 @@ vectors, lane by lane, modulo a power of two.  So paragraphs can be added or tak
 vectors, their order does not matter, and equal multisets have equal fingerprints.
 
 The vector has 4 lanes modulo 2**64, from two independent hashes of the paragraph's bytes, which decide equality, and
-256 lanes modulo 2**16: each of the paragraph's three-word shingles adds 1 or -1 to one of them.  Read as signed
+256 lanes modulo 2**32, more than a text has words: each of the paragraph's three-word shingles adds 1 or -1 to one of them.  Read as signed
 numbers, the latter are a linear sketch of the document's shingles, so the cosine of two fingerprints estimates how much
 of two documents is alike (standard error about 0.06).
 """
@@ -43,10 +43,10 @@ def _paragraph_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray,
 
 
 def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(equality lanes uint64, likeness lanes int16) of each text; an empty or null text is the empty multiset, all zeros."""
+    """(equality lanes uint64, likeness lanes int32) of each text; an empty or null text is the empty multiset, all zeros."""
     data, offsets = words.text_buffers(texts)
     n = len(offsets) - 1
-    equal, like = np.zeros((n, EQUAL_LANES), _U), np.zeros((n, LIKE_LANES), np.int16)
+    equal, like = np.zeros((n, EQUAL_LANES), _U), np.zeros((n, LIKE_LANES), np.int32)
     for i, j in words.runs(offsets, _RUN):
         piece, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         if not len(piece):
@@ -66,7 +66,7 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             lane = (grams >> _U(20)).astype(np.int64) % LIKE_LANES
             sign = np.where(grams & _U(1), 1.0, -1.0)
             sums = np.bincount(doc * LIKE_LANES + lane, weights=sign, minlength=(j - i) * LIKE_LANES)
-            like[i:j] = sums.astype(np.int64).astype(np.uint16).view(np.int16).reshape(j - i, LIKE_LANES)
+            like[i:j] = sums.astype(np.int64).astype(np.uint32).view(np.int32).reshape(j - i, LIKE_LANES)
     return equal, like
 
 
@@ -80,7 +80,7 @@ def likeness(equal_a: np.ndarray, like_a: np.ndarray, equal_b: np.ndarray, like_
 
 
 def as_text(equal: np.ndarray, like: np.ndarray) -> list[str]:
-    raw = np.concatenate([equal.astype(">u8").view(np.uint8).reshape(len(equal), -1), like.astype(">i2").view(np.uint8).reshape(len(like), -1)], axis=1)
+    raw = np.concatenate([equal.astype(">u8").view(np.uint8).reshape(len(equal), -1), like.astype(">i4").view(np.uint8).reshape(len(like), -1)], axis=1)
     return [r.tobytes().hex() for r in raw]
 
 
@@ -89,10 +89,10 @@ def combine(first: str, second: str, sign: int = 1) -> str:
     parts = []
     for text in (first, second):
         raw = bytes.fromhex(text)
-        parts.append((np.frombuffer(raw[: 8 * EQUAL_LANES], ">u8").astype(_U), np.frombuffer(raw[8 * EQUAL_LANES :], ">u2").astype(np.uint16)))
+        parts.append((np.frombuffer(raw[: 8 * EQUAL_LANES], ">u8").astype(_U), np.frombuffer(raw[8 * EQUAL_LANES :], ">u4").astype(np.uint32)))
     (e1, l1), (e2, l2) = parts
     equal, like = (e1 + e2, l1 + l2) if sign > 0 else (e1 - e2, l1 - l2)
-    return as_text(equal[None], like.view(np.int16)[None])[0]
+    return as_text(equal[None], like.view(np.int32)[None])[0]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

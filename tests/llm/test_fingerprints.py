@@ -52,3 +52,12 @@ def test_likeness_follows_what_is_shared():
     equal, like = fp.vectors(pa.array(["\n".join(lines[:20]), "\n".join(lines[10:30]), "\n".join(lines[20:])]))
     half, none = fp.likeness(equal[[0]], like[[0]], equal[[1]], like[[1]])[0], fp.likeness(equal[[0]], like[[0]], equal[[2]], like[[2]])[0]
     assert abs(half - 0.5) < 0.2 and none < 0.25
+
+
+def test_a_phrase_repeated_often_does_not_wrap():
+    texts = ["one two three " * 100_000, "one two three " * 50_000, "one two three " * 13_000]
+    equal, like = fp.vectors(pa.array(texts))
+    assert abs(like.astype(int)).max() >= 99_999
+    for k in (1, 2):
+        assert fp.likeness(equal[[0]], like[[0]], equal[[k]], like[[k]])[0] > 0.99
+    assert fp.combine(of("\n".join(texts[:2])), of(texts[1]), -1) == of(texts[0])
