@@ -4,10 +4,11 @@ A paragraph (a line of the text) hashes to a wide vector; a document's fingerpri
 vectors, lane by lane, modulo a power of two.  So paragraphs can be added or taken away by adding or subtracting their
 vectors, their order does not matter, and equal multisets have equal fingerprints.
 
-The vector has 4 lanes modulo 2**64, from two independent hashes of the paragraph's bytes, which decide equality, and
-256 lanes modulo 2**32, more than a text has words: each of the paragraph's three-word shingles adds 1 or -1 to one of them.  Read as signed
-numbers, the latter are a linear sketch of the document's shingles, so the cosine of two fingerprints estimates how much
-of two documents is alike (standard error about 0.06).
+The vector has 4 lanes modulo 2**64, three independent hashes of the paragraph's bytes and a count, which decide
+equality, and 256 lanes modulo 2**32, more than a text has words: each of the paragraph's three-word shingles adds 1 or
+-1 to one of them.  Read as signed numbers, the latter are a linear sketch of the document's shingles, so the cosine of
+two fingerprints estimates how much of two documents is alike (standard error about 0.06).  Texts that differ in the
+line feed at their end alone, or in the order of their lines, are equal multisets and have one fingerprint.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import words
-from ledgerflow.llm.runtime import cut, shuffle_partitions
+from ledgerflow.llm.runtime import shuffle_partitions
 
 EQUAL_LANES, LIKE_LANES = 4, 256
 SHINGLE = 3
@@ -30,16 +31,10 @@ _U = np.uint64
 _RUN = 1 << 20
 
 
-def _paragraph_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the bytes between each two consecutive edges, without a closing line feed, so that a paragraph may stand anywhere."""
-    a, b = edges[:-1], edges[1:] - (data[edges[1:] - 1] == 10)
-    power, inverse = words._power_tables(len(data) + 1)
-    out = []
-    for table in (np.arange(1, 257, dtype=_U), words.mix(np.arange(1, 257, dtype=_U))):
-        total = np.zeros(len(data) + 1, _U)
-        np.cumsum(table[data] * power[: len(data)], out=total[1:])
-        out.append(words.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(_U)))
-    return out[0], out[1]
+def _paragraph_hashes(data: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    """Independent hashes of the bytes between each two consecutive edges, without a closing line feed, so that a paragraph may stand anywhere."""
+    start, end = edges[:-1], edges[1:] - (data[edges[1:] - 1] == 10)
+    return [words.hash_ranges(data, start, end, seed) for seed in range(1, EQUAL_LANES)]
 
 
 def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,9 +48,8 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             continue
         # a paragraph ends with its line feed or with its text
         edges = np.unique(np.concatenate([at, np.flatnonzero(piece == 10) + 1]))
-        one, two = _paragraph_hashes(piece, edges)
         owner = np.searchsorted(at, edges[:-1], side="right") - 1
-        lanes = np.stack([one, two, words.mix(one + two * _U(3)), np.ones(len(one), _U)], axis=1)
+        lanes = np.stack([*_paragraph_hashes(piece, edges), np.ones(len(edges) - 1, _U)], axis=1)
         first = np.searchsorted(owner, np.arange(j - i))
         have = np.flatnonzero(np.diff(np.append(first, len(owner))) > 0)
         equal[i + have] = np.add.reduceat(lanes, first[have], axis=0)

@@ -51,7 +51,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.duplicate_paragraphs(table(spark, sf_dir, "documents"))
+    return paragraph_dedup.duplicate_passages(table(spark, sf_dir, "documents"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:

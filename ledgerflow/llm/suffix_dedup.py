@@ -4,12 +4,16 @@ Of all suffixes (by words) only those at minimisers are kept: a position whose h
 in some window of ``W`` positions.  Two copies of a passage of K + W - 1 = 50 words or more have such a position in
 common, whatever stands around them, and about 2 / (W + 1) of all positions are kept.
 
-Kept suffixes are sorted by their first K words (equal ones are neighbours), with the W - 1 words to the left and right
-of those at hand.  Among neighbours, each way to extend the K words to 50, s words to the left and W - 1 - s to the
-right, is sorted and neighbours compared; a position of which one is found in an earlier document (by doc_id) lies in a
-repeated passage, which extends to the left and right as long as its 50-word windows do.  The result is exactly the
-union of all 50-word windows that occur in an earlier document (words by 16-bit hashes beside the 64-bit one of the
-first K, which errs once in 65536 at an end).
+Kept suffixes are sorted by the 64-bit hash of their first K words (equal ones are neighbours), with the hashes of the W
+ways to extend these to 50 words at hand: s words to the left and W - 1 - s to the right.  Among neighbours, each way is
+sorted and neighbours compared; one that is found in an earlier document (by doc_id) lies in a repeated passage, which
+extends to the left and right as long as its 50-word windows do.  The result is exactly the union of all 50-word windows
+that occur in an earlier document; windows are told apart by the hash of the first K words and 40 bits of their own.
+
+A passage that a large part of all documents shares has keys with very many suffixes.  Keys are counted first, in cells
+of a hash; suffixes of cells with more than a quarter of a partition take another way, in which no task gathers a key:
+those that look alike with all their extensions are one look, the earliest document of each extension comes from a
+combinable aggregate over the looks, and each suffix is joined with its look's.
 """
 
 from __future__ import annotations
@@ -22,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import words
-from ledgerflow.llm.runtime import group_bounds, rows_by_key
+from ledgerflow.llm.runtime import cut, group_bounds, rows_by_key, shuffle_partitions
 
 K, W = 25, 26
-SIDE = W - 1
 PASSAGE = K + W - 1
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
+_LAST = 2**63 - 1
 
 
 def _sliding(x: np.ndarray, width: int, ufunc) -> np.ndarray:
@@ -61,8 +65,9 @@ def minimisers(grams: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(most[place] == grams)
 
 
-def kept_suffixes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: (first row, end row, text, word position, key, packed neighbours, room left and right) of kept suffixes."""
+def kept_suffixes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts: (first row, text, word position, key, windows) of kept suffixes; window s is the hash of the 50
+    words that begin s words before, 0 where they leave the text."""
     data, offsets = words.text_buffers(texts)
     for i, j in words.runs(offsets):
         h, _, _, bounds = words.hash_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -70,40 +75,72 @@ def kept_suffixes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         have = np.where(count >= PASSAGE, count - K + 1, 0)
         if not have.sum():
             continue
-        power, inverse = words._power_tables(len(h) + 1)
-        total = np.zeros(len(h) + 1, _U)
-        np.cumsum(h * power[: len(h)], out=total[1:])
         at = np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(have)[:-1]]), have) + np.arange(have.sum())
-        grams = words.mix((total[at + K] - total[at]) * inverse[at])
+        grams = words.window_hashes(h, K)[at]
         kept = minimisers(grams, np.concatenate([[0], np.cumsum(have)]))
         text = np.searchsorted(bounds, at[kept], side="right") - 1
         low, high, p = bounds[text], bounds[text + 1], at[kept]
-        around = np.concatenate([p[:, None] - np.arange(1, SIDE + 1), p[:, None] + K + np.arange(SIDE)], axis=1)
-        inside = (around >= low[:, None]) & (around < high[:, None])
-        small = (h >> _U(24)).astype(np.uint16)
-        near = np.where(inside, small[np.clip(around, 0, len(h) - 1)], np.uint16(0))
-        room = np.stack([np.minimum(p - low, SIDE), np.minimum(high - p - K, SIDE)], axis=1).astype(np.int8)
-        yield i, j, text, (p - low).astype(np.int32), grams[kept], near, room
-
-
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kept suffixes of each text.  Those that look alike with all their neighbours are one row with all their positions, so
-    a text that repeats a few words for long has few rows."""
-    width = 4 * SIDE + 2
-    weight = words.mix(np.arange(2 * SIDE + 3, dtype=_U) + _U(5)) | _U(1)
+        whole = words.window_hashes(h, PASSAGE) | _U(1 << 63)
+        begin = p[:, None] - np.arange(W)
+        inside = (begin >= low[:, None]) & (begin + PASSAGE <= high[:, None])
+        yield i, text, (p - low).astype(np.int32), grams[kept], np.where(inside, whole[np.clip(begin, 0, len(whole) - 1)], _U(0))
+
+
+#: Most cells that keys are counted in.
+_CELLS = 1 << 20
+
+
+def _cell(key: np.ndarray, cells: int) -> np.ndarray:
+    return (words.mix(key) & _U(cells - 1)).astype(np.int64)
+
+
+def hot_cells(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """(number of cells, the cells of keys that have more than a quarter of a partition's suffixes); these are at most 4 a partition."""
+    parts = shuffle_partitions(rows.sparkSession)
+    cells = min(_CELLS, 1 << max(16, (64 * parts - 1).bit_length()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for _, _, _, key, _ in kept_suffixes(batch.column("text")):
+                total += np.bincount(_cell(key, cells), minlength=cells)
+        some = np.flatnonzero(total)
+        for low in range(0, len(some), 1 << 16):
+            part = some[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
+
+    counted = cut(rows.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.filter(F.col("n") > total / (4 * parts) + 4 * total / cells).select("cell").collect()
+    return cells, np.sort(np.array([r["cell"] for r in hot], np.int64))
+
+
+_KEPT = "key long, place long, row long, positions array<int>, windows binary"
+
+
+def _emit(batches: Iterator[pa.RecordBatch], cells: int, hot: np.ndarray, want_hot: bool) -> Iterator[pa.RecordBatch]:
+    """Kept suffixes, those of hot cells or the others.  Suffixes of a text that look alike with all their extensions are one
+    row with all their positions, so a text that repeats a few words for long has few rows.  The key of a hot one is its look."""
+    weight = words.mix(np.arange(W, dtype=_U) + _U(5)) | _U(1)
+    size = 8 if want_hot else 5
     for batch in batches:
-        for i, _, text, position, key, near, room in kept_suffixes(batch.column("text")):
-            look = words.mix((near.astype(_U) * weight[: 2 * SIDE]).sum(1, dtype=_U) + key * weight[2 * SIDE] + (room.astype(_U) * weight[2 * SIDE + 1 :]).sum(1, dtype=_U))
+        for i, text, position, key, windows in kept_suffixes(batch.column("text")):
+            mine = np.flatnonzero(np.isin(_cell(key, cells), hot) == want_hot)
+            if not len(mine):
+                continue
+            text, position, key, windows = text[mine], position[mine], key[mine], windows[mine]
+            look = words.mix((words.mix(windows) * weight).sum(1, dtype=_U) + key)
             order = np.lexsort((position, look, text))
             cuts = group_bounds(text[order], look[order])
             first = order[cuts[:-1]]
             take = pa.array(text[first] + i)
-            raw = np.concatenate([near[first].view(np.uint8).reshape(len(first), -1), room[first].view(np.uint8)], axis=1)
-            places = pa.array(np.arange(len(first) + 1, dtype=np.int32) * width)
-            around = pa.Array.from_buffers(pa.binary(), len(first), [None, places.buffers()[1], pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+            raw = np.ascontiguousarray(windows[first].view(np.uint8).reshape(len(first), W, 8)[:, :, 8 - size :])
+            places = pa.array(np.arange(len(first) + 1, dtype=np.int32) * (W * size))
+            packed = pa.Array.from_buffers(pa.binary(), len(first), [None, places.buffers()[1], pa.py_buffer(raw.tobytes())])
             positions = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(position[order]))
+            name = look if want_hot else key
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[first].view(np.int64)), batch.column("place").take(take), batch.column("row").take(take), positions, around], ["key", "place", "row", "positions", "around"]
+                [pa.array(name[first].view(np.int64)), batch.column("place").take(take), batch.column("row").take(take), positions, packed], ["key", "place", "row", "positions", "windows"]
             )
 
 
@@ -126,36 +163,34 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extend(rows: pa.Table) -> pa.RecordBatch | None:
     rows = rows.combine_chunks()
     key, place, row = (rows.column(c).to_numpy() for c in ("key", "place", "row"))
-    raw = np.frombuffer(b"".join(rows.column("around").to_pylist()), np.uint8).reshape(len(key), -1)
-    near = np.ascontiguousarray(raw[:, : 4 * SIDE]).view(np.uint16).astype(_U)
-    room = raw[:, 4 * SIDE :].view(np.int8).astype(np.int64)
-    steps = words.mix(np.arange(2 * SIDE, dtype=_U) + _U(77)) | _U(1)
-    zero = np.zeros((len(key), 1), _U)
-    left = np.concatenate([zero, np.cumsum(words.mix(near[:, :SIDE] + _U(1)) * steps[:SIDE], axis=1, dtype=_U)], axis=1)
-    right = np.concatenate([zero, np.cumsum(words.mix(near[:, SIDE:] + _U(1)) * steps[SIDE:], axis=1, dtype=_U)], axis=1)
-    repeated = np.zeros((len(key), SIDE + 1), bool)
-    source = np.full((len(key), SIDE + 1), np.iinfo(np.int64).max)
-    for s in range(SIDE + 1):
-        ok = np.flatnonzero((room[:, 0] >= s) & (room[:, 1] >= SIDE - s))
+    raw = np.zeros((len(key), W, 8), np.uint8)
+    raw[:, :, 3:] = np.frombuffer(b"".join(rows.column("windows").to_pylist()), np.uint8).reshape(len(key), W, 5)
+    windows = raw.view("<u8").reshape(len(key), W)
+    mixed = words.mix(key.view(_U))
+    source = np.full((len(key), W), _LAST)
+    for s in range(W):
+        ok = np.flatnonzero(windows[:, s])
         if not len(ok):
             continue
-        extended = words.mix(left[ok, s] + right[ok, SIDE - s] * _U(3) + key[ok].view(_U))
+        extended = windows[ok, s] ^ mixed[ok]
         order = np.argsort(extended, kind="stable")  # rows come by place, so the first of equal ones is the earliest
         cuts = group_bounds(extended[order])
-        earliest = np.repeat(place[ok[order[cuts[:-1]]]], np.diff(cuts))
-        hit = place[ok[order]] > earliest
-        repeated[ok[order[hit]], s] = True
-        source[ok[order[hit]], s] = earliest[hit]
+        source[ok[order], s] = np.repeat(place[ok[order[cuts[:-1]]]], np.diff(cuts))
+    return _stretches(row, place, rows.column("positions").chunk(0), source)
+
+
+def _stretches(row: np.ndarray, place: np.ndarray, lists: pa.ListArray, source: np.ndarray) -> pa.RecordBatch | None:
+    """(row, start, end, source) of what an earlier document holds: ``source`` is the earliest document of each window."""
+    repeated = source < place[:, None]
     # runs of consecutive extensions are one stretch
-    edge = np.zeros((len(key), SIDE + 3), np.int8)
+    edge = np.zeros((len(row), W + 2), np.int8)
     edge[:, 1:-1] = repeated
     change = np.diff(edge, axis=1)
     which, first = np.nonzero(change == 1)
     _, last = np.nonzero(change == -1)
     if not len(which):
         return None
-    out = np.minimum.reduceat(np.append(source.ravel(), 0), np.stack([which * (SIDE + 1) + first, which * (SIDE + 1) + last], 1).ravel())[::2]
-    lists = rows.column("positions").chunk(0)
+    out = np.minimum.reduceat(np.append(source.ravel(), 0), np.stack([which * W + first, which * W + last], 1).ravel())[::2]
     at, position = lists.offsets.to_numpy(), lists.values.to_numpy()
     size = np.diff(at)[which]
     each = np.repeat(np.arange(len(which)), size)
@@ -171,6 +206,39 @@ def _extend(rows: pa.Table) -> pa.RecordBatch | None:
     )
 
 
+def _hot_stretches(kept: DataFrame) -> DataFrame:
+    """The stretches of suffixes of hot cells (with their looks as keys); no task gathers more than the combined rows of a key."""
+    kept = cut(kept)
+    looks = kept.groupBy("key").agg(F.min("place").alias("first"), F.any_value("windows").alias("windows"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                window = np.frombuffer(b"".join(batch.column("windows").to_pylist()), np.int64)
+                which = pa.array(np.repeat(np.arange(batch.num_rows), W))
+                s = np.tile(np.arange(W, dtype=np.int32), batch.num_rows)
+                table = pa.RecordBatch.from_arrays([batch.column("key").take(which), batch.column("first").take(which), pa.array(s), pa.array(window)], ["key", "first", "s", "window"])
+                yield table.filter(pa.array(window != 0))
+
+    single = cut(looks.mapInArrow(windows, "key long, first long, s int, window long"))
+    earliest = cut(single.groupBy("window").agg(F.min("first").alias("source")))
+    sources = cut(single.join(earliest, "window").groupBy("key").agg(F.collect_list(F.struct("s", "source")).alias("sources")))  # at most W
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source = np.full((batch.num_rows, W), _LAST)
+            lists = batch.column("sources")
+            which = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            source[which, flat.field("s").to_numpy()] = flat.field("source").to_numpy()
+            found = _stretches(batch.column("row").to_numpy(), batch.column("place").to_numpy(), batch.column("positions"), source)
+            if found is not None:
+                yield found
+
+    return kept.select("key", "place", "row", "positions").join(sources, "key").select("place", "row", "positions", "sources").mapInArrow(run, _FOUND)
+
+
+_FOUND = "row long, start int, end int, source long"
 _SPAN = "array<struct<start:int,end:int,source:bigint>>"
 
 
@@ -198,9 +266,6 @@ def _merged(found: DataFrame) -> DataFrame:
     return found.repartition("row").sortWithinPartitions("row", "start", "end").mapInArrow(run, f"row long, spans {_SPAN}")
 
 
-_LAST = 2**63 - 1
-
-
 def _with_row(docs: DataFrame) -> DataFrame:
     """``row`` stands for a document's id and text; ``place`` is its order, a null id comes last."""
     return docs.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("place", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
@@ -211,11 +276,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     ``spans`` are word ranges, in order, each with the smallest doc_id it was found in.  A passage has 50 words or more;
     words are as in ``words``.  Repeats within a document, or between rows of one doc_id, are none.  Null, empty and
-    short texts have no spans; an empty table gives no rows.
+    short texts have no spans; an empty table gives no rows.  Rows of one id and text have one row here.
     """
     rows = _with_row(docs.select("doc_id", "text")).filter(F.col("text").isNotNull())
-    kept = rows.select("place", "row", "text").mapInArrow(_emit, "key long, place long, row long, positions array<int>, around binary")
-    found = kept.repartition("key").sortWithinPartitions("key", "place", "row").mapInArrow(_compare, "row long, start int, end int, source long")
+    cells, hot = hot_cells(rows)
+    rows = rows.select("place", "row", "text")
+    kept = rows.mapInArrow(lambda b: _emit(b, cells, hot, False), _KEPT)
+    found = kept.repartition("key").sortWithinPartitions("key", "place", "row").mapInArrow(_compare, _FOUND)
+    if len(hot):
+        found = found.unionByName(_hot_stretches(rows.mapInArrow(lambda b: _emit(b, cells, hot, True), _KEPT)))
     return _merged(found)
 
 

@@ -65,17 +65,13 @@ def word_grams(texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarra
         word = np.repeat(np.arange(len(inner)), inner)
         flat[here + 2 * word + 1] = piece[here + (start - before[:-1])[word]]
         first = before + 2 * np.arange(len(before))
-        power, inverse = words._power_tables(len(flat) + 1)
-        total = np.zeros(len(flat) + 1, _U)
-        np.cumsum((flat.astype(_U) + _U(1)) * power[: len(flat)], out=total[1:])
+        ahead = words.eight_bytes(flat)
         word = np.repeat(np.arange(len(inner), dtype=np.int32), inner + 2)
         room = first[1:][word] - np.arange(len(flat))
         found = []
         for n in GRAMS:
             p = np.flatnonzero(room >= n)
-            grams = (total[p + n] - total[p]) * inverse[p] * _U(0x9E3779B97F4A7C15 * (2 * n + 1) % 2**64)
-            grams ^= grams >> _U(29)
-            grams *= _U(0xBF58476D1CE4E5B9)
+            grams = words.mix((ahead[p] & _U(2 ** (8 * n) - 1)) + _U(n << 56))
             found.append(((grams >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.int32), word[p]))
         yield i, j, found, bounds, hashes
 

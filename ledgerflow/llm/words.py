@@ -1,7 +1,8 @@
 """Vectorised word and shingle hashing over Arrow string arrays.
 
-Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``; A-Z are lower-cased, every other byte is kept.  A word's
-hash is a polynomial over its bytes (modulo 2**64), read from one running sum over the whole batch, then mixed.  Nothing
+Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``; A-Z are lower-cased, every other byte is kept.  A word is
+hashed by blocks of eight bytes: each block is mixed with its number, the mixed blocks are summed, and the sum is mixed
+with the length.  No arithmetic relation between blocks survives the mixing, so repetitive words do not meet.  Nothing
 here loops over words in Python.
 """
 
@@ -13,8 +14,6 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_P = U64(0x9E3779B97F4A7C15 | 1)
-_P_INV = U64(pow(int(_P), -1, 2**64))
 #: Texts are hashed in runs of about this many bytes, so that a batch's arrays stay small.
 CHUNK_BYTES = 1 << 21
 
@@ -23,9 +22,6 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(U64, copy=True)
@@ -37,17 +33,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        out = []
-        for base in (_P, _P_INV):
-            table = np.full(size, base, U64)
-            table[0] = 1
-            out.append(np.cumprod(table, dtype=U64))
-        _powers = (out[0], out[1])
-    return _powers
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The little-endian number of the eight bytes from each byte on; past the end come zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges ``start`` to ``end``, each read once; another ``seed`` gives an independent hash."""
+    if not len(start):
+        return np.zeros(0, U64)
+    salt = U64(seed * 0xD1342543DE82EF95 % 2**64)
+    size = end - start
+    blocks = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(blocks) - blocks
+    number = np.arange(first[-1] + blocks[-1]) - np.repeat(first, blocks)
+    left = np.repeat(size, blocks) - 8 * number
+    value = eight_bytes(data)[np.repeat(start, blocks) + 8 * number]
+    short = np.flatnonzero(left < 8)
+    value[short] &= (U64(1) << (U64(8) * left[short].astype(U64))) - U64(1)
+    value = mix(value ^ mix(number.astype(U64) + U64(1) + salt))
+    return mix(np.add.reduceat(value, first) + size.astype(U64) * U64(0x9E3779B97F4A7C15) + salt)
+
+
+def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each ``k`` consecutive words, by joining hashes of 1, 2, 4, ... words; entry i is of the words from i on."""
+    out, done, power, size = None, 0, words, 1
+    while True:
+        if k & size:
+            out = power if out is None else _joined(out, power, done)
+            done += size
+        if size * 2 > k:
+            return mix(out[: max(0, len(words) - k + 1)])
+        power, size = _joined(power, power, size), size * 2
+
+
+def _joined(left: np.ndarray, right: np.ndarray, by: int) -> np.ndarray:
+    n = min(len(left), len(right) - by)
+    if n <= 0:
+        return np.zeros(0, U64)
+    out = left[:n] * U64(0x9E3779B97F4A7C15) + right[by : by + n] * U64(0xC2B2AE3D27D4EB4F)
+    out ^= out >> U64(29)
+    out *= U64(0xBF58476D1CE4E5B9)
+    out ^= out >> U64(32)
+    return out
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +113,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     tail = np.ones(len(data), bool)
     tail[:-1] = ~solid[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end & tail) + 1
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((_LOWER[data].astype(U64) + U64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts]), starts, ends, np.searchsorted(starts, offsets)
+    return hash_ranges(_LOWER[data], starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 _STEPS = mix(np.arange(1, 4097, dtype=U64)) | U64(1)

@@ -2,7 +2,8 @@
 
 import random
 
-from ledgerflow.llm.paragraph_dedup import duplicate_paragraphs
+from ledgerflow.llm.paragraph_dedup import PASSAGE, duplicate_paragraphs, duplicate_passages
+from ledgerflow.llm.words import CHUNK_BYTES
 
 SCHEMA = "doc_id long, text string, node long, kept int, class_id string"
 
@@ -83,3 +84,55 @@ def test_short_lines_take_part(spark):
     got = {(r.doc_id, r.paragraph, r.n_words, r.owner_doc_id, r.kept) for r in duplicate_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == brute(rows, 5)
     assert {(1001, k, 11, 1000, False) for k in range(1, 6)} <= got
+
+
+def test_passages_inside_and_across_lines(spark):
+    """With the registered parameters: planted passages are found wherever they stand, and nothing but shared words is."""
+    rng = random.Random(11)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(3000)}"
+    planted = [[word() for _ in range(rng.choice([60, 80, 150]))] for _ in range(12)]
+    rows, holders = [(9000, None), (9001, ""), (9002, "junk " * 700), (9003, "other words here " + "junk " * 300)], set()
+    for i in range(200):
+        w = [word() for _ in range(rng.choice([30, 200, 600]))]
+        if i % 3 == 0:
+            passage = planted[i // 3 % 12]
+            at = rng.randrange(len(w))
+            w[at:at] = passage
+            holders.add(i)
+        breaks = {k for k in range(len(w)) if rng.random() < rng.choice([0.0, 0.03, 0.2])}
+        rows.append((i, " ".join(x + "\n" * (k in breaks) for k, x in enumerate(w))))
+    frame = spark.createDataFrame([(*r, 1, 2, "c") for r in rows], SCHEMA).repartition(4)
+    got = duplicate_passages(frame).collect()
+    texts = {i: (t or "").lower().split() for i, t in rows}
+    grams = {}
+    for i, w in texts.items():
+        for k in range(len(w) - 4):
+            grams.setdefault(tuple(w[k : k + 5]), set()).add(i)
+    for r in got:
+        w = texts[r.doc_id][r.first_word : r.first_word + r.n_words]
+        assert len(w) == r.n_words >= PASSAGE and r.kept == (r.doc_id == r.owner_doc_id)
+        shared = [len(grams[tuple(w[k : k + 5])]) > 1 for k in range(len(w) - 4)]
+        assert all(shared)
+    found = {r.doc_id for r in got}
+    assert found <= holders | {9002, 9003} and len(found & holders) >= 0.97 * len(holders) and {9002, 9003} <= found
+    assert all(r.owner_doc_id in holders and r.owner_doc_id <= r.doc_id and (r.doc_id - r.owner_doc_id) % 36 == 0 for r in got if r.doc_id in holders)
+
+
+def test_passages_edges(spark):
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(90))
+    frame = spark.createDataFrame([(3, text), (3, text), (None, text), (8, "x " + text + " y")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.owner_doc_id, r.kept) for r in duplicate_passages(frame).collect())
+    assert got == [(0, 3, False), (3, 3, True), (8, 3, False)]
+    assert duplicate_passages(frame.filter("doc_id = 3")).count() == 0
+    assert duplicate_passages(frame.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"w{rng.randrange(9000)}" for _ in range(100))
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(300_000))
+    assert len(long) > CHUNK_BYTES
+    rows = [(1, long + " " + passage), (2, "a b c " + passage), (3, "nothing to see")]
+    got = {r.doc_id: r.n_words for r in duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2} and all(60 <= n <= 100 for n in got.values())

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from ledgerflow.llm import suffix_dedup as sd
+from ledgerflow.llm.words import CHUNK_BYTES
 
 SCHEMA = "doc_id long, text string, row string, key int, spans string"
 
@@ -68,3 +69,28 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert got == ["", "", text, text]
     assert sd.without_repeats(frame.limit(0)).count() == 0
     assert sd.spans_by_document(frame.limit(0)).count() == 0
+
+
+def test_hot_passages_take_the_other_way(spark):
+    """With many partitions the keys of common passages are hot; the spans are the same."""
+    rows = corpus(3)
+    frame = spark.createDataFrame([(*r, "r", 3, "s") for r in rows], SCHEMA).repartition(4)
+    ordinary = {(r.row, tuple(r.spans)) for r in sd.repeated_spans(frame).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        _, hot = sd.hot_cells(frame.select("doc_id", "text").filter("text is not null"))
+        assert len(hot) > 20
+        assert {(r.row, tuple(r.spans)) for r in sd.repeated_spans(frame).collect()} == ordinary
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"w{rng.randrange(9000)}" for _ in range(70))
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(300_000))
+    assert len(long) > CHUNK_BYTES
+    rows = [(1, long + " " + passage), (2, "a b c " + passage), (3, "nothing to see")]
+    got = [tuple(r) for r in sd.spans_by_document(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got == [(2, 3, 73, 70, 1)]
