@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.runtime import cut
@@ -16,15 +16,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     joined = both.join(least, "u")
-    if large:
-        return joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    if large:  # a link for each link at most, so what comes twice is left for the other step
+        return joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
     out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _cut_with_state(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` materialised, and what two equal sets of links have in common; seen while they are written."""
+    seen = Observation()
+    done = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+    state = seen.get
+    return done, (state["n"], state["h"])
 
 
 def components(edges: DataFrame, first: str = "a", second: str = "b", most: int = 60) -> DataFrame:
@@ -33,14 +36,11 @@ def components(edges: DataFrame, first: str = "a", second: str = "b", most: int
     Nulls and self-links are ignored; repeated links count once; no edges give an empty table.  Labels stay distributed.
     """
     x, y = F.col(first), F.col(second)
-    current = cut(edges.filter(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
-    seen = _state(current)
+    current, seen = _cut_with_state(edges.filter(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
     for _ in range(most):
         if not seen[0]:
             break
-        following = cut(_star(cut(_star(current, large=True)), large=False))
-        state = _state(following)
-        current = following
+        current, state = _cut_with_state(_star(cut(_star(current, large=True)), large=False))
         if state == seen:
             break
         seen = state

@@ -2,7 +2,8 @@
 
 ``families`` are loose groups: every pair that may be linked lies in one family.  A family of many members is cut into
 blocks and every pair of blocks is confirmed in a task of its own, so no task holds more than two blocks.  A task
-reports, instead of all its links, a star per connected group of members, which has the same components.
+reports, instead of all its links, a star per connected group of members, which has the same components.  For a family of
+one block these are its components; only the stars of larger families are joined further.
 """
 
 from __future__ import annotations
@@ -61,20 +62,21 @@ def stars(nodes: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for rows in rows_by_key(batches, ["family", "i", "j"]):
         rows = rows.combine_chunks()
-        node = rows.column("node").to_numpy()
+        node, blocks = rows.column("node").to_numpy(), rows.column("blocks").to_numpy()
         values = rows.column("hashes").chunk(0) if rows.num_rows else None
         cuts = group_bounds(*(rows.column(k).to_numpy() for k in ("family", "i", "j")))
-        left, right = [], []
+        left, right, whole = [], [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b - a > 1:
                 sets = [np.frombuffer(values[k].as_buffer(), np.uint64) for k in range(a, b)]
                 x, y = stars(node[a:b], link_matrix(sets, percent))
                 left.append(x)
                 right.append(y)
+                whole.append(np.full(len(x), blocks[a] == 1))
         if left:
-            x, y = np.concatenate(left), np.concatenate(right)
-            keep = x != y
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], ["a", "b"])
+            x, y, z = np.concatenate(left), np.concatenate(right), np.concatenate(whole)
+            keep = (x != y) | z
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep]), pa.array(z[keep])], ["a", "b", "whole"])
 
 
 def families(loose: DataFrame) -> DataFrame:
@@ -89,7 +91,8 @@ def families(loose: DataFrame) -> DataFrame:
 def confirmed_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the exact links among ``members`` (from ``families``), by ``sets`` (node, hashes: sorted uint64)."""
     rows = sets.join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "hashes", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("node", "hashes", "family", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
-    edges = rows.mapInArrow(lambda batches: confirm(batches, percent), "a long, b long")
-    return components(edges)
+    edges = cut(rows.mapInArrow(lambda batches: confirm(batches, percent), "a long, b long, whole boolean"))
+    single = edges.filter("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return single.unionByName(components(edges.filter("not whole")))

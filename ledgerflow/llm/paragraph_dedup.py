@@ -145,12 +145,15 @@ def _bands(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of a band in order of size, unless the larger is too large."""
+    """Links of a band: in order of size, nodes of which each allows the similarity with the next are linked with the first."""
     for rows in rows_by_key(batches, ["key"]):
         key, n, node = (rows.column(c).to_numpy() for c in ("key", "n", "node"))
-        ok = np.flatnonzero((key[1:] == key[:-1]) & (100 * n[:-1].astype(np.int64) >= PERCENT * n[1:]) & (node[1:] != node[:-1]))
+        apart = (key[1:] != key[:-1]) | (100 * n[:-1].astype(np.int64) < PERCENT * n[1:])
+        first = np.concatenate([[0], np.flatnonzero(apart) + 1])
+        hub = np.repeat(node[first], np.diff(np.append(first, len(node))))
+        ok = np.flatnonzero(hub != node)
         if len(ok):
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[ok], node[ok + 1])), pa.array(np.minimum(node[ok], node[ok + 1]))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[ok], hub[ok])), pa.array(np.minimum(node[ok], hub[ok]))], ["a", "b"])
 
 
 def _line_roots(texts: DataFrame, least: int) -> DataFrame:
