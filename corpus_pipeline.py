@@ -15,25 +15,44 @@ from ledgerflow.llm.runtime import table, table_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the toxicity model, fitted on the labels of those at hand, scores below one half."""
+    """Keep the documents that the toxicity model, fitted on the labels of those at hand, scores below one half.
+
+    Each row is scored by itself: repeated rows, and rows of one id, have one fate if their texts are equal.  A null or
+    empty text and a null id stay; without labels of both classes all rows stay or go by the class there is, and
+    without any all stay.  Texts are read whole; columns of any other name pass through; an empty table gives no rows.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter("toxicity < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
-    gone = minhash_dedup.near_duplicates(docs, k=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep the smallest doc_id of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more.
+
+    Rows stand or fall one by one, so of rows of one id with different texts only the duplicates go; of rows of one id
+    and text, null ids included, one stays.  Other rows of a null id and rows without words stay.  Columns of any other
+    name pass through; an empty table gives no rows.
+    """
+    gone = minhash_dedup.near_duplicates(docs, k=5, percent=80, with_row=True).filter("not kept").select("row_hash").distinct()
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # no name of the table meets one used here
+    row = F.xxhash64(F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}"))
+    left = plain.withColumn("row_hash", row).join(gone, "row_hash", "left_anti").dropDuplicates(["row_hash"])
+    return left.drop("row_hash").toDF(*names)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 50 words or more that an earlier document holds; ``n_chars`` follows the text."""
+    """Cut passages of 50 words or more that an earlier document holds; ``n_chars`` follows the text.
+
+    All rows stay; null texts stay null, a text of nothing but repeats becomes empty; a null id comes last.  Repeats
+    between rows of one id are none.  Columns of any other name pass through; an empty table gives no rows.
+    """
     left = suffix_dedup.without_repeats(docs)
     return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the token pieces of all documents into sequences of 1024."""
+    """Pack the token pieces of all documents into sequences of 1024; a null text is empty, repeated rows are each packed,
+    and an empty table gives no rows."""
     return pack_documents(spark, docs)
 
 

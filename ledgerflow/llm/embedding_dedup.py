@@ -40,6 +40,9 @@ class Index:
     books: list[np.ndarray]  # for each subspace, codes x width
     cuts: list[int]
 
+    def __post_init__(self):
+        self.apart = np.stack([np.sqrt(((self.coarse - c) ** 2).sum(1)) for c in self.coarse])  # between centroids
+
     def nearest(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.coarse.T - 0.5 * (self.coarse**2).sum(1)).argmax(1)
 
@@ -57,8 +60,7 @@ class Index:
         """Which lists can hold a vector within ``radius`` of x (rows x lists), for lists from x's own on."""
         value = x @ self.coarse.T - 0.5 * (self.coarse**2).sum(1)
         ahead = value[np.arange(len(x)), own][:, None] - value
-        apart = np.sqrt(np.maximum(((self.coarse[own][:, None, :] - self.coarse[None, :, :]) ** 2).sum(2), 0))
-        return (ahead <= radius * apart + _SLACK) & (np.arange(len(self.coarse))[None, :] >= own[:, None])
+        return (ahead <= radius * self.apart[own] + _SLACK) & (np.arange(len(self.coarse))[None, :] >= own[:, None])
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -87,6 +89,8 @@ def _unit(column: pa.Array, dimension: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dimension)
+    # a power of two first, which rounds nothing, so that squares of very large or small components stay numbers
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if len(x) else x
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -171,7 +175,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     Vectors of equal, non-null label are linked if their cosine in double precision is at least ``threshold``.  A vector
     that is null, empty, zero or holds a null or a component that is not finite links with nothing, nor does one of a
     null vec_id (whose component is null, and which is kept).  Vectors of different lengths are never compared.  Rows of
-    one vec_id are one vector: they do not link with each other, each is returned, with the links of all of them.
+    one vec_id are one vector: they do not link with each other, each is returned, with the links of all of them; where
+    they hold different embeddings, a neighbour of several counts once for each.  Components of any finite size are
+    compared; a vector of any length is; other columns are not read; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     whole = F.col("embedding").cast("array<double>")

@@ -4,7 +4,7 @@ A document's signature is 48 MinHash values of 16 bits.  It is split into 8 chun
 principle, signatures that differ in at most 15 values have a chunk with at most one difference.  Each chunk is indexed
 once per allowed error position (the chunk without that value), so two such signatures meet in at least one of 48
 buckets: no pair under the distance is lost.  A pair of Jaccard similarity 0.85 whose signatures are farther apart is
-still met unless all 8 chunks have two differences or more (probability 6e-6).
+still met unless all 8 chunks have two differences or more (probability 6e-6; 2e-4 at 0.80, the least that is allowed).
 
 Buckets only propose: documents that meet form loose families, and links are confirmed on the full shingle sets.
 Equal sets are one class from the start, so copies never meet in buckets.
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import words
@@ -25,7 +25,7 @@ from ledgerflow.llm.runtime import cut, filter_position, group_bounds, membershi
 
 CHUNKS, WIDTH = 8, 6
 VALUES = CHUNKS * WIDTH
-#: Pairs in a bucket whose 2-bit sketches differ in more places are not proposed; at similarity 0.8, 1 pair in 10**5.
+#: In small buckets, pairs whose 2-bit sketches differ in more places are not proposed; at similarity 0.8, 1 pair in 10**5.
 SKETCH_DISTANCE = 18
 #: Buckets up to this size are compared pair by pair on sketches; the members of a larger one are joined in one family.
 SMALL_BUCKET = 48
@@ -52,12 +52,13 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(i, j - i),
+                    batch.column("row_hash").slice(i, j - i),
                     pa.array(np.diff(at)),
                     pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)),
                     pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)),
                     pa.Array.from_buffers(pa.binary(), j - i, [None, places, flat]),
                 ],
-                ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                ["doc_id", "row_hash", "n_shingles", "set_a", "set_b", "signature"],
             )
 
 
@@ -118,20 +119,26 @@ def propose(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+def row_hash() -> Column:
+    """Stands for a row's id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, with_row: bool = False) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and if asked for ``row_hash``,
+    the ``row_hash`` of its id and text.
 
     Documents whose sets of distinct ``k``-word shingles have 100 * |intersection| >= percent * |union| are linked;
     ``component_id`` is the smallest doc_id a document reaches over links, ``kept`` whether that is itself.
     A null, empty or blank text has no shingles and links with nothing; fewer than ``k`` words are one shingle.  A null
     doc_id links with nothing, has a null component and is kept.  Rows of one doc_id and one set are one document in two
-    rows, each of which is returned; other columns of ``docs`` are not read.  ``percent`` must be at least 60: the
-    signature index is built for similarities from there up to 1.
+    rows, each of which is returned; other columns of ``docs`` are not read.  ``percent`` must be at least
+    80: the signature index is built for similarities from there up to 1, and loses pairs below.  An empty table gives no rows.
     """
-    if not 60 <= percent <= 100:
-        raise ValueError("percent must lie in 60..100")
-    texts = docs.select("doc_id", "text")
-    summary = cut(texts.mapInArrow(lambda b: _signatures(b, k), "doc_id long, n_shingles long, set_a long, set_b long, signature binary"))
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must lie in 80..100")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_hash().alias("row_hash"))
+    summary = cut(texts.mapInArrow(lambda b: _signatures(b, k), "doc_id long, row_hash long, n_shingles long, set_a long, set_b long, signature binary"))
     classes = cut(
         summary.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("set_a", "set_b", F.col("n_shingles").alias("n"))
@@ -156,5 +163,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return (
         summary.drop("signature")
         .join(named.withColumnRenamed("n", "n_shingles"), ["set_a", "set_b", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+        .select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"), *["row_hash"] * with_row)
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,11 +14,16 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); only where unset, as in tests, a local one."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, a local one on a local
+    master, as in tests, and an error on any other."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
-        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerflow-")
+        root = context.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="ledgerflow-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root.rstrip("/")

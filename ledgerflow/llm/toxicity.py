@@ -2,9 +2,11 @@
 
 A word is the mean of its character n-gram vectors (hashed into a fixed number of buckets), a passage of a few words is
 the mean of its words, and a linear softmax over two classes reads the passage.  Vectors and softmax are trained jointly
-in numpy.  A document is as toxic as its most toxic passage, so a few words are not diluted by a long clean text; in
-training, each toxic document's passage is the one that the current model scores highest, and clean documents learn from
-the passages that it scores highest as well.  Misspelt words share n-grams with their originals.
+in numpy.  A document is as toxic as the most toxic of its passages, which begin at every word, so a few words are not
+diluted by a long clean text; in training, each toxic document's passage is the one that the current model scores
+highest, and clean documents learn from the passages that it scores highest as well.  Words of a training passage but
+its highest are dropped at random, so that a toxic word counts beside any others.  Misspelt words share n-grams with
+their originals.  Scores are calibrated by a model of four fifths of the documents on the fifth that it has not seen.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled rows per class, the driver's only rows; since averaging and softmax
 are linear in the vectors, all it hands out is one number per bucket, of fixed size, and scoring needs one pass over the
@@ -26,10 +28,14 @@ from ledgerflow.llm import words
 BUCKETS = 1 << 17
 DIMENSIONS = 12
 GRAMS = (3, 4, 5, 6)
-#: Words of a passage.
-PASSAGE = 6
+#: Words of a passage; a shorter text is one passage.
+PASSAGE = 3
+#: How many of a training passage's words, but its highest, are dropped.
+DROPPED = 0.4
 #: Most labelled rows per class that the model is fitted on, chosen by a hash of the id.
 TRAIN_ROWS = 2000
+#: Most bytes of a text in the fitting sample.
+TRAIN_BYTES = 1 << 16
 EPOCHS = 14
 _U = np.uint64
 
@@ -76,12 +82,22 @@ def word_grams(texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarra
         yield i, j, found, bounds, hashes
 
 
-def _passages(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word offsets of passages (the last of a text may be short) and passage offsets of the texts."""
-    count = -(-np.diff(bounds) // PASSAGE)
+def _passages(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of all passages, the words after them, and passage offsets of the texts."""
+    words_in = np.diff(bounds)
+    count = np.where(words_in >= PASSAGE, words_in - PASSAGE + 1, np.minimum(words_in, 1))
     per_text = np.concatenate([[0], np.cumsum(count)])
-    start = np.repeat(bounds[:-1], count) + PASSAGE * (np.arange(per_text[-1]) - np.repeat(per_text[:-1], count))
-    return np.append(start, bounds[-1]), per_text
+    start = np.arange(per_text[-1]) + np.repeat(bounds[:-1] - per_text[:-1], count)
+    return start, np.minimum(start + PASSAGE, np.repeat(bounds[1:], count)), per_text
+
+
+def _passage_means(word: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(word, dtype=np.float64)])
+    return (total[stop] - total[start]) / (stop - start)
+
+
+def _passage_maxima(word: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return np.max([word[np.minimum(start + k, stop - 1)] for k in range(PASSAGE)], axis=0)
 
 
 def _means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -106,34 +122,41 @@ class Model:
                 word += np.bincount(owner, weights=self.weight[bucket], minlength=len(hashes))
                 count += np.bincount(owner, minlength=len(hashes))
             word /= count
-            start, per_text = _passages(bounds)
-            passage = _means(word, start) + self.bias
+            start, stop, per_text = _passages(bounds)
+            passage = _passage_means(word, start, stop) + self.bias
             have = np.flatnonzero(np.diff(per_text) > 0)
             out[i + have] = np.maximum.reduceat(passage, per_text[:-1][have])
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def _guess(y: np.ndarray, per_text: np.ndarray, start: np.ndarray, text_word: np.ndarray, grams: np.ndarray, gram_at: np.ndarray, size_of: np.ndarray) -> np.ndarray:
-    """A first score of each passage: its highest word by the mean log odds of the word's n-grams over texts of either class."""
-    seen = np.zeros((2, BUCKETS))
-    for t in range(len(y)):
-        w = np.unique(text_word[start[per_text[t]] : start[per_text[t + 1]]])
-        if len(w):
-            n = size_of[w]
-            g = grams[np.repeat(gram_at[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            seen[int(y[t])][np.unique(g)] += 1
-    share = (seen + 0.5) / (np.array([(y == 0).sum(), (y == 1).sum()])[:, None] + 1)
-    word = _means(np.log(share[1] / share[0])[grams], gram_at)
-    return np.maximum.reduceat(word[text_word], start[:-1])
+@dataclass
+class _Corpus:
+    """Labelled texts as numbers of distinct words, and the n-gram buckets of these."""
 
+    y: np.ndarray
+    text_word: np.ndarray
+    bounds: np.ndarray
+    grams: np.ndarray
+    gram_at: np.ndarray
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
-    """Joint training of n-gram vectors and softmax by Adagrad; with fewer than two classes or no words, a constant score."""
-    y = np.array(labels, np.float32)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), 9.0 if len(y) and y.min() == 1 else -9.0)
-    rng = np.random.default_rng(seed)
-    # distinct words once: their n-grams, and texts as word numbers
+    def __post_init__(self):
+        self.start, self.stop, self.per_text = _passages(self.bounds)
+        self.size_of = np.diff(self.gram_at)
+
+    def grams_of(self, w: np.ndarray) -> np.ndarray:
+        n = self.size_of[w]
+        return self.grams[np.repeat(self.gram_at[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+    def word_scores(self, difference: np.ndarray) -> np.ndarray:
+        """Of each word of the texts."""
+        return _means(difference[self.grams], self.gram_at)[self.text_word]
+
+    def text_scores(self, model: Model, texts: np.ndarray) -> np.ndarray:
+        passage = _passage_means(self.word_scores(model.weight), self.start, self.stop) + model.bias
+        return np.array([passage[self.per_text[t] : self.per_text[t + 1]].max() for t in texts])
+
+
+def _corpus(texts: list[str | None], y: np.ndarray) -> _Corpus | None:
     hashes, gram_parts, counts = [], [], []
     for _, _, found, bounds, h in word_grams(pa.array(texts, pa.large_string())):
         unique, where = np.unique(h, return_index=True)
@@ -147,8 +170,8 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         hashes.append(h)
         counts.append(np.diff(bounds))
     all_words = np.concatenate(hashes)
-    if not len(all_words):  # no text has a word
-        return Model(np.zeros(BUCKETS, np.float32), float(np.clip(np.log(y.mean() / (1 - y.mean())), -9, 9)))
+    if not len(all_words):
+        return None
     vocabulary, text_word = np.unique(all_words, return_inverse=True)
     size_of, grams_of = np.zeros(len(vocabulary), np.int64), [None] * len(vocabulary)
     for unique, take, bucket in gram_parts:
@@ -158,47 +181,60 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
             if grams_of[v] is None:
                 grams_of[v] = bucket[a:b]
                 size_of[v] = b - a
-    grams, gram_at = np.concatenate(grams_of), np.concatenate([[0], np.cumsum(size_of)])
     bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-    start, per_text = _passages(bounds)
-    have = np.flatnonzero(np.diff(per_text) > 0)
-    passages = np.diff(per_text)
+    return _Corpus(y, text_word, bounds, np.concatenate(grams_of), np.concatenate([[0], np.cumsum(size_of)]))
 
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+
+def _guess(corpus: _Corpus, texts: np.ndarray) -> np.ndarray:
+    """A first score of each passage: its highest word by the mean log odds of the word's n-grams over ``texts`` of either class."""
+    seen = np.zeros((2, BUCKETS))
+    for t in texts:
+        g = corpus.grams_of(np.unique(corpus.text_word[corpus.bounds[t] : corpus.bounds[t + 1]]))
+        seen[int(corpus.y[t])][np.unique(g)] += 1
+    share = (seen + 0.5) / (np.bincount(corpus.y[texts].astype(int), minlength=2)[:, None] + 1)
+    return _passage_maxima(corpus.word_scores(np.log(share[1] / share[0])), corpus.start, corpus.stop)
+
+
+def _trained(corpus: _Corpus, texts: np.ndarray, seed: int) -> Model:
+    """Vectors and softmax from ``texts``, which have words, by Adagrad."""
+    rng = np.random.default_rng(seed)
+    y, per_text, passages = corpus.y[texts], corpus.per_text, np.diff(corpus.per_text)[texts]
+    mine = np.repeat(per_text[texts], passages) + np.arange(passages.sum()) - np.repeat(np.cumsum(passages) - passages, passages)
+    first = np.cumsum(passages) - passages
+    start, stop = corpus.start[mine], corpus.stop[mine]
+    vectors = rng.normal(0, 0.05, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax = np.stack([np.full(DIMENSIONS, -0.5), np.full(DIMENSIONS, 0.5)]).astype(np.float32) * rng.choice([-1, 1], DIMENSIONS)
     bias = np.array([0.0, -1.0], np.float32)
     seen_v, seen_s, seen_b = np.full(BUCKETS, 1e-8, np.float32), np.full_like(softmax, 1e-2), np.full(2, 1e-2, np.float32)
-
-    def difference() -> np.ndarray:
-        return vectors @ (softmax[1] - softmax[0])
-
-    first_guess = _guess(y, per_text, start, text_word, grams, gram_at, size_of)
-    epochs = min(5 * EPOCHS, max(EPOCHS, 40_000 // len(y)))  # few examples are seen more often
+    guess = _guess(corpus, texts)[mine]
+    epochs = min(4 * EPOCHS, max(EPOCHS, 40_000 // len(y)))  # few examples are seen more often
+    clean = np.flatnonzero(y == 0)
     for epoch in range(epochs):
         rate = 1 - 0.95 * epoch / epochs
-        picked = []
-        if epoch < 3:  # before the model knows anything
-            score = first_guess
-        else:
-            score = _means(_means(difference()[grams], gram_at)[text_word], start) + bias[1] - bias[0]
-        best = np.maximum.reduceat(score, per_text[:-1][have])
-        top = np.flatnonzero(score == np.repeat(best, passages[have]))
-        owner = np.searchsorted(per_text, top, side="right") - 1
-        picked.append(top[np.unique(owner, return_index=True)[1]])
-        clean = have[y[have] == 0]
-        picked += [per_text[clean] + (rng.random(len(clean)) * passages[clean]).astype(np.int64) for _ in range(3)]
+        word = corpus.word_scores(vectors @ (softmax[1] - softmax[0]))
+        score = guess if epoch < 3 else _passage_means(word, start, stop)  # at first the model knows nothing
+        best = np.maximum.reduceat(score, first)
+        top = np.flatnonzero(score == np.repeat(best, passages))
+        owner = np.searchsorted(first, top, side="right") - 1
+        picked = [top[np.unique(owner, return_index=True)[1]]]
+        picked += [first[clean] + (rng.random(len(clean)) * passages[clean]).astype(np.int64) for _ in range(4)]
         chosen = rng.permutation(np.concatenate(picked))
-        target = y[np.searchsorted(per_text, chosen, side="right") - 1]
+        target = y[np.searchsorted(first, chosen, side="right") - 1]
         size = min(256, max(8, len(chosen) // 24))  # few examples still make enough steps
         for low in range(0, len(chosen), size):
             seg, t = chosen[low : low + size], target[low : low + size]
-            n_words = start[seg + 1] - start[seg]
-            w = text_word[np.repeat(start[seg], n_words) + np.arange(n_words.sum()) - np.repeat(np.cumsum(n_words) - n_words, n_words)]
-            n_grams = size_of[w]
-            g = grams[np.repeat(gram_at[w], n_grams) + np.arange(n_grams.sum()) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams)]
-            share = (1 / np.repeat(n_words, n_words)).astype(np.float32)
-            per_gram = np.repeat(share / n_grams, n_grams)
-            seg_of_gram = np.repeat(np.repeat(np.arange(len(seg)), n_words), n_grams)
+            count = stop[seg] - start[seg]
+            seg_of_word = np.repeat(np.arange(len(seg)), count)
+            place = np.repeat(start[seg], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            value = word[place]
+            highest = value == np.maximum.reduceat(value, np.cumsum(count) - count)[seg_of_word]
+            keep = highest | (rng.random(len(place)) >= DROPPED)
+            w, seg_of_word = corpus.text_word[place[keep]], seg_of_word[keep]
+            n_words = np.bincount(seg_of_word, minlength=len(seg))
+            n_grams = corpus.size_of[w]
+            g = corpus.grams_of(w)
+            per_gram = np.repeat((1 / n_words[seg_of_word] / n_grams).astype(np.float32), n_grams)
+            seg_of_gram = np.repeat(seg_of_word, n_grams)
             seg_at = np.searchsorted(seg_of_gram, np.arange(len(seg)))
             mean = np.add.reduceat(vectors[g] * per_gram[:, None], seg_at)
             logit = mean @ softmax.T + bias
@@ -214,14 +250,40 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
             softmax -= 0.05 * rate * grad_s / np.sqrt(seen_s)
             seen_b += grad_b**2
             bias -= 0.1 * rate * grad_b / np.sqrt(seen_b)
-    model = Model(difference().astype(np.float32), float(bias[1] - bias[0]))
-    score = _means(_means(model.weight[grams], gram_at)[text_word], start) + model.bias
-    slope, shift = _calibrated(np.maximum.reduceat(score, per_text[:-1][have]).astype(float), y[have])
+    return Model((vectors @ (softmax[1] - softmax[0])).astype(np.float32), float(bias[1] - bias[0]))
+
+
+def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
+    """Joint training of n-gram vectors and softmax; with fewer than two classes or no words, a constant score.
+
+    Repeated texts count as often as they come; the order of the texts decides which of them calibrate the scores."""
+    y = np.array(labels, np.float32)
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(BUCKETS, np.float32), 9.0 if len(y) and y.min() == 1 else -9.0)
+    corpus = _corpus(texts, y)
+    if corpus is None:  # no text has a word
+        return Model(np.zeros(BUCKETS, np.float32), float(np.clip(np.log(y.mean() / (1 - y.mean())), -9, 9)))
+    have = np.flatnonzero(np.diff(corpus.bounds) > 0)
+    if y[have].min() == y[have].max():
+        return Model(np.zeros(BUCKETS, np.float32), float(np.clip(np.log(y.mean() / (1 - y.mean())), -9, 9)))
+    # every fifth text of either class is held back
+    rank = np.zeros(len(have), np.int64)
+    for c in (0, 1):
+        rank[y[have] == c] = np.arange((y[have] == c).sum())
+    back, rest = have[rank % 5 == 4], have[rank % 5 != 4]
+    model = _trained(corpus, have, seed)
+    if len(np.unique(y[back])) < 2:
+        back, trial = have, model
+    else:
+        trial = _trained(corpus, rest, seed)
+    slope, shift = _calibrated(corpus.text_scores(trial, back), y[back])
     return Model((model.weight * slope).astype(np.float32), model.bias * slope + shift)
 
 
 def _calibrated(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that make the texts' scores log odds of their labels: Platt scaling by Newton steps.
+    """Slope and shift that make the texts' scores log odds of their labels, were both classes as frequent: Platt scaling by
+    Newton steps, then half of the classes' own log odds taken off: a toxic document that is missed weighs more than a clean
+    one that is flagged, by the root of how much rarer it is.
 
     Passages are trained one by one, but a text is read by its highest, which lies higher the longer it is."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
@@ -236,18 +298,21 @@ def _calibrated(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         at = at - np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-6:
             break
-    return float(max(at[0], 1e-3)), float(at[1])
+    return float(max(at[0], 1e-3)), float(at[1] + 0.5 * np.log(n0 / n1))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bytes_each: int = TRAIN_BYTES) -> Model:
     """Fit on at most ``rows`` labelled documents per class, never on those held out (crc32 of the id modulo 5 is 0).
 
-    Labels with a null id or mark are ignored; of several marks of one document the larger counts.  Only the labels are
-    ranked (by a hash of the id); the chosen ids, of bounded number, are broadcast to fetch their texts.
+    Labels with a null id or mark are ignored; of several marks of one document the larger counts, of several rows of one
+    id the one with the least hash of its text.  Only the labels are ranked (by a hash of the id); the chosen ids, of
+    bounded number, are broadcast to fetch their texts.  A chosen text of more than ``bytes_each`` bytes is left out of the
+    fitting sample, so that the driver gets ``2 * rows * bytes_each`` bytes at most; scoring reads every text whole.
+    An empty table or no label gives a constant score.
     """
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
@@ -255,14 +320,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     ids = [(r["doc_id"], r["toxic"]) for r in chosen.collect()]
     spark = docs.sparkSession
     small = spark.createDataFrame(ids, "doc_id long, toxic int")
-    found = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", "text", "toxic").collect()
+    texts = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= bytes_each)
+    found = texts.join(F.broadcast(small), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return fit([r["text"] for r in found], [r["toxic"] for r in found])
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of ``docs`` (by default all) with ``toxicity`` from 0 to 1 of its ``text``; a null text is
-    empty, a column that already has the name ``toxicity`` is replaced."""
+    empty, a column that already has the name ``toxicity`` is replaced.  Every row is scored by itself, repeated rows alike
+    and texts of any length whole; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [n for n in (docs.columns if carry is None else carry) if n != "toxicity"]
 

@@ -48,3 +48,10 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(0, 0, None, True), (2, 1, 2, True), (3, 1, 2, False), (3, 1, 2, False)]
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1e200], 1), (3, [1e-200, 0.0], 1), (4, [3e-310, 0.0], 1), (5, [1.0, 1.0], 1), (6, [1e308, -1e308], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(frame, 0.98).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (1, 3), 4: (1, 3), 6: (0, 6)}

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 
 from ledgerflow.llm import fingerprints as fp
@@ -61,3 +62,30 @@ def test_a_phrase_repeated_often_does_not_wrap():
     for k in (1, 2):
         assert fp.likeness(equal[[0]], like[[0]], equal[[k]], like[[k]])[0] > 0.99
     assert fp.combine(of("\n".join(texts[:2])), of(texts[1]), -1) == of(texts[0])
+
+
+def test_likeness_against_counted_shingles():
+    """The estimate against the cosine of all shingle counts."""
+    from collections import Counter
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 900, 400)) for _ in range(12)]
+    pairs = []
+    for t in texts:
+        w = t.split()
+        for share in (0.1, 0.5, 0.9):
+            n = int(len(w) * share)
+            pairs.append((t, " ".join(w[:n] + [f"v{x}" for x in rng.integers(0, 900, len(w) - n)])))
+    pairs += [(texts[0] + "\n" + texts[1], texts[1] + "\n" + texts[0]), (texts[0], texts[0])]
+
+    def counts(text):
+        w = [line.split() for line in text.lower().split("\n")]
+        return Counter(tuple(x[k : k + 3]) for x in w for k in range(len(x) - 2))
+
+    def cosine(a, b):
+        x, y = counts(a), counts(b)
+        return sum(x[g] * y[g] for g in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+
+    a, b = fp.vectors(pa.array([p[0] for p in pairs])), fp.vectors(pa.array([p[1] for p in pairs]))
+    error = fp.likeness(*a, *b) - np.array([cosine(*p) for p in pairs])
+    assert np.abs(error).max() < 0.25 and np.sqrt((error**2).mean()) < 0.08 and (error[-2:] == 0).all()

@@ -62,3 +62,22 @@ def test_stages_and_result(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == sizes
+
+
+def test_rows_of_one_id_and_edges(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    one, two = (" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(2))
+    rows = [(1, one), (2, one), (2, two), (3, two), (4, "alone here"), (4, "alone here"), (None, one), (None, one), (5, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in rows], COLUMNS)
+    left = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert left == sorted([(0, one), (1, one), (2, two), (4, "alone here"), (5, ""), (6, "")])
+    named = docs.withColumnRenamed("lang", "row_hash").withColumnRenamed("source", "node")
+    assert corpus_pipeline.drop_near_duplicates(spark, named, str(tmp_path)).columns == named.columns
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.filter("doc_id = 5 and text is null").count() == 1

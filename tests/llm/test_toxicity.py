@@ -1,9 +1,12 @@
 """Toxicity: held-out accuracy, whole texts, defined edges."""
 
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from ledgerflow.llm import toxicity
 
@@ -48,3 +51,33 @@ def test_without_both_classes(spark):
 def test_texts_without_words():
     model = toxicity.fit([None, "", "..."], [0, 0, 1])
     assert (model.score(pa.array(["", "a b"])) < 0.5).all()
+
+
+def test_one_known_word_among_unseen_ones():
+    """A toxic word counts in a short text whose other words the model has never met."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    bad = ["idiotx", "moronz", "stupidq"]
+    texts = [" ".join([word() for _ in range(rng.choice([20, 100]))] + ([str(rng.choice(bad))] if i % 4 == 0 else [])) for i in range(400)]
+    model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(400)])
+    toxic = [" ".join([word() for _ in range(10)] + [str(rng.choice(bad))] + [word() for _ in range(9)]) for _ in range(60)]
+    clean = [" ".join(word() for _ in range(20)) for _ in range(200)]
+    assert (model.score(pa.array(toxic)) >= 0.5).mean() >= 0.95 and (model.score(pa.array(clean)) >= 0.5).mean() <= 0.02
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_held_out_documents_of_the_test_tables(spark):
+    """One in ten toxic documents there has no toxic word (junk texts with a random mark), so recall cannot reach 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    known = docs.select("doc_id", "text").join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id")))
+    got = toxicity.score(known, toxicity.train(docs, labels)).select("toxic", "toxicity").toPandas()
+    flagged = got.toxicity >= 0.5
+    assert flagged[got.toxic == 1].mean() >= 0.8 and flagged[got.toxic == 0].mean() <= 0.05
+
+
+def test_repeated_rows_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "bad word"), (1, "bad word"), (1, "another text"), (2, None), (3, "x " * 90_000 + "bad word")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 4)] + [(1, 0)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(got) == 5 and len({r.toxicity for r in got if r.text == "bad word"}) == 1
