@@ -243,6 +243,7 @@ METADATA_TERMS = [
     "computer generated statement", "licensed by", "corporate office", "page of", "address last updated", "regd. mobile number", "customer id", "email id",
     "account open date", "type of account", "account status", "effective available balance", "date of issue", "ifsc", "micr code", "swift code", "nomination",
 ]
+# Issue codes with severity and message, in the order of the checks.
 ISSUES = {
     "MISSING_TRANSACTION_DATE": ("error", "Transaction date is missing."),
     "POSTING_DATE_BEFORE_TRANSACTION_DATE": ("warning", "Posting date occurs before transaction date."),
@@ -254,8 +255,9 @@ ISSUES = {
     "MISSING_DESCRIPTION": ("error", "Transaction description is missing."),
     "SHORT_DESCRIPTION": ("warning", "Transaction description is unusually short."),
     "MISSING_DIRECTION": ("error", "Transaction debit/credit direction is missing."),
-    "AMOUNT_MISMATCH": ("warning", "Statement amount differs from original amount without an exchange rate."),
+    "AMOUNT_MISMATCH": ("warning", "Original amount and statement amount differ without an exchange rate."),
     "BALANCE_MISMATCH": ("warning", "Running balance does not match the transaction amount and direction."),
     "POSSIBLE_DUPLICATE": ("warning", "A transaction with the same date, amount, direction and description already exists."),
 }
+# Month names.
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()

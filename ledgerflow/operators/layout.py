@@ -11,24 +11,11 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions import classify, values
 from ledgerflow.functions.dialect import SPARK as S
+from ledgerflow.functions.headers import PHRASES, exact_role
 from ledgerflow.functions.vocabulary import BANK_SIGNALS, CARD_SIGNALS
 
 WORDS = "doc_id string, page_number int, text string, x0 double, x1 double, top double, bottom double"
 
-#: Header words and what a column of that header holds (fixed values).
-HEADERS = {
-    "transaction_date": ["date", "txn date", "trxn date", "transaction date", "tran date"],
-    "posting_date": ["post date", "posting date", "posted"],
-    "value_date": ["value date"],
-    "description": ["description", "particulars", "details", "narration", "remarks", "transaction details"],
-    "transaction_id": ["tran id", "transaction id", "reference", "ref no", "cheque no"],
-    "debit": ["debit", "withdrawal", "withdrawals", "paid out", "debits"],
-    "credit": ["credit", "deposit", "deposits", "paid in", "credits"],
-    "amount": ["amount", "transaction amount", "amount aed"],
-    "balance": ["balance", "running balance", "closing balance"],
-}
-
-
 def page_rows(words: DataFrame, tolerance: float = 4.0, running_mean: bool = False) -> DataFrame:
     """Add ``row``: the physical row of each word on its page (LAY1, HLP2).
 
@@ -57,25 +44,15 @@ def row_texts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "page_number", "row").agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("line"), F.min("top").alias("top"))
 
 
-def header_role(text: Column) -> Column:
-    """The column role of a header text, null if it has none (HDR1-5, OCR11)."""
-    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-    out = None
-    for role, names in HEADERS.items():
-        test = plain.isin(*names)
-        out = F.when(test, role) if out is None else out.when(test, role)
-    return out
-
-
 def detect_columns(rows: DataFrame) -> DataFrame:
-    """The header row of each page - the one with most roles, the first on ties - as columns with role and extent (STR1-9, HDR9).
+    """The header row of each page - the one with most roles, the first on ties - as columns with role and extent (STR1, STR3, STR9, HDR9).
 
     A header may be one word or two next to each other; roles must be three or more."""
     order = Window.partitionBy("doc_id", "page_number", "row").orderBy("x0")
     after, gap = F.lead("text").over(order), F.lead("x0").over(order) - F.col("x1")
-    both = F.when(gap <= 25, header_role(F.concat_ws(" ", "text", after)))
+    both = F.when(gap <= 25, exact_role(F.concat_ws(" ", "text", after)))
     found = rows.withColumn("pair", both).withColumn("end", F.when(both.isNotNull(), F.lead("x1").over(order)).otherwise(F.col("x1")))
-    found = found.withColumn("role", F.coalesce("pair", F.when(F.lag("pair").over(order).isNull(), header_role(F.col("text")))))
+    found = found.withColumn("role", F.coalesce("pair", F.when(F.lag("pair").over(order).isNull(), exact_role(F.col("text")))))
     found = found.filter("role is not null").select("doc_id", "page_number", "row", "role", "x0", F.col("end").alias("x1"), "top")
     counts = found.groupBy("doc_id", "page_number", "row").agg(F.count_distinct("role").alias("roles")).filter("roles >= 3")
     best = counts.groupBy("doc_id", "page_number").agg(F.max_by("row", F.struct("roles", (-F.col("row")).alias("first"))).alias("row"))
@@ -98,12 +75,12 @@ def raw_rows(words: DataFrame) -> DataFrame:
     rows = page_rows(words)
     cells = assign_columns(rows, detect_columns(rows))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
-    lines = cells.groupBy("doc_id", "page_number", "row").pivot("role", list(HEADERS)).agg(text)
+    lines = cells.groupBy("doc_id", "page_number", "row").pivot("role", list(PHRASES)).agg(text)
     order = Window.partitionBy("doc_id", "page_number").orderBy("row")
     opened = F.sum(F.when(F.col("balance").isNotNull() | F.col("amount").isNotNull() | F.col("debit").isNotNull() | F.col("credit").isNotNull(), 1).otherwise(0)).over(order)
     date = F.last(F.coalesce("transaction_date", "posting_date"), ignorenulls=True).over(order)
     grouped = lines.withColumn("entry", opened).withColumn("inherited", date).filter("entry > 0").groupBy("doc_id", "page_number", "entry")
-    first = [F.first(c, ignorenulls=True).alias(c) for c in HEADERS if c != "description"]
+    first = [F.first(c, ignorenulls=True).alias(c) for c in PHRASES if c != "description"]
     story = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "description"))), lambda r: r["description"]), " ")
     return grouped.agg(story.alias("description"), F.first("inherited").alias("inherited"), *first).withColumn("transaction_date", F.coalesce("transaction_date", "inherited")).drop("inherited")
 

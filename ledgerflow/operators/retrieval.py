@@ -82,14 +82,38 @@ def retrieve(indexed: DataFrame, questions: DataFrame, limit: int = 12, similar:
     return best.withColumn("rank", row).filter(F.col("rank") <= limit)
 
 
+#: Least similarity of a merchant name that a question spells otherwise (fixed value).
+ALIKE = 0.58
+_PLAIN = r"trim(regexp_replace(lower({}), '[^a-z0-9 ]', ' '))"
+
+
 def find_merchants(ledger: DataFrame, questions: DataFrame) -> DataFrame:
-    """The longest merchant name that a question contains, the last by name on ties (QA6)."""
+    """The longest merchant name that a question contains, the last by name on ties; without one the name most like the
+    question, at a similarity of 0.58 or more, again the last by name on ties (QA6, TXT9).
+
+    A question of n letters has at most n * (n + 1) / 2 stretches, so contained names are found by a join on stretches
+    that names have as lengths, not by comparing each name with each question; similar names meet questions by length.
+    """
     from ledgerflow.operators.memory import first_spellings
 
-    names = first_spellings(ledger).select("name", "name_key", F.explode(F.expr(text.tokens(S, "name"))).alias("word"))
-    asked = questions.select("question_id", F.lower("question").alias("q"), F.explode(F.expr(text.tokens(S, "question"))).alias("word"))
-    met = asked.join(names, "word").filter(F.contains("q", "name_key"))
-    return met.groupBy("question_id").agg(F.max(F.struct(F.length("name").alias("l"), "name"))["name"].alias("merchant"))
+    names = first_spellings(ledger).select("name", "name_key", F.length("name_key").alias("n"))
+    asked = questions.select("question_id", F.lower("question").alias("q"), F.expr(_PLAIN.format("question")).alias("p")).filter("q is not null")
+    sizes = names.select("n").distinct()
+    spans = asked.join(F.broadcast(sizes), F.expr("n <= length(q)"))  # one row a length of a name, of which there are few
+    pieces = spans.select("question_id", F.explode(F.expr("array_distinct(transform(sequence(1, length(q) - n + 1), i -> substring(q, i, n)))")).alias("name_key"))
+    met = pieces.join(names, "name_key").groupBy("question_id").agg(F.max(F.struct(F.length("name").alias("l"), "name"))["name"].alias("merchant"))
+    rest = asked.join(met, "question_id", "left_anti").filter("p <> ''")
+    shape = names.withColumn("c", F.expr(_PLAIN.format("name"))).filter("c <> ''").withColumn("cl", F.length("c"))
+    # a ratio of r needs lengths within r / (2 - r) of each other; a name within the question, once plain, has similarity 1
+    low, high = ALIKE / (2 - ALIKE), (2 - ALIKE) / ALIKE
+    lengths = rest.withColumn("cl", F.explode(F.sequence(F.ceil(F.length("p") * low).cast("int"), F.floor(F.length("p") * high).cast("int"))))
+    alike = lengths.join(shape, "cl").select("question_id", "name", ratio("p", "c").alias("r"))
+    plain_sizes = shape.select("cl").distinct()
+    inside = rest.join(F.broadcast(plain_sizes), F.expr("cl <= length(p)"))
+    inside = inside.select("question_id", F.explode(F.expr("array_distinct(transform(sequence(1, length(p) - cl + 1), i -> substring(p, i, cl)))")).alias("c"))
+    inside = inside.join(shape, "c").select("question_id", "name", F.lit(1.0).alias("r"))
+    best = alike.unionByName(inside).filter(F.col("r") >= ALIKE).groupBy("question_id").agg(F.max(F.struct("r", "name"))["name"].alias("merchant"))
+    return met.unionByName(best)
 
 
 def merchants(ledger: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.functions import classify, text, values
+from ledgerflow.functions import classify, headers, text, values
 from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.vocabulary import BANK_SIGNALS, CARD_SIGNALS, ISSUES, TAXONOMY, UNKNOWN_CURRENCIES
@@ -371,6 +371,16 @@ def _questions(spark: SparkSession) -> DataFrame:
 _add("retrieval_topk", lambda spark, sf_dir: retrieval.retrieve(retrieval.index(ledger(spark, sf_dir)), _questions(spark)))
 _add("find_merchant", lambda spark, sf_dir: retrieval.find_merchants(ledger(spark, sf_dir), _questions(spark)))
 
+
+
+def _headers(spark: SparkSession) -> DataFrame:
+    common = ["Date", "Value Date", "Particulars", "Tran ID", "Withdrawals", "Deposits", "Balance", "Post Date", "Trxn. Date", "Description", "Amount"]
+    spelt = ["Transaction Amounts", "Withdrawal (AED)", "Running Balances", "Posting Dat", "Credit Amnt", "Closing balance total", "Cheque", "Number", "Booking_Date", "Money  In", ""]
+    return spark.createDataFrame([(h,) for h in common + spelt], "header string")
+
+
+_add("header_map", lambda spark, sf_dir: headers.mapped(_headers(spark), memory.ratio))
+
 # report tables
 _add(
     "overview_export",
