@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.functions import classify, headers, text, values
+from ledgerflow.functions import classify, headers, text, tokens, values
 from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.vocabulary import BANK_SIGNALS, CARD_SIGNALS, ISSUES, TAXONOMY, UNKNOWN_CURRENCIES
@@ -381,6 +382,21 @@ def _headers(spark: SparkSession) -> DataFrame:
 
 _add("header_map", lambda spark, sf_dir: headers.mapped(_headers(spark), memory.ratio))
 
+_SHAPES = [
+    "{n}", "({n})", "{n}CR", "{n} DR", "|{n}|", "AED{n}", "{k}", "A{k}", "TFR", "{d}-08-2026", "{d}/AUG/26", "2026-0{d}-1", "Aug.", "{d}", "September", "{k}00000/X-1", "salary {n}", "payment to {k}",
+    "payment received fee", "{d}.12.2026 shop",
+]
+_WORD = "case " + " ".join(
+    f"when o_orderkey % {len(_SHAPES)} = {i} then concat(" + ", ".join({"n": "cast(cast(o_totalprice as decimal(18,2)) as varchar(40))", "k": "cast(o_orderkey as varchar(40))", "d": "cast(o_orderkey % 40 as varchar(40))"}.get(part, f"'{part}'") for part in re.split(r"[{}]", shape)) + ")"
+    for i, shape in enumerate(_SHAPES)
+) + " end"
+_add(
+    "token_tests",
+    lambda spark, sf_dir: table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_WORD} as word").selectExpr("o_orderkey", "word", *(f"{t(S, 'word')} as {n}" for n, t in tokens.TESTS.items())),
+    "select o_orderkey, word, " + ", ".join(f"{t(D, 'word')} as {n}" for n, t in tokens.TESTS.items()) + f" from (select o_orderkey, {_WORD} as word from orders)",
+    base=False,
+)
+
 # report tables
 _add(
     "overview_export",
