@@ -67,7 +67,7 @@ def test_one_known_word_among_unseen_ones():
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
 def test_held_out_documents_of_the_test_tables(spark):
-    """One in ten toxic documents there has no toxic word (junk texts with a random mark), so recall cannot reach 1."""
+    """One in twenty toxic documents there has no toxic word (junk texts with a random mark), so recall cannot reach 1."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     known = docs.select("doc_id", "text").join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id")))
