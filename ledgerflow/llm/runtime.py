@@ -44,6 +44,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text that one portion of documents holds, at most by half again.
+PORTION_BYTES = 64 << 20
+
+
+def portions_of(docs: DataFrame) -> int:
+    """How many portions to deal ``docs`` (text) in: as many as shuffle partitions, more where texts are more than 64 MiB each."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).collect()[0]["size"] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // PORTION_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
