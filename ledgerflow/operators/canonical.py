@@ -98,10 +98,14 @@ def display_rows(ledger: DataFrame) -> DataFrame:
     )
 
 
-def search(ledger: DataFrame, words: str = "", direction: str | None = None, category: str | None = None, review: bool | None = None) -> DataFrame:
-    """Rows whose merchant or description contains ``words`` in any case, with equal direction, category, status (FLT1-8)."""
+def search(ledger: DataFrame, words: str = "", direction: str | None = None, category: str | None = None, review: bool | None = None, pattern: bool = False) -> DataFrame:
+    """Rows whose merchant or description contains ``words`` in any case, as a text or as a ``pattern`` (a regular
+    expression), with equal direction, category, status (FLT1-4, FLT8)."""
     rows = ledger
-    if words:
+    if words and pattern:
+        found = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(f"(?iu){words}")
+        rows = rows.filter(found("merchant") | found("description_raw"))
+    elif words:
         low = F.lit(words.lower())
         rows = rows.filter(F.contains(F.lower(F.coalesce("merchant", F.lit(""))), low) | F.contains(F.lower(F.coalesce("description_raw", F.lit(""))), low))
     if direction:
@@ -113,6 +117,26 @@ def search(ledger: DataFrame, words: str = "", direction: str | None = None, cat
     return rows
 
 
+def focus(ledger: DataFrame, kind: str, value: str) -> DataFrame:
+    """Rows of one category or one merchant, in any case; marks before the first letter or digit of a merchant do not count
+    (FLT5).  An empty value or another kind keeps all rows."""
+    if kind == "category" and value:
+        return ledger.filter(F.lower(F.coalesce(F.expr("nullif(category, '')"), F.lit("Uncategorized"))) == value.lower())
+    if kind == "merchant" and value:
+        plain = F.lower(F.trim(F.regexp_replace(F.coalesce("merchant", F.lit("")), r"(?U)^[^\w]+", "")))
+        return ledger.filter(plain == value.lstrip(" :;,-").lower().strip())
+    return ledger
+
+
+def editor_search(ledger: DataFrame, words: str) -> DataFrame:
+    """Rows whose merchant, description or transaction id contains ``words`` in any case; blank words keep all rows (FLT7)."""
+    low = words.strip().lower()
+    if not low:
+        return ledger
+    names = ("merchant", "description_raw", "transaction_id")
+    return ledger.filter(F.contains(F.lower(F.concat_ws("\n", *(F.col(c).cast("string") for c in names))), F.lit(low)))
+
+
 def review_queue(ledger: DataFrame) -> DataFrame:
     """Rows marked for review or without a real category (FLT6, FLT9)."""
     return ledger.filter(F.col("requires_review") | F.lower(F.trim(F.coalesce("category", F.lit("")))).isin("", "other", "uncategorized", "unknown"))

@@ -181,6 +181,21 @@ _add(
     "select position, merchant, category from ledger where (contains(lower(coalesce(merchant, '')), 'shop 1') or contains(lower(description_raw), 'shop 1')) and direction = 'debit' and category = 'BUILDING'"
     " and not requires_review",
 )
+_add(
+    "transactions_pattern",
+    _on_ledger(lambda rows: canonical.search(rows, "(shop|MARKET) [0-9]*7$", pattern=True).select("position", "merchant")),
+    "select position, merchant from ledger where regexp_matches(coalesce(merchant, ''), '(shop|market) [0-9]*7$', 'i') or regexp_matches(coalesce(description_raw, ''), '(shop|market) [0-9]*7$', 'i')",
+)
+_add(
+    "transactions_focus",
+    _on_ledger(lambda rows: canonical.focus(canonical.focus(rows, "category", "building"), "merchant", ":- SHOP 12").select("position", "merchant", "category")),
+    "select position, merchant, category from ledger where lower(category) = 'building' and lower(trim(regexp_replace(coalesce(merchant, ''), '^[^a-zA-Z0-9_]+', ''))) = 'shop 12'",
+)
+_add(
+    "editor_search",
+    _on_ledger(lambda rows: canonical.editor_search(rows.withColumn("transaction_id", F.col("position").cast("string")), " 12 ").select("position", "merchant")),
+    "select position, merchant from ledger where contains(lower(coalesce(merchant, '')), '12') or contains(lower(coalesce(description_raw, '')), '12') or contains(cast(position as varchar), '12')",
+)
 _add(
     "review_queue",
     _on_ledger(lambda rows: canonical.review_queue(rows).select("position", "category", "requires_review")),
