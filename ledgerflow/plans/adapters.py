@@ -27,6 +27,11 @@ QUESTIONS = [
     "Which store is at the mall?", "hello", "netflix charges", "How much salary was received?", "top merchant", "show groceries",
 ]
 
+HEADERS = [
+    "Date Value Date Particulars Withdrawals Deposits Balance", "Post Date Trxn. Date\nDescription Amount", "  Txn Date | Narration\n\nDebit\nCredit  \n Running Balance", "Dear customer",
+    "Transaction Date, Transaction Details, Ref No, DR. CR. Balance", "Transaction # Payee\nPaid Out Paid In", "Date", "Update Value Dates and Predate Amounts", "Booking Date\nDetails\nValue\nMemo\nBalance",
+]
+
 
 def texts(d: Dialect, values: list[str], key: str) -> str:
     return d.item(d.array(d.text(v) for v in values), f"{key} % {len(values)} + 1")
@@ -95,3 +100,10 @@ def with_copies(rows: DataFrame) -> DataFrame:
 
 
 COPIES_SQL = "select * from ledger union all select * replace (position + 10000000 as position) from ledger where position % 97 = 0"
+
+
+def headed_pages(d: Dialect) -> list[str]:
+    """A document of two pages for each customer; most have a table's header."""
+    page = lambda key, first: f"concat({d.text(first)}, c_name, chr(10), {texts(d, HEADERS, key)}, chr(10), '01/02/2024 PAYMENT 12.00', chr(10), c_mktsegment)"
+    pages = d.array([page("c_custkey", "STATEMENT OF ACCOUNT\n \n"), page("(c_custkey + c_nationkey)", "")])
+    return [f"cast(c_custkey as {'string' if d.spark else 'varchar'}) as doc_id", f"{pages} as pages"]

@@ -12,8 +12,8 @@ from ledgerflow.functions import classify, headers, text, tokens, values
 from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.vocabulary import BANK_SIGNALS, CARD_SIGNALS, ISSUES, TAXONOMY, UNKNOWN_CURRENCIES
-from ledgerflow.operators import canonical, layout, memory, metrics, report, retrieval, statements, validate
-from ledgerflow.plans.adapters import BALANCE_SQL, COPIES_SQL, LEDGER_SQL, QUESTIONS, ledger, table, with_balance, with_copies
+from ledgerflow.operators import canonical, layout, memory, metrics, report, retrieval, statements, text_structure, validate
+from ledgerflow.plans.adapters import BALANCE_SQL, COPIES_SQL, LEDGER_SQL, QUESTIONS, headed_pages, ledger, table, with_balance, with_copies
 from ledgerflow.sources.readers import web_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -591,3 +591,28 @@ _add(
     "select cast(c_custkey as varchar) as doc_id, 10000.0::double as card_limit, cast(cast(abs(c_acctbal) as decimal(18,2)) as double) as available_limit, c_custkey::double as total_payment_due from customer",
     base=False,
 )
+
+
+# headers in page texts; the SQL joins windows with the phrases instead of testing each field
+_PHRASES = ", ".join(f"({i}, {D.text(name)}, {D.text(field)}, {D.text(text_structure.pattern([name]))})" for i, (name, field) in enumerate(text_structure.phrases()))
+_add(
+    "text_structure",
+    lambda spark, sf_dir: text_structure.structure(
+        table(spark, sf_dir, "customer").selectExpr(*headed_pages(S)).select("doc_id", F.posexplode("pages").alias("n", "text")).selectExpr("doc_id", "n + 1 as page_number", "text")
+    ).withColumn("columns", F.array_join(F.transform("columns", lambda c: F.concat(c["name"], F.lit("="), c["field"])), ", ")),
+    f"with p as (select doc_id, unnest(pages) as text, generate_subscripts(pages, 1) as page from (select {', '.join(headed_pages(D))} from customer)),"
+    " l as (select doc_id, page, n, trim(line) as line from (select doc_id, page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from p) where trim(line) <> ''),"
+    " w as (select doc_id, page, n, concat_ws(' | ', line, lead(line, 1) over o, lead(line, 2) over o, lead(line, 3) over o) as header from l window o as (partition by doc_id, page order by n)),"
+    r" t as (select *, trim(regexp_replace(regexp_replace(replace(lower(replace(header, ' | ', ' ')), 'trxn.', 'trxn'), '[^a-z0-9#./\s-]', ' ', 'g'), '\s+', ' ', 'g')) as plain from w),"
+    f" h as (select t.*, f.* from t join (values {_PHRASES}) f(k, name, field, pattern) on regexp_matches(plain, pattern)),"
+    " s as (select doc_id, page, n, header, list_distinct(list(field)) as fs, string_agg(name || '=' || field, ', ' order by k) as columns from h group by all),"
+    " r as (select *, len(fs) + case when list_contains(fs, 'transaction_date') and list_has_any(fs, ['description', 'amount', 'debit', 'credit']) then 3 else 0 end"
+    " + list_contains(fs, 'posting_date')::int + list_contains(fs, 'value_date')::int as score from s),"
+    " b as (select * from r where score >= 4 qualify row_number() over (partition by doc_id order by score desc, page, n) = 1)"
+    " select d.doc_id, cast(page as integer) as header_page, header as header_text, coalesce(columns, '') as columns, coalesce(list_has_any(fs, ['debit', 'credit']), false) as has_debit_credit,"
+    " coalesce(list_has_all(fs, ['debit', 'credit']), false) as has_separate_debit_credit, coalesce(list_contains(fs, 'amount') and not list_has_all(fs, ['debit', 'credit']), false) as has_single_amount,"
+    " coalesce(list_contains(fs, 'balance'), false) as has_balance, coalesce(list_contains(fs, 'transaction_id'), false) as has_transaction_id,"
+    " coalesce(round((list_has_any(fs, ['transaction_date', 'posting_date', 'value_date'])::int + list_contains(fs, 'description')::int + list_has_any(fs, ['amount', 'debit', 'credit'])::int) / 3.0::double, 2), 0.0::double) as confidence"
+    " from (select distinct doc_id from p) d left join b on b.doc_id = d.doc_id",
+    base=False,
+)
