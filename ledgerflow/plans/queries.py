@@ -12,7 +12,7 @@ from ledgerflow.functions import classify, headers, text, tokens, values
 from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.vocabulary import BANK_SIGNALS, CARD_SIGNALS, ISSUES, TAXONOMY, UNKNOWN_CURRENCIES
-from ledgerflow.operators import canonical, layout, memory, metrics, report, retrieval, statements, text_structure, validate
+from ledgerflow.operators import answers, canonical, layout, memory, metrics, report, retrieval, statements, text_structure, validate
 from ledgerflow.plans.adapters import BALANCE_SQL, COPIES_SQL, LEDGER_SQL, QUESTIONS, headed_pages, ledger, table, with_balance, with_copies
 from ledgerflow.sources.readers import web_pages
 
@@ -380,8 +380,11 @@ _add(
 _add("campaign_candidates", _on_ledger(lambda rows: memory.campaign_groups(rows, rows.filter("position % 100 = 0"))))
 
 # questions
+_ASKED = [*QUESTIONS, "Shop 12 coffee house payments", "what was 1,299.50 for"]
+
+
 def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate([*QUESTIONS, "Shop 12 coffee house payments", "what was 1,299.50 for"])), "question_id int, question string")
+    return spark.createDataFrame(list(enumerate(_ASKED)), "question_id int, question string")
 
 
 _add("retrieval_topk", lambda spark, sf_dir: retrieval.retrieve(retrieval.index(ledger(spark, sf_dir)), _questions(spark)))
@@ -616,3 +619,47 @@ _add(
     " from (select distinct doc_id from p) d left join b on b.doc_id = d.doc_id",
     base=False,
 )
+
+
+# questions answered in sentences; merchants are named by containment only, no name is just like one of these questions
+def _said(x: str) -> str:
+    return f"(select c from cur) || ' ' || {D.money(x)}"
+
+
+def _few(intent: str, rows: str, order: str) -> str:
+    line = f"'- **' || coalesce(nullif(trim(merchant), ''), nullif(trim(description_raw), ''), 'Unknown') || '** — ' || {_said('a')} || ' on ' || coalesce(cast(transaction_date as varchar), 'date unavailable')"
+    return f"(select 'Your {intent} outgoing transactions are:' || chr(10) || chr(10) || string_agg({line}, chr(10) order by {order}, position) from (select *, {AMOUNT} as a from ledger where direction = 'debit' {rows} order by {order}, position limit 5))"
+
+
+_SENTENCES = {
+    "summary": f"(select 'This statement contains **' || n || ' transactions**, with **' || {_said('i')} || ' received** and **' || {_said('e')} || ' spent**. Net cash flow is **' || {_said('i - e')} || '**. Your largest merchant concentration is **'"
+    f" || (select name || ' — ' || {_said('spent')} from top) || '**.' from tot)",
+    "income": f"(select 'Total money received in this statement: **' || {_said('i')} || '**.' from tot)",
+    "expenses": f"(select 'Total money spent in this statement: **' || {_said('e')} || '**.' from tot)",
+    "net": f"(select 'Your net cash flow is **' || {_said('abs(i - e)')} || '** (' || case when i >= e then 'positive' else 'negative' end || ').' from tot)",
+    "review": "(select '**' || r || ' transaction(s)** are marked for review, including **0 possible duplicate(s)**.' from tot)",
+    "top_merchant": f"(select 'Your highest-spending merchant is **' || name || '**, with **' || {_said('spent')} || '** across **' || transactions || ' transaction(s)**.' from top)",
+    "largest_transaction": _few("largest", "", "a desc"),
+    "smallest_transaction": _few("smallest", "and original_amount <> 0", "a"),
+    "identity": D.text(answers.NOTHING["identity"]),
+    "category_spend": "case when q_category is null then (select 'The largest inferred spending areas are:' || chr(10) || chr(10) || string_agg('- **' || category || '** — ' || "
+    + _said("spent")
+    + " || ' (' || n || ' transactions)', chr(10) order by spent desc, category) from (select * from kinds order by spent desc, category limit 5)) else coalesce((select 'You spent **' || "
+    + _said("sum(spent)")
+    + " || '** on **' || min(category) || '** across **' || sum(n) || ' transaction(s)**. ' || case when bool_or(inferred) then 'This is inferred from merchant/description text.' else 'This category is present in the extracted statement data.' end"
+    " from kinds where lower(category) = lower(q_category) having count(*) > 0), 'I couldn''t identify any transactions that can be attributed to **' || q_category || '** in this statement.') end",
+}
+_add(
+    "question_answers",
+    lambda spark, sf_dir: answers.answered(ledger(spark, sf_dir), _questions(spark)),
+    f", cur as (select upper(original_currency) as c from ledger where original_currency <> '' group by 1 order by count(*) desc, min(position) limit 1), inf as ({_INFERRED}),"
+    f" kinds as (select coalesce(i_category, 'Uncategorized') as category, cast(sum({AMOUNT}) as double) as spent, count(*) as n, bool_or(i_confidence < 1) as inferred from inf where direction = 'debit' group by 1),"
+    f" top as (select {text.cleaned(D, 'coalesce(nullif(trim(merchant), ' + repr('') + '), description_raw)')} as name, cast(sum({AMOUNT}) as double) as spent, count(*) as transactions from ledger where direction = 'debit' group by 1 order by 2 desc, 1 limit 1),"
+    f" tot as (select count(*) as n, {total(CREDIT)} as i, {total('direction = ' + repr('debit'))} as e, count(*) filter (requires_review) as r from ledger),"
+    f" asked as (select question_id, q, {classify.question_category(D, 'q')} as q_category from (values {', '.join(f'({i}, {D.text(q.lower())})' for i, q in enumerate(_ASKED))}) v(question_id, q)),"
+    f" known as (select *, {classify.intent(D, 'q', 'q_category')} as intent from asked),"
+    f" shops as (select merchant, lower(merchant) as about, {total('direction = ' + repr('debit'))} as spent, count(*) filter (direction = 'debit') as n from ledger where trim(merchant) <> '' group by 1)"
+    " select question_id, intent, case when intent = 'category_spend' then lower(coalesce(q_category, '')) when intent = 'merchant_spend' then coalesce(about, '') else '' end as about, case intent "
+    + " ".join(f"when '{i}' then {sentence}" for i, sentence in _SENTENCES.items())
+    + f" when 'merchant_spend' then 'You spent **' || {_said('spent')} || '** at **' || merchant || '** across **' || n || ' transaction(s)**.' end as answer from known left join shops on intent = 'merchant_spend' and contains(q, about)",
+)
