@@ -38,8 +38,10 @@ def build_ledger(raw: DataFrame, currency: str = "UNKNOWN", statement_type: str
 
     A row without a date, an amount, or both a description and an id is no transaction; ids count raw rows, dropped ones
     included.  A date without a year takes the first year printed in the statement's dates.
+    Where ``raw`` has ``statement_currency`` or ``statement_kind``, they go before the arguments (ETL9-10).
     """
     order = Window.partitionBy("statement_id").orderBy("position")
+    known = lambda c, other: F.coalesce(F.expr(f"nullif(trim({c}), '')"), F.lit(other)) if c in raw.columns else F.lit(other)
     printed = F.expr(f"try_cast(nullif({S.extracted('transaction_date', r'(?:19|20)[0-9]{2}')}, '') as int)")
     year = F.first(printed, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = raw.withColumn("_year", year).withColumn("transaction_id", F.coalesce(F.expr("nullif(trim(transaction_id), '')")))
@@ -65,10 +67,10 @@ def build_ledger(raw: DataFrame, currency: str = "UNKNOWN", statement_type: str
         "description_raw",
         F.col("merchant_name").alias("merchant"),
         F.abs(F.coalesce("_debit", "_credit", "_amount")).alias("original_amount"),
-        F.lit(currency).alias("original_currency"),
+        known("statement_currency", currency).alias("original_currency"),
         "direction",
         F.expr(classify.transaction_type(S, "description_raw", "direction")).alias("transaction_type"),
-        F.lit(statement_type).alias("statement_type"),
+        known("statement_kind", statement_type).alias("statement_type"),
         F.expr(classify.channel(S, "description_raw")).alias("transaction_channel"),
         F.col("_balance").alias("running_balance"),
         F.col("transaction_id").alias("bank_transaction_id"),

@@ -112,6 +112,19 @@ def text_transactions(pages: DataFrame, year: int) -> DataFrame:
     )
 
 
+def raw_text_rows(pages: DataFrame) -> DataFrame:
+    """Raw rows (``canonical.RAW_ROWS``) of the lines with two dates, a description and an amount: the later steps parse them.
+
+    The position of a row follows page and line; a page has fewer than 100,000 lines."""
+    lines = pages.select("doc_id", "page_number", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("line", F.trim("line")).filter(F.col("line").rlike(_LINE))
+    part = lambda i: F.regexp_extract("line", _LINE, i)
+    none = F.lit(None).cast("string")
+    return lines.select(
+        F.col("doc_id").alias("statement_id"), "page_number", (F.col("page_number").cast("long") * 100_000 + F.col("n")).alias("position"), part(1).alias("transaction_date"), part(2).alias("posting_date"),
+        none.alias("value_date"), part(3).alias("description"), part(4).alias("amount"), none.alias("debit"), none.alias("credit"), none.alias("balance"), none.alias("transaction_id"), F.col("doc_id").alias("source_file"),
+    )
+
+
 _OPENS = r"^\s*\d{2}[-/]\d{2}[-/]\d{4}"
 _CLOSES = r"^(.*?) ([\d,]+\.\d{2}) ([\d,]+\.\d{2}) ?(CR|DR)?$"
 

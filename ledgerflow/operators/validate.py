@@ -54,10 +54,10 @@ def issue_tests() -> dict[str, Column]:
     return tests
 
 
-def issues(ledger: DataFrame) -> DataFrame:
+def issues(ledger: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: issue codes in order, errors, warnings, confidence, whether valid, whether to review, and notes (VAL1-10).
 
-    ``ledger`` has ``running_balance``.  Both windows run on one shuffle by statement; the duplicate key only refines it."""
+    ``ledger`` has ``running_balance``; columns named in ``keep`` stay.  Both windows run on one shuffle by statement; the duplicate key only refines it."""
     checked = balance_mismatch(duplicates(ledger))
     code = lambda c, t: F.when(t, F.lit(c))
     found = F.array_compact(F.array(*[code(c, t) for c, t in issue_tests().items()]))
@@ -69,7 +69,7 @@ def issues(ledger: DataFrame) -> DataFrame:
     confidence = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed - 0.2 * F.col("errors") - 0.05 * F.col("warnings"))), 4)
     notes = F.array_join(F.transform("codes", lambda c: F.concat(c, F.lit(": "), F.element_at(F.create_map(*[F.lit(x) for c, (_, m) in ISSUES.items() for x in (c, m)]), c))), " | ")
     return rows.withColumn("confidence", confidence).select(
-        "statement_id", "position", F.array_join("codes", ",").alias("codes"), "errors", "warnings", "confidence",
+        "statement_id", "position", *keep, F.array_join("codes", ",").alias("codes"), "errors", "warnings", "confidence",
         (F.col("errors") == 0).alias("valid"), ((F.col("errors") > 0) | (F.col("warnings") > 0) | (F.col("confidence") < 0.85)).alias("review"), notes.alias("notes"),
     )
 

@@ -12,7 +12,7 @@ from ledgerflow.functions import classify, headers, text, tokens, values
 from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.vocabulary import BANK_SIGNALS, CARD_SIGNALS, ISSUES, TAXONOMY, UNKNOWN_CURRENCIES
-from ledgerflow.operators import answers, canonical, layout, memory, metrics, report, retrieval, statements, text_structure, validate
+from ledgerflow.operators import answers, canonical, layout, memory, metrics, report, retrieval, statement_pipeline, statements, text_structure, validate
 from ledgerflow.plans.adapters import BALANCE_SQL, COPIES_SQL, LEDGER_SQL, QUESTIONS, headed_pages, ledger, table, with_balance, with_copies
 from ledgerflow.sources.readers import web_pages
 
@@ -663,3 +663,29 @@ _add(
     + " ".join(f"when '{i}' then {sentence}" for i, sentence in _SENTENCES.items())
     + f" when 'merchant_spend' then 'You spent **' || {_said('spent')} || '** at **' || merchant || '** across **' || n || ' transaction(s)**.' end as answer from known left join shops on intent = 'merchant_spend' and contains(q, about)",
 )
+
+
+# page texts to a validated ledger; the SQL goes out from the orders that were printed
+_HEADS = {0: "Credit Card Statement\nCard Limit AED 5,000\n", 1: "Savings Account Statement in INR\n", 2: "Dear customer\n"}
+
+
+def _printed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.element_at(F.array(*[F.lit(h) for h in _HEADS.values()]), (F.col("doc_id").cast("long") % 3 + 1).cast("int"))
+    named = F.regexp_replace(F.regexp_replace("text", r"ORDER (\d*7) ", "SALARY CREDIT $1 "), r"ORDER (\d*3) ", "NETFLIX.COM ONLINE $1 ")
+    return _statement_pages(spark, sf_dir).withColumn("text", F.concat(head, named))
+
+
+_add(
+    "statement_pipeline",
+    lambda spark, sf_dir: statement_pipeline.ledger_of_pages(_printed_statements(spark, sf_dir)).select(
+        "statement_id", "transaction_date", "posting_date", "description_raw", "merchant", F.col("original_amount").cast("double").alias("amount"), "original_currency", "statement_type", "direction",
+        "transaction_type", "rule_category", "codes", "errors", "warnings", "confidence", "review",
+    ),
+    "select cast(o_custkey as varchar) as statement_id, day as transaction_date, day as posting_date, story as description_raw, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(replace(story, '.COM', '.com'), ' ')], ' ') as merchant,"
+    " amount, currency as original_currency, kind as statement_type, case when received then 'credit' else 'debit' end as direction, case when o_orderkey % 10 = 7 then 'salary' when received then 'other' else 'purchase' end as transaction_type,"
+    " case when o_orderkey % 10 = 3 then 'Entertainment' end as rule_category, case when currency = 'UNKNOWN' then 'UNKNOWN_CURRENCY' else '' end as codes, cast(0 as integer) as errors, cast(currency = 'UNKNOWN' as integer) as warnings,"
+    " case when currency = 'UNKNOWN' then 0.8::double else 0.85::double end as confidence, currency = 'UNKNOWN' as review from (select o_custkey, o_orderkey, cast(o_orderdate as date) as day, cast(cast(o_totalprice as decimal(18,2)) as double) as amount,"
+    " o_orderstatus = 'P' or o_orderkey % 10 = 7 as received, ['AED', 'INR', 'UNKNOWN'][o_custkey % 3 + 1] as currency, ['credit_card', 'bank_account', 'unknown'][o_custkey % 3 + 1] as kind,"
+    " case o_orderkey % 10 when 7 then 'SALARY CREDIT ' when 3 then 'NETFLIX.COM ONLINE ' else 'ORDER ' end || o_orderkey as story from orders)",
+    base=False,
+)
