@@ -73,11 +73,12 @@ def plain(header: Column) -> Column:
 
 def exact_role(header: Column) -> Column:
     """The field of a header that is a known phrase, else null (HDR5)."""
-    text, out = plain(header), None
+    fields: dict[str, str] = {}
     for role, phrases in PHRASES.items():
-        test = text.isin(*dict.fromkeys(p.replace("_", " ") for p in phrases))
-        out = F.when(test, role) if out is None else out.when(test, role)
-    return out
+        for p in phrases:
+            fields.setdefault(p.replace("_", " "), role)
+    # one constant map, so that the text is made plain once
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in fields.items() for x in pair]), plain(header))
 
 
 def mapped(headers: DataFrame, similarity) -> DataFrame:

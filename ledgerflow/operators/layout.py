@@ -44,36 +44,46 @@ def row_texts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "page_number", "row").agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("line"), F.min("top").alias("top"))
 
 
-def detect_columns(rows: DataFrame) -> DataFrame:
-    """The header row of each page - the one with most roles, the first on ties - as columns with role and extent (STR1, STR3, STR9, HDR9).
-
-    A header may be one word or two next to each other; roles must be three or more."""
+def _with_roles(rows: DataFrame) -> DataFrame:
+    """Add ``role`` and ``end`` to words that read as a header, alone or with the next one on their row (HDR9)."""
     order = Window.partitionBy("doc_id", "page_number", "row").orderBy("x0")
     after, gap = F.lead("text").over(order), F.lead("x0").over(order) - F.col("x1")
     both = F.when(gap <= 25, exact_role(F.concat_ws(" ", "text", after)))
     found = rows.withColumn("pair", both).withColumn("end", F.when(both.isNotNull(), F.lead("x1").over(order)).otherwise(F.col("x1")))
-    found = found.withColumn("role", F.coalesce("pair", F.when(F.lag("pair").over(order).isNull(), exact_role(F.col("text")))))
-    found = found.filter("role is not null").select("doc_id", "page_number", "row", "role", "x0", F.col("end").alias("x1"), "top")
-    counts = found.groupBy("doc_id", "page_number", "row").agg(F.count_distinct("role").alias("roles")).filter("roles >= 3")
-    best = counts.groupBy("doc_id", "page_number").agg(F.max_by("row", F.struct("roles", (-F.col("row")).alias("first"))).alias("row"))
-    return found.join(best, ["doc_id", "page_number", "row"])
+    return found.withColumn("role", F.coalesce("pair", F.when(F.lag("pair").over(order).isNull(), exact_role(F.col("text"))))).drop("pair")
+
+
+def _with_header(rows: DataFrame) -> DataFrame:
+    """Add the roles of words and ``header``: the row of their page with most roles, three at least, the first on ties."""
+    line, page = Window.partitionBy("doc_id", "page_number", "row"), Window.partitionBy("doc_id", "page_number")
+    found = _with_roles(rows).withColumn("_roles", F.size(F.collect_set("role").over(line)))
+    best = F.max(F.when(F.col("_roles") >= 3, F.struct("_roles", (-F.col("row")).alias("first")))).over(page)
+    return found.withColumn("header", -best["first"]).drop("_roles")
+
+
+def detect_columns(rows: DataFrame) -> DataFrame:
+    """The header row of each page - the one with most roles, the first on ties - as columns with role and extent (STR1, STR3, STR9, HDR9).
+
+    A header may be one word or two next to each other; roles must be three or more."""
+    return _with_header(rows).filter("row = header and role is not null").select("doc_id", "page_number", "row", "role", "x0", F.col("end").alias("x1"), "top")
 
 
-def assign_columns(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """Each word below the header with the role of the nearest column centre (JN11, LAY3-5).
+def assign_columns(rows: DataFrame) -> DataFrame:
+    """Each word below its page's header with the role of the nearest column centre (JN11, LAY3-5).
 
-    Columns of a page are few; they join by page and the nearest is an aggregate."""
-    heads = columns.groupBy("doc_id", "page_number").agg(F.min("row").alias("header"), F.collect_list(F.struct(((F.col("x0") + F.col("x1")) / 2).alias("c"), "role")).alias("cols"))
-    joined = rows.join(heads, ["doc_id", "page_number"]).filter(F.col("row") > F.col("header"))
+    Words come by page from ``page_rows``: header and columns are windows over that partitioning, so no word is moved
+    again.  Words of a page without a header, or above it, are left out."""
+    column = F.struct(((F.col("x0") + F.col("end")) / 2).alias("c"), "role")
+    heads = F.collect_list(F.when((F.col("row") == F.col("header")) & F.col("role").isNotNull(), column)).over(Window.partitionBy("doc_id", "page_number"))
     centre = (F.col("x0") + F.col("x1")) / 2
     nearest = F.array_min(F.transform("cols", lambda c: F.struct(F.abs(c["c"] - centre).alias("d"), c["role"].alias("role"))))["role"]
-    return joined.select("doc_id", "page_number", "row", "text", "x0", nearest.alias("role"))
+    below = _with_header(rows).withColumn("cols", heads).filter(F.col("row") > F.col("header"))
+    return below.select("doc_id", "page_number", "row", "text", "x0", nearest.alias("role"))
 
 
 def raw_rows(words: DataFrame) -> DataFrame:
     """Raw statement rows from positioned words: one column per role, rows without a date continue the description (LAY4, JN9-10)."""
-    rows = page_rows(words)
-    cells = assign_columns(rows, detect_columns(rows))
+    cells = assign_columns(page_rows(words))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
     lines = cells.groupBy("doc_id", "page_number", "row").pivot("role", list(PHRASES)).agg(text)
     order = Window.partitionBy("doc_id", "page_number").orderBy("row")
