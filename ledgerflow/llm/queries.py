@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import embedding_dedup, fingerprints, lm_scoring, minhash_dedup, packing, paragraph_dedup, sentencepiece_codec, suffix_dedup, token_output, toxicity
+from ledgerflow.llm import bpe_matrix, embedding_dedup, fingerprints, lm_scoring, minhash_dedup, packing, paragraph_dedup, sentencepiece_codec, suffix_dedup, token_output, toxicity
 from ledgerflow.llm.runtime import table, table_path
 
 #: The vocabulary of the token queries; operators take any path.
@@ -17,6 +17,9 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
+#: The rank file of the matrix encoder.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -79,6 +82,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe_matrix.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return bpe_matrix.digests(encoded, RANKS, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -92,6 +100,7 @@ QUERIES: dict[str, Query] = {
         op8_lm_scoring,
         op9_embedding_dedup,
         op10_fingerprints,
+        op13_byte_bpe,
     )
 }
 
