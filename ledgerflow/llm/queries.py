@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe_matrix, embedding_dedup, fingerprints, lm_scoring, minhash_dedup, packing, paragraph_dedup, sentencepiece_codec, suffix_dedup, token_output, toxicity
+from ledgerflow.llm import bpe_matrix, centroid_clustering, embedding_dedup, fingerprints, lm_scoring, minhash_dedup, packing, paragraph_dedup, sentencepiece_codec, suffix_dedup, token_output, toxicity
 from ledgerflow.llm.runtime import table, table_path
 
 #: The vocabulary of the token queries; operators take any path.
@@ -82,6 +82,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dimension=64, seed=3)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_matrix.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return bpe_matrix.digests(encoded, RANKS, public_tokenizers.PATTERN)
@@ -100,6 +104,7 @@ QUERIES: dict[str, Query] = {
         op8_lm_scoring,
         op9_embedding_dedup,
         op10_fingerprints,
+        op12_centroid_clustering,
         op13_byte_bpe,
     )
 }
