@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe_matrix, centroid_clustering, embedding_dedup, fingerprints, lm_scoring, minhash_dedup, packing, paragraph_dedup, sentencepiece_codec, suffix_dedup, token_output, toxicity
+from ledgerflow.llm import bpe_matrix, centroid_clustering, embedding_dedup, fingerprints, hard_negatives, lm_scoring, minhash_dedup, oracle, packing, paragraph_dedup, sentencepiece_codec, suffix_dedup, token_output, toxicity
 from ledgerflow.llm.runtime import table, table_path
 
 #: The vocabulary of the token queries; operators take any path.
@@ -82,6 +82,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clustering.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dimension=64, seed=3)
 
@@ -104,9 +110,10 @@ QUERIES: dict[str, Query] = {
         op8_lm_scoring,
         op9_embedding_dedup,
         op10_fingerprints,
+        op11_hard_negatives,
         op12_centroid_clustering,
         op13_byte_bpe,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": oracle.hard_negatives(), "op12_centroid_clustering": oracle.clustering()}
