@@ -13,6 +13,7 @@ from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.vocabulary import BANK_SIGNALS, CARD_SIGNALS, ISSUES, TAXONOMY, UNKNOWN_CURRENCIES
 from ledgerflow.operators import answers, canonical, layout, memory, metrics, report, retrieval, statement_pipeline, statements, text_structure, validate
+from ledgerflow.plans import layouts
 from ledgerflow.plans.adapters import BALANCE_SQL, COPIES_SQL, LEDGER_SQL, QUESTIONS, headed_pages, ledger, table, with_balance, with_copies
 from ledgerflow.sources.readers import web_pages
 
@@ -689,3 +690,6 @@ _add(
     " case o_orderkey % 10 when 7 then 'SALARY CREDIT ' when 3 then 'NETFLIX.COM ONLINE ' else 'ORDER ' end || o_orderkey as story from orders)",
     base=False,
 )
+
+QUERIES |= layouts.QUERIES
+ORACLE_SQL |= layouts.ORACLE_SQL
