@@ -151,14 +151,10 @@ class Bucketed:
             remove(self.spark, self.paths.pop(name))
 
 
-def _totals(state: DataFrame) -> list[list[int]]:
-    """Sums of the tasks' sums, by cluster: a row for each cluster and component at most."""
-    parts = state.filter("kind = 'sums'").select("cluster", F.posexplode("sums"))
-    rows = parts.groupBy("cluster", "pos").agg(F.sum(F.col("col").cast("decimal(38,0)")).alias("total")).collect()
-    out: dict[int, dict[int, int]] = {}
-    for r in rows:
-        out.setdefault(r["cluster"], {})[r["pos"]] = int(r["total"])
-    return [[out[c][i] for i in range(len(out[c]))] for c in sorted(out)]
+def _totals(state: DataFrame, width: int) -> list[list[int]]:
+    """Sums of the tasks' sums, by cluster."""
+    parts = state.filter("kind = 'sums'").groupBy("cluster").agg(*(F.sum(F.col("sums")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(width)))
+    return [[int(v) for v in r[1:]] for r in sorted(map(tuple, parts.collect()))]
 
 
 def cluster(rows: DataFrame, centroids: list[list[int]], rounds: int) -> Clusters:
@@ -187,7 +183,7 @@ def cluster(rows: DataFrame, centroids: list[list[int]], rounds: int) -> Cluster
         if state is not None:
             tables.drop(state)
         state = new
-        change = _totals(spark.table(state))
+        change = _totals(spark.table(state), now.shape[1] + 2)
         held = change if held is None else [[a + b for a, b in zip(x, y, strict=True)] for x, y in zip(held, change, strict=True)]
         scanned.append(sum(c[-1] for c in change))
         if at == rounds:
