@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The phrases of each field, in order of precedence.
 PHRASES = {
@@ -108,3 +115,40 @@ def mapped(headers: DataFrame, similarity) -> DataFrame:
     confidence = F.when(F.col("exact").isNotNull(), EXACT).otherwise(F.coalesce("c", F.lit(0.0)))
     role = F.coalesce("exact", F.when(F.col("c") >= LEAST, F.col("field")))
     return out.select("header", role.alias("role"), F.round(confidence, 4).alias("confidence"))
+
+
+@lru_cache(maxsize=1)
+def _fields() -> tuple[dict[str, str], list[tuple[str, list[str], set[str]]]]:
+    """Exact phrases, and for each field its phrases and signal words."""
+    exact: dict[str, str] = {}
+    for role, phrases in PHRASES.items():
+        for p in phrases:
+            exact.setdefault(p.replace("_", " "), role)
+    return exact, [(role, [p.replace("_", " ") for p in phrases], set(SIGNALS[role])) for role, phrases in PHRASES.items()]
+
+
+@lru_cache(maxsize=1 << 16)
+def role_of(header: str) -> tuple[str | None, float]:
+    """(role, confidence) of one header by the rules of ``mapped``; each worker compares a text once.
+
+    Without a word that speaks for a field a similarity does not suffice, so such texts are not compared at all."""
+    exact, fields = _fields()
+    text = " ".join(re.sub(r"[ _:/()\[\]{}]", " ", header.lower()).split())
+    if text in exact:
+        return exact[text], EXACT
+    words = set(text.split(" "))
+    if not any(words & signals for _, _, signals in fields):
+        return None, 0.0
+    rated = [(0.65 * max(SequenceMatcher(None, text, p).ratio() for p in phrases) + 0.35 * len(words & signals) / len(words), role) for role, phrases, signals in fields]
+    (best, role), (second, _) = sorted(rated, reverse=True)[:2]
+    if best < SURE and best - second < LEAD:
+        return None, 0.0
+    confidence = min(best, MOST) * (0.65 if text in AMBIGUOUS else 1.0)
+    return (role if confidence >= LEAST else None), round(confidence, 4)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("confidence", T.DoubleType())])))
+def header_roles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The role and confidence of each text of an array."""
+    for batch in texts:
+        yield batch.map(lambda row: None if row is None else [dict(zip(("role", "confidence"), role_of(t or ""), strict=True)) for t in row])

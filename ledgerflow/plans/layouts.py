@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.dialect import Dialect
-from ledgerflow.operators import regions
+from ledgerflow.operators import regions, structure
 from ledgerflow.plans.adapters import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,94 @@ QUERIES["ordered_rows"] = lambda spark, sf_dir: regions.ordered_rows(_ordered_wo
     "doc_id", "transaction_date", "value_date", "description", "amount", "debit", "credit", "balance", "transaction_id"
 )
 ORACLE_SQL["ordered_rows"] = _ordered_sql()
+
+# headers of statements: "Value" over "Date" at a distance that differs by customer, headers in pieces, and none
+_DX, _GAP = "(c_custkey % 31 - 15)", "(c_custkey % 23)"
+STACKED = [
+    ("'Date'", "20", "60", "100"), ("'Value'", "80", "120", "100"), ("'Date'", f"80 + {_DX}", f"116 + {_DX}", f"100 + {_GAP}"), ("'Description'", "200", "260", "100"), ("'Amount'", "300", "340", "100"),
+]
+PIECES = [("'Date'", "20", "60", "100"), ("'Particulars'", "140", "200", "116"), ("'Withdrawals'", "300", "360", "132"), ("'Balance'", "500", "540", "148")]
+COVER = [("'Statement'", "20", "70", "10"), ("'Date'", "80", "110", "10"), ("'Opening'", "20", "60", "30"), ("'Balance'", "70", "110", "30")]
+
+
+def _placed(rows: DataFrame, tokens: list[tuple[str, str, str, str]], page: int) -> DataFrame:
+    """Words of each customer's page: tokens of (text, left end, right end, top)."""
+    number = lambda x: F.expr(f"cast({x} as double)")
+    each = F.array(*[F.struct(F.expr(t).alias("text"), number(a).alias("x0"), number(b).alias("x1"), number(y).alias("top"), (number(y) + 8).alias("bottom")) for t, a, b, y in tokens])
+    return rows.select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit(page).alias("page_number"), F.explode(each).alias("w")).select("doc_id", "page_number", "w.*")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey")
+
+
+def _lines(spark: SparkSession, sf_dir: str, test: str) -> DataFrame:
+    """Orders below the header of the second page, two dates each."""
+    day = lambda n: f"date_format(date_add(cast(o_orderdate as date), {n}), 'dd/MM/yyyy')"
+    tokens = [(day(0), "20", "60"), (day(2), "80", "116"), ("'ORDER'", "200", "240"), ("concat('K', o_orderkey)", "242", "290"), ("format_number(cast(o_totalprice as decimal(18,2)), 2)", "305", "345")]
+    return _words(_orders(spark, sf_dir).filter(test), tokens, page="2", top="160 + line * 12.0")
+
+
+def _stacked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_customers(spark, sf_dir), STACKED, 1)
+
+
+def _pieces_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_customers(spark, sf_dir), PIECES, 2).unionByName(_lines(spark, sf_dir, "true"))
+
+
+def _mixed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's statement: a cover, then a page with stacked headers, with headers in pieces, or with orders alone."""
+    people = _customers(spark, sf_dir)
+    parts = [_placed(people, COVER, 1), _placed(people.filter("c_custkey % 4 < 2"), STACKED, 2), _placed(people.filter("c_custkey % 4 = 2"), PIECES, 2), _lines(spark, sf_dir, "true")]
+    words = parts[0]
+    for p in parts[1:]:
+        words = words.unionByName(p)
+    return words
+
+
+_COLUMNS = ["doc_id", "page_number", "header", "role", "x0", "x1", "top", "confidence"]
+# what the geometry of the one pair of words says
+_PAIR = f"""select cast(c_custkey as varchar) as doc_id, c_custkey, {_DX} as dx, {_GAP} as gap, greatest(0, least(120, 116 + {_DX}) - greatest(80, 80 + {_DX})) / 36.0::double as overlap,
+  abs(2 - {_DX}) / 40.0::double as off from customer"""
+_JOINED = f"""select *, gap between 1 and 14 and overlap >= 0.55 and off <= 0.8 and overlap * 0.6 + (1 - off) * 0.25 + greatest(0, 1 - gap / 18.0::double) * 0.15 >= 0.7 as joined from ({_PAIR})"""
+
+
+def _stacked_sql(test: str = "true", page: int = 1) -> str:
+    """Columns of the stacked layout, each with the customers that have it."""
+    column = lambda header, role, x0, x1, top, when: f"select doc_id, c_custkey, {page} as page_number, '{header}' as header, '{role}' as role, cast({x0} as double) as x0, cast({x1} as double) as x1, cast({top} as double) as top, 0.99::double as confidence from j where {test} and {when}"
+    parts = [
+        column("Date", "transaction_date", 20, 60, 100, "true"), column("Value Date", "value_date", "least(80, 80 + dx)", "greatest(120, 116 + dx)", 100, "joined"), column("Value", "amount", 80, 120, 100, "not joined"),
+        column("Date", "transaction_date", "80 + dx", "116 + dx", "100 + gap", "not joined and gap <= 14"), column("Description", "description", 200, 260, 100, "true"), column("Amount", "amount", 300, 340, 100, "true"),
+    ]
+    return " union all ".join(parts)
+
+
+_PIECES_COLUMNS = "[{'h': 'Date', 'r': 'transaction_date', 'a': 20, 'b': 60, 't': 100}, {'h': 'Particulars', 'r': 'description', 'a': 140, 'b': 200, 't': 116}, {'h': 'Withdrawals', 'r': 'debit', 'a': 300, 'b': 360, 't': 132}, {'h': 'Balance', 'r': 'balance', 'a': 500, 'b': 540, 't': 148}]"
+_PIECES_SQL = f"""select cast(c_custkey as varchar) as doc_id, c_custkey, 2 as page_number, c.h as header, c.r as role, cast(c.a as double) as x0, cast(c.b as double) as x1, cast(c.t as double) as top, 0.99::double as confidence,
+  round(0.9 * (0.8 + 0.2 * 0.99) * 0.65 + least(n / 10.0::double, 1) * 0.35, 4) as score, n as transaction_rows from (select o_custkey as c_custkey, count(*) as n from orders group by 1), (select unnest({_PIECES_COLUMNS}) as c) where n >= 2"""
+
+QUERIES["stacked_headers"] = lambda spark, sf_dir: structure.stacked_headers(structure.header_bands(_stacked_words(spark, sf_dir))).select("doc_id", "page_number", F.inline("headers")).select(*_COLUMNS)
+ORACLE_SQL["stacked_headers"] = f"with j as ({_JOINED}) select {', '.join(_COLUMNS)} from ({_stacked_sql()})"
+
+QUERIES["fragmented_tables"] = lambda spark, sf_dir: structure.fragmented_pages(_pieces_words(spark, sf_dir)).select(
+    "doc_id", "page_number", F.round("score", 4).alias("score"), F.col("transaction_rows").cast("long").alias("transaction_rows"), F.inline("columns")
+)
+ORACLE_SQL["fragmented_tables"] = f"select {', '.join(_COLUMNS)}, score, transaction_rows from ({_PIECES_SQL})"
+
+QUERIES["structure_pages"] = lambda spark, sf_dir: structure.structure_pages(_mixed_words(spark, sf_dir)).select("doc_id", "page_number", "score", "fragmented", F.inline("columns"))
+ORACLE_SQL["structure_pages"] = f"""with j as ({_JOINED}),
+  s as (select {', '.join(_COLUMNS)}, round((0.75 + case when bool_or(role = 'value_date') over (partition by doc_id) then 0.1 else 0 end) * 0.998, 4) as score, false as fragmented from ({_stacked_sql('c_custkey % 4 < 2', 2)}))
+  select * from s union all select {', '.join(_COLUMNS)}, score, true from ({_PIECES_SQL}) where c_custkey % 4 = 2"""
+
+QUERIES["statement_rows"] = lambda spark, sf_dir: structure.statement_rows(_mixed_words(spark, sf_dir)).select(
+    "doc_id", "transaction_date", "value_date", "description", "amount", "debit", "balance"
+)
+_DAY = "strftime(cast(o_orderdate as date) + {}, '%d/%m/%Y')".format
+# a "Value" that is not joined with the "Date" below it is a value date all the same where they are near; with a third date
+# column two dates fill all three only if the value date is the second one
+ORACLE_SQL["statement_rows"] = f"""with j as (select *, not joined and gap between 1 and 20 and abs(dx - 2) <= 12 as near from ({_JOINED})), n as (select o_custkey, count(*) as n from orders group by 1)
+  select doc_id, case when c_custkey % 4 < 2 and not joined and not near and gap <= 14 then {_DAY(2)} else {_DAY(0)} end as transaction_date, case when c_custkey % 4 < 2 and (joined or near) then {_DAY(2)} end as value_date,
+    'ORDER K' || o_orderkey as description, case when c_custkey % 4 < 2 then cast(cast(o_totalprice as decimal(18,2)) as double) end as amount,
+    case when c_custkey % 4 = 2 then cast(cast(o_totalprice as decimal(18,2)) as double) end as debit, cast(null as double) as balance
+  from orders join j on o_custkey = c_custkey join n using (o_custkey) where (c_custkey % 4 < 2 and not (near and gap <= 14 and dx < 2)) or (c_custkey % 4 = 2 and n >= 2)"""
