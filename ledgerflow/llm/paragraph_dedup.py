@@ -68,14 +68,20 @@ def _lines(piece: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, .
 
 
 def segment_starts(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """First words of the segments of texts with the word offsets ``bounds``; each text begins one."""
-    n = len(h)
-    pair = words.mix(h * _U(3) + np.append(h[1:], _U(0)))
+    """First words of the segments of texts with the word offsets ``bounds``; each text begins one.
+
+    Words are compared within their text only, so a text has the same segments whatever stands beside it in a batch."""
+    n, count = len(h), np.diff(bounds)
+    owner = np.repeat(np.arange(len(count)), count)
+    after = np.append(h[1:], _U(0))
+    after[bounds[1:][count > 0] - 1] = _U(0)
+    pair = words.mix(h * _U(3) + after)
     lower, run = np.ones(n, bool), np.zeros(n, bool)
     for k in range(1, REACH + 1):
-        lower[k:] &= pair[k:] < pair[:-k]
-        lower[:-k] &= pair[:-k] < pair[k:]
-    same = h[1:] == h[:-1]
+        apart = owner[k:] != owner[:-k]
+        lower[k:] &= (pair[k:] < pair[:-k]) | apart
+        lower[:-k] &= (pair[:-k] < pair[k:]) | apart
+    same = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
     run[1:-1] = ~same[:-1] & same[1:]  # a run of one word begins
     run[2:] |= same[:-1] & ~same[1:]  # or has ended
     starts = np.unique(np.concatenate([np.flatnonzero(lower | run), bounds[:-1][np.diff(bounds) > 0]]))

@@ -2,7 +2,10 @@
 
 import random
 
-from ledgerflow.llm.paragraph_dedup import PASSAGE, duplicate_paragraphs, duplicate_passages
+import numpy as np
+
+from ledgerflow.llm import words
+from ledgerflow.llm.paragraph_dedup import PASSAGE, duplicate_paragraphs, duplicate_passages, segment_starts
 from ledgerflow.llm.words import CHUNK_BYTES
 
 SCHEMA = "doc_id long, text string, node long, kept int, class_id string"
@@ -136,3 +139,21 @@ def test_very_long_text(spark):
     rows = [(1, long + " " + passage), (2, "a b c " + passage), (3, "nothing to see")]
     got = {r.doc_id: r.n_words for r in duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got) == {1, 2} and all(60 <= n <= 100 for n in got.values())
+
+
+def test_segments_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 30, size=rng.integers(0, 40)).astype(np.uint64) for _ in range(300)] + [np.full(200, 7, np.uint64)] * 2
+    alone = [segment_starts(words.mix(t), np.array([0, len(t)])).tolist() if len(t) else [] for t in texts]
+    for order in (range(len(texts)), reversed(range(len(texts)))):
+        order = list(order)
+        bounds = np.concatenate([[0], np.cumsum([len(texts[i]) for i in order])])
+        starts = segment_starts(words.mix(np.concatenate([texts[i] for i in order])), bounds)
+        for n, i in enumerate(order):
+            assert (starts[(starts >= bounds[n]) & (starts < bounds[n + 1])] - bounds[n]).tolist() == alone[i]
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = [sorted(map(tuple, duplicate_passages(d).collect())) for d in (docs, docs.repartition(7), docs.orderBy(docs.doc_id.desc()).coalesce(1))]
+    assert found[0] == found[1] == found[2] and found[0]
