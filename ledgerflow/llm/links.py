@@ -94,5 +94,5 @@ def confirmed_components(members: DataFrame, sets: DataFrame, percent: int) -> D
     rows = rows.select("node", "hashes", "family", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
     edges = cut(rows.mapInArrow(lambda batches: confirm(batches, percent), "a long, b long, whole boolean"))
-    single = edges.filter("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    single = edges.filter("whole").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()  # a set may come in repeated rows
     return single.unionByName(components(edges.filter("not whole")))

@@ -126,13 +126,15 @@ def row_hash() -> Column:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, with_row: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and if asked for ``row_hash``,
-    the ``row_hash`` of its id and text.
+    the ``row_hash`` of its id and text, and ``first``, whether its text stands for its component.
 
     Documents whose sets of distinct ``k``-word shingles have 100 * |intersection| >= percent * |union| are linked;
     ``component_id`` is the smallest doc_id a document reaches over links, ``kept`` whether that is itself.
     A null, empty or blank text has no shingles and links with nothing; fewer than ``k`` words are one shingle.  A null
-    doc_id links with nothing, has a null component and is kept.  Rows of one doc_id and one set are one document in two
-    rows, each of which is returned; other columns of ``docs`` are not read.  ``percent`` must be at least
+    doc_id links with nothing, has a null component and is kept.  What links are texts, not ids: rows of one doc_id with
+    different texts have each their own component, all of them are kept where it is their id, and one of them is ``first``.
+    Rows of one doc_id and one set are one document in two rows, each of which is returned.  A row stands by a hash of 64
+    bits of its id and text; other columns of ``docs`` are not read.  ``percent`` must be at least
     80: the signature index is built for similarities from there up to 1, and loses pairs below.  An empty table gives no rows.
     """
     if not 80 <= percent <= 100:
@@ -142,7 +144,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, with_row: bo
     classes = cut(
         summary.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("set_a", "set_b", F.col("n_shingles").alias("n"))
-        .agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature"))
+        .agg(F.min(F.struct("doc_id", "row_hash")).alias("least"), F.any_value("signature").alias("signature"))
+        .select("set_a", "set_b", "n", "signature", F.col("least.doc_id").alias("id"), F.col("least.row_hash").alias("node"))
     )
     keys = classes.select("node", "n", "signature").mapInArrow(_bucket_keys, "key long, n int, node long, near long, far int")
     loose = keys.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(lambda b: propose(b, percent), "a long, b long")
@@ -154,14 +157,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, with_row: bo
             batch = batch.filter(pa.array(inside(batch.column("p").to_numpy())))
             for i, j, sets, at in shingle_sets(batch.column("text"), k):
                 values = [sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(values, pa.binary())], ["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column("row_hash").slice(i, j - i), pa.array(values, pa.binary())], ["node", "hashes"])
 
-    sets = texts.filter("doc_id is not null").withColumn("p", filter_position(F.col("doc_id"))).mapInArrow(sets_of_members, "node long, hashes binary")
+    sets = texts.filter("doc_id is not null").withColumn("p", filter_position(F.col("row_hash"))).mapInArrow(sets_of_members, "node long, hashes binary")
     roots = cut(confirmed_components(members, sets, percent))
-    named = cut(classes.drop("signature").join(roots, "node", "left").select("set_a", "set_b", "n", F.coalesce("root", "node").alias("component")))
+    rooted = cut(classes.drop("signature").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    heads = rooted.groupBy("root").agg(F.min(F.struct("id", "node")).alias("head"))
+    named = cut(rooted.join(heads, "root").select("set_a", "set_b", "n", F.col("head.id").alias("component"), F.col("head.node").alias("head")))
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    first = F.coalesce(F.col("doc_id").isNull() | (F.col("row_hash") == F.col("head")), F.lit(True)).alias("first")
     return (
         summary.drop("signature")
         .join(named.withColumnRenamed("n", "n_shingles"), ["set_a", "set_b", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"), *["row_hash"] * with_row)
+        .select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"), *([] if not with_row else ["row_hash", first]))
     )

@@ -65,3 +65,20 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect())
     assert got == [(-1, None, True), (0, 0, True), (1, 0, False), (1, 0, False)]
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_several_texts_of_one_id(spark):
+    """Texts link, not ids: brute force over the texts, then the smallest id of each component."""
+    rng = random.Random(9)
+    rows = [(rng.randrange(60), t) for t in texts(5) if t and len(t) < 4000]
+    frame = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], SCHEMA).repartition(4)
+    by_text = brute(list(enumerate(t for _, t in rows)), 3, 85)
+    ids = {}
+    for n, (i, _) in enumerate(rows):
+        root = by_text[n][1]
+        ids[root] = min(ids.get(root, i), i)
+    want = sorted((i, by_text[n][0], ids[by_text[n][1]], i == ids[by_text[n][1]]) for n, (i, _) in enumerate(rows))
+    found = near_duplicates(frame, 3, 85, with_row=True).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == want
+    heads = {r.row_hash for r in found if r.first}
+    assert len(heads) == len(set(ids)) and all(r.kept for r in found if r.first)

@@ -81,3 +81,14 @@ def test_rows_of_one_id_and_edges(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, docs, str(tmp_path))
         assert got.columns == docs.columns and got.filter("doc_id = 5 and text is null").count() == 1
+
+
+def test_near_copies_of_one_id_take_no_other_text_with_them(spark, tmp_path):
+    import random
+
+    rng = random.Random(11)
+    text, other, alone = (" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(3))
+    rows = [(3, text), (5, text + " more"), (5, alone), (9, other), (9, other + " more"), (9, other + " again")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in rows], COLUMNS)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(i for i, _ in left) == [3, 5, 9] and (3, text) in left and (5, alone) in left
