@@ -26,13 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more.
+    """Keep one text of each group of near-duplicates, of the smallest doc_id: five-word shingles, Jaccard similarity 0.8 or more.
 
-    Rows stand or fall one by one, so of rows of one id with different texts only the duplicates go; of rows of one id
-    and text, null ids included, one stays.  Other rows of a null id and rows without words stay.  Columns of any other
+    Rows stand or fall one by one, so of rows of one id with different texts only the duplicates go, also those of each
+    other; of rows of one id and text, null ids included, one stays.  Other rows of a null id and rows without words stay.  Columns of any other
     name pass through; an empty table gives no rows.
     """
-    gone = minhash_dedup.near_duplicates(docs, k=5, percent=80, with_row=True).filter("not kept").select("row_hash").distinct()
+    gone = minhash_dedup.near_duplicates(docs, k=5, percent=80, with_row=True).filter("not first").select("row_hash").distinct()
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # no name of the table meets one used here
     row = F.xxhash64(F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}"))
