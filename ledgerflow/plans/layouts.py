@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.dialect import Dialect
-from ledgerflow.operators import regions, structure
+from ledgerflow.operators import regions, scanned, structure
 from ledgerflow.plans.adapters import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,3 +191,94 @@ ORACLE_SQL["statement_rows"] = f"""with j as (select *, not joined and gap betwe
     'ORDER K' || o_orderkey as description, case when c_custkey % 4 < 2 then cast(cast(o_totalprice as decimal(18,2)) as double) end as amount,
     case when c_custkey % 4 = 2 then cast(cast(o_totalprice as decimal(18,2)) as double) end as debit, cast(null as double) as balance
   from orders join j on o_custkey = c_custkey join n using (o_custkey) where (c_custkey % 4 < 2 and not (near and gap <= 14 and dx < 2)) or (c_custkey % 4 = 2 and n >= 2)"""
+
+# scanned pages: two passes of numbers, dates with marks around them, whole numbers beside decimal ones
+def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Words and numbers of one page for each customer: a header, and a region for each order."""
+    rows = _orders(spark, sf_dir).withColumn("y", F.expr("150 + line * 60.0D"))
+    amount, balance = "format_number(cast(o_totalprice as decimal(18,2)), 2)", "format_number(cast(o_totalprice * 3 as decimal(18,2)), 2)"
+    at, right = "(if(o_orderstatus = 'P', 400, 300) + o_orderkey * 37 % 61 - 30)", "(500 + o_orderkey * 29 % 41 - 20)"
+    day = "date_format(o_orderdate, 'dd/MM/yyyy')"
+    first = [(f"if(o_orderkey % 4 = 0, concat('|', {day}, ','), {day})", "20", "0", "1"), ("'ORDER'", "120", "-5", "0"), ("concat('K', o_orderkey)", "165", "8", "2"), (amount, at, "1", "1")]
+    first += [(f"if(o_orderkey % 3 <> 0, {balance}, null)", right, "1", "1"), ("if(o_orderkey % 7 = 0, '75', null)", f"{at} - 60", "2", "1")]
+    second = [(amount, f"{at} + 3", "2", "0"), (balance, f"{right} + 3", "2", "0")]
+
+    def words(tokens: list[tuple[str, str, str, str]]) -> DataFrame:
+        each = F.array(*[F.expr(f"struct({t} as text, cast({x} as double) as x0, cast({x} + 40 as double) as x1, y + {dy} as top, cast(10 + line * 3 + {n} as int) as line_)") for t, x, dy, n in tokens])
+        out = rows.select(F.expr("cast(o_custkey as string)").alias("doc_id"), F.lit(1).alias("page_number"), F.explode(each).alias("w")).select("doc_id", "page_number", "w.*").filter("text is not null")
+        return out.withColumnRenamed("line_", "line").withColumn("bottom", F.col("top") + 8).withColumn("block", F.lit(1)).withColumn("paragraph", F.lit(1))
+
+    head = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(x + 40)).alias("x1"), F.lit(150.0).alias("top"), F.lit(1).alias("line")) for t, x in (("Date", 20), ("Description", 120), ("Withdrawals", 300), ("Deposits", 400), ("Balance", 500))])
+    heads = rows.select(F.expr("cast(o_custkey as string)").alias("doc_id")).distinct().select("doc_id", F.lit(1).alias("page_number"), F.explode(head).alias("w")).select("doc_id", "page_number", "w.*")
+    heads = heads.withColumn("bottom", F.col("top") + 8).withColumn("block", F.lit(1)).withColumn("paragraph", F.lit(1))
+    return words(first).unionByName(heads), words(second)
+
+
+QUERIES["ocr_rows"] = lambda spark, sf_dir: scanned.scanned_rows(*_scanned(spark, sf_dir)).select(
+    "doc_id", "position", "transaction_date", "description", *(F.col(c).cast("double").alias(c) for c in ("debit", "credit", "balance"))
+)
+ORACLE_SQL["ocr_rows"] = """select cast(o_custkey as varchar) as doc_id, line as position, strftime(o_orderdate, '%d/%m/%Y') as transaction_date, 'ORDER K' || o_orderkey as description,
+    case when o_orderstatus <> 'P' then v end as debit, case when o_orderstatus = 'P' then v end as credit, cast(cast(o_totalprice * 3 as decimal(18,2)) as double) as balance
+  from (select *, cast(cast(o_totalprice as decimal(18,2)) as double) as v, row_number() over (partition by o_custkey order by o_orderkey) as line, count(*) over (partition by o_custkey) as n from orders) where n >= 2"""
+
+# balances printed now and then, some of them wrong; debits and credits missing or misread
+_SIGNED = "case when o_orderstatus = 'P' then cast(o_totalprice as decimal(18,2)) else -cast(o_totalprice as decimal(18,2)) end"
+
+
+def _statement(d: Dialect) -> list[tuple[str, str]]:
+    said = "cast(o_totalprice as decimal(18,2)) + case when o_orderkey % 11 = 0 then 7 else 0 end"
+    side = lambda test: f"cast(case when {test} and o_orderkey % 3 <> 0 then {said} end as decimal(18,2))"
+    running = f"1000000 + sum({_SIGNED}) over (partition by o_custkey order by o_orderkey rows unbounded preceding)"
+    return [
+        ("doc_id", f"cast(o_custkey as {'string' if d.spark else 'varchar'})"), ("page_number", "1"), ("position", "o_orderkey"),
+        ("description", "case o_orderkey % 5 when 0 then 'SALARY' when 1 then 'ATM' else 'shop' end"),
+        ("amount", "cast(case when o_orderkey % 6 = 0 then o_totalprice end as decimal(18,2))"), ("debit", side("o_orderstatus <> 'P'")), ("credit", side("o_orderstatus = 'P'")),
+        ("balance", f"cast(case when o_orderkey % 4 < 2 then {running} + case when o_orderkey % 13 = 0 then 50 else 0 end end as decimal(18,2))"),
+    ]
+
+
+QUERIES["reconcile_rows"] = lambda spark, sf_dir: scanned.reconcile_rows(scanned.carry_balances(table(spark, sf_dir, "orders").selectExpr(*(f"{e} as {n}" for n, e in _statement(S))))).select(
+    "doc_id", "position", *(F.col(c).cast("double").alias(c) for c in ("amount", "debit", "credit", "balance"))
+)
+
+
+def _reconcile_sql() -> str:
+    """Both passes row after row, as recursions over the rows of all statements."""
+    kind = "decimal(18,2)"
+    cast = lambda e, name: f"cast({e} as {kind}) as {name}"
+    move = "coalesce(-b.debit, b.credit)"
+    opening = "coalesce(b.debit, 0) = 0 and coalesce(b.credit, 0) = 0 and coalesce(b.amount, 0) = 0 and b.balance is not null and b.description = 'SALARY'"
+    worded = f"{move} is null and b.balance is null and b.amount is not null"
+    carried = f"case when {move} is not null and (b.balance is null or abs(b.balance - p.last - {move}) > 1) then p.last + {move} else b.balance end"
+    first_pass = ", ".join([
+        cast(f"case when p.last is not null and {worded} and b.description in ('SALARY', 'ATM') then null else b.amount end", "amount"),
+        cast(f"case when p.last is null then b.debit when {move} is null and b.balance < p.last then p.last - b.balance when {worded} and b.description = 'ATM' then b.amount else b.debit end", "debit"),
+        cast(f"case when p.last is null then case when {opening} then b.balance else b.credit end when {move} is null and b.balance > p.last then b.balance - p.last when {worded} and b.description = 'SALARY' then b.amount else b.credit end", "credit"),
+        cast(f"case when p.last is null then b.balance else {carried} end", "balance"), cast(f"case when p.last is null then b.balance else coalesce({carried}, p.last) end", "last"),
+    ])
+    both = "p.balance is not null and b.balance is not null"
+    shift = "(b.balance - p.balance)"
+    side = "case b.description when 'SALARY' then 'c' when 'ATM' then 'd' end"
+    off_d, off_c = f"{both} and b.debit is not null and abs(-b.debit - {shift}) > 1", f"{both} and b.debit is null and b.credit is not null and abs(b.credit - {shift}) > 1"
+    bare, derive = f"{both} and b.debit is null and b.credit is null", "p.balance is not null and b.balance is null"
+    words = f"{derive} and b.debit is null and b.credit is null and b.amount is not null"
+    new_d = f"case when {off_d} then case when {shift} < 0 then -{shift} end when ({off_c} or {bare}) and {shift} < 0 then -{shift} when {words} and {side} = 'd' then b.amount else b.debit end"
+    new_c = f"case when {off_d} and {shift} > 0 then {shift} when {off_c} then case when {shift} > 0 then {shift} end when {bare} and {shift} > 0 then {shift} when {words} and {side} = 'c' then b.amount else b.credit end"
+    second_pass = ", ".join([
+        cast(f"case when ({both} or ({words})) and coalesce({new_d}, {new_c}) is not null then null else b.amount end", "amount"), cast(new_d, "debit"), cast(new_c, "credit"),
+        cast(f"case when {derive} then p.balance + coalesce(-({new_d}), {new_c}) else b.balance end", "balance"),
+    ])
+    start = f"cast(null as {kind})"
+    return f"""
+    with recursive rows as (select {', '.join(f'{e} as {n}' for n, e in _statement(D))} from orders),
+      b as (select *, row_number() over (partition by doc_id order by position) as n from rows),
+      c as (select b.n, b.doc_id, b.position, b.description, {first_pass} from b, (select {start} as last) p where b.n = 1
+        union all select b.n, b.doc_id, b.position, b.description, {first_pass} from c p join b on b.doc_id = p.doc_id and b.n = p.n + 1),
+      r as (select b.n, b.doc_id, b.position, {second_pass} from c b, (select {start} as balance) p where b.n = 1
+        union all select b.n, b.doc_id, b.position, {second_pass} from r p join c b on b.doc_id = p.doc_id and b.n = p.n + 1)
+    select r.doc_id, r.position, cast(r.amount as double) as amount, cast(r.debit as double) as debit,
+      cast(case when r.n = 1 and r.debit is null and r.credit is null and r.balance is not null and b.description = 'SALARY' then r.balance else r.credit end as double) as credit, cast(r.balance as double) as balance
+    from r join b using (doc_id, position)"""
+
+
+ORACLE_SQL["reconcile_rows"] = _reconcile_sql()
