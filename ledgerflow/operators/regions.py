@@ -139,9 +139,9 @@ def parsed_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
     date_pairs = F.when(F.expr("size(dates) > size(date_cols)"), ordered_assignment("dates", "date_cols")).otherwise(in_turn)
     found = computed(found, pairs=ordered_assignment("numbers", "number_cols", FARTHEST), date_pairs=date_pairs)
     last = lambda pairs, cols, role: f"try_element_at(filter({pairs}, p -> get({cols}, p.k).role = '{role}'), -1)"
-    values = {f"_{role}": f"get(numbers, {last('pairs', 'number_cols', role)}.v)" for role in NUMBERS}
+    values = {f"_{role}": f"array(get(numbers, {last('pairs', 'number_cols', role)}.v))" for role in NUMBERS}
     found = computed(found, **values, **{role: f"get(dates, {last('date_pairs', 'date_cols', role)}.v).text" for role in DATES})
-    used = f"concat(flatten(transform(dates, d -> d.at)), array_compact(array({', '.join(f'_{r}.i' for r in NUMBERS)})))"
+    used = f"concat(flatten(transform(dates, d -> d.at)), array_compact(array({', '.join(f'try_element_at(_{r}, 1).i' for r in NUMBERS)})))"
     found = computed(found, used=used, id_at="array_min(transform(filter(cols, c -> c.role = 'transaction_id'), c -> c.c))")
     references = f"filter(ts, t -> not array_contains(used, t.i) and {rules.reference(S, 't.text')})"
     found = computed(found, id_i=f"case when id_at is not null then array_min(transform({references}, t -> named_struct('d', abs(t.c - id_at), 'i', t.i))).i end")
@@ -156,7 +156,7 @@ def parsed_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
         transaction_id="array_join(transform(ids, i -> get(ts, i).text), ' ')",
         filled=filled,
         date_columns="size(date_cols)",
-        **{r: _number(f"_{r}.text") for r in NUMBERS},
+        **{r: _number(f"try_element_at(_{r}, 1).text") for r in NUMBERS},
     )
     return found.select("doc_id", "page_number", "row", *DATES, "description", *NUMBERS, "transaction_id", "filled", "date_columns")
 

@@ -134,13 +134,13 @@ def scanned_rows(words: DataFrame, numbers: DataFrame) -> DataFrame:
     rows = computed(rows, pairs=pairs)
     taken = f"exists(acc, t -> t.i = p.i or t.role = p.role) or p.d > {FARTHEST}D or (p.role <> 'balance' and get(items, p.i).value = 0)"
     rows = computed(rows, placed=f"aggregate(pairs, cast(array() as array<struct<d: double, i: int, role: string>>), (acc, p) -> if({taken}, acc, concat(acc, array(p))))")
-    rightmost = "get(items, -array_max(transform(items, (c, i) -> struct(c.centre as c, -i as i))).i)"
+    rightmost = "array(get(items, -array_max(transform(items, (c, i) -> struct(c.centre as c, -i as i))).i))"
     rows = computed(rows, right=rightmost, **{f"_{r}": f"get(items, try_element_at(filter(placed, p -> p.role = '{r}'), 1).i).text" for r in MONEY})
     told = rf"trim(w.text) <> '' and not {rules.scanned_date(S, 'trim(w.text)')} and not ({rules.scanned_number(S, 'trim(w.text)')} and rlike({bare}, '^\\d')) and upper(trim(w.text)) not in ('DR', 'CR')"
     clean = "trim(BOTH '|[]{}' FROM trim(w.text))"
     story = f"array_join(filter(transform(filter(own, w -> {told}), w -> {clean}), t -> t <> '' and not rlike(t, '^\\\\d{{6,}}$')), ' ')"
     rows = computed(rows, story=f"trim(regexp_replace(regexp_replace({story}, '^\\\\d{{1,2}}-[A-Za-z]{{3,9}}-\\\\d{{2,4}}\\\\s*', ''), '\\\\s+', ' '))")
-    last = f"coalesce(_balance, case when abs(right.centre - cols['balance']) <= {FARTHEST}D then right.text end)"
+    last = f"coalesce(_balance, case when abs(try_element_at(right, 1).centre - cols['balance']) <= {FARTHEST}D then try_element_at(right, 1).text end)"
     texts = {"amount": "_amount", "debit": "_debit", "credit": "_credit", "balance": last}
     rows = computed(rows, told=description("story"), **{r: f"try_cast(replace({t}, ',', '') as decimal(18,2))" for r, t in texts.items()})
     totals = " or ".join(f"contains(upper(told), '{t}')" for t in TOTALS)

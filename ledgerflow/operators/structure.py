@@ -102,8 +102,8 @@ def header_bands(words: DataFrame) -> DataFrame:
         f"least(c.n * 0.12D, 0.60D) + if({has(_DATES)}, 0.40D, 0D) + if({has("('description')")}, 0.40D, 0D) + if({has(_AMOUNTS)}, 0.40D, 0D)"
         f" + if({has("('balance')")}, 0.20D, 0D) + if({has("('transaction_id')")}, 0.10D, 0D) + {mean} * 0.20D"
     )
-    pages = computed(pages, best=f"array_max(transform(bands, (c, i) -> named_struct('score', {score}, 'n', c.n, 'first', -i)))")
-    return pages.select(*_PAGE, F.expr("get(bands, -best.first).words").alias("band"), F.round("best.score", 4).alias("band_score"), F.expr(_date_places("ws")).alias("dates"))
+    pages = computed(pages, best=f"array(array_max(transform(bands, (c, i) -> named_struct('score', {score}, 'n', c.n, 'first', -i))))")
+    return pages.select(*_PAGE, F.expr("get(bands, -try_element_at(best, 1).first).words").alias("band"), F.expr("round(try_element_at(best, 1).score, 4)").alias("band_score"), F.expr(_date_places("ws")).alias("dates"))
 
 
 def stacked_headers(bands: DataFrame) -> DataFrame:

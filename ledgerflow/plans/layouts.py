@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.dialect import Dialect
-from ledgerflow.operators import regions, scanned, structure
+from ledgerflow.operators import generic_rows, regions, scanned, structure
 from ledgerflow.plans.adapters import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,3 +282,42 @@ def _reconcile_sql() -> str:
 
 
 ORACLE_SQL["reconcile_rows"] = _reconcile_sql()
+
+# generic_rows: dates whole, in three words or without a year (the page's year stands on it twice), one column of amounts
+def _generic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _printed(S)
+    at = lambda centre: (f"{centre} - 20", f"{centre} + 20")
+    part = lambda pattern, test: f"if({test}, date_format(o_orderdate, '{pattern}'), null)"
+    tokens = [
+        (part("dd/MM/yyyy", "o_orderkey % 3 = 0"), "20", "60"), (part("dd", "o_orderkey % 3 > 0"), "20", "30"), (part("MMM", "o_orderkey % 3 > 0"), "32", "45"), (part("yy", "o_orderkey % 3 = 1"), "47", "57"),
+        ("'ORDER'", "140", "180"), (t["reference"], "185", "215"), (t["stray"], *at("262")), (t["amount"], *at("(320 + (o_orderkey * 37) % 121 - 60)")), (t["balance"], *at(f"({BALANCE_CENTRE})")),
+    ]
+    years = [("cast(1990 + c_custkey % 10 as string)", "400", "430", "2"), ("'2024'", "300", "330", "2"), ("cast(1990 + c_custkey % 10 as string)", "400", "430", "4")]
+    return _words(_orders(spark, sf_dir), tokens, top="line * 12.0 + 20 + o_orderkey % 3").unionByName(_placed(_customers(spark, sf_dir), years, 1))
+
+
+def _generic_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [("transaction_date", 20.0, 60.0), ("description", 140.0, 180.0), ("amount", 300.0, 340.0), ("balance", 500.0, 540.0)]
+    each = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(a).alias("x0"), F.lit(b).alias("x1"), F.lit(6.0).alias("top")) for r, a, b in columns])
+    return _customers(spark, sf_dir).select(F.col("c_custkey").cast("string").alias("doc_id"), F.explode(each).alias("c")).select("doc_id", "c.*")
+
+
+QUERIES["generic_rows"] = lambda spark, sf_dir: generic_rows.generic_rows(_generic_words(spark, sf_dir), _generic_columns(spark, sf_dir)).select(
+    "doc_id", "transaction_date", "description", "amount", "balance"
+)
+
+
+def _generic_sql() -> str:
+    t = _printed(D)
+    number = lambda text, centre: f"case when {text} is not null then {{'c': cast({centre} as double), 't': {text}}} end"
+    rate = lambda low, high: f"abs(n.c - {(low + high) / 2}) - case when n.c between {low - 5} and {high + 5} then 1000 else 0 end"
+    first = lambda nums, low, high: f"list_sort([{{'d': {rate(low, high)}, 'c': n.c, 't': n.t}} for n in {nums}])[1]"
+    return f"""
+    with lines as (select cast(o_custkey as varchar) as doc_id, o_custkey, o_orderkey, o_orderdate, 'ORDER ' || {t['reference']} as description,
+        [x for x in [{number(t['stray'], '262')}, {number(t['amount'], '320 + (o_orderkey * 37) % 121 - 60')}, {number(t['balance'], BALANCE_CENTRE)}] if x is not null] as nums from orders),
+      a as (select *, {first('nums', 300, 340)} as amount from lines), b as (select *, [n for n in nums if not (n.c = amount.c and n.t = amount.t)] as others from a)
+    select doc_id, case o_orderkey % 3 when 0 then strftime(o_orderdate, '%d/%m/%Y') when 1 then strftime(o_orderdate, '%Y-%m-%d') else (1990 + o_custkey % 10) || strftime(o_orderdate, '-%m-%d') end as transaction_date,
+      description, amount.t as amount, {first('others', 500, 540)}.t as balance from b"""
+
+
+ORACLE_SQL["generic_rows"] = _generic_sql()
