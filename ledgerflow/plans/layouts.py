@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.dialect import Dialect
-from ledgerflow.operators import generic_rows, regions, scanned, structure
+from ledgerflow.operators import generic_rows, metadata, regions, scanned, structure
 from ledgerflow.plans.adapters import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -321,3 +321,42 @@ def _generic_sql() -> str:
 
 
 ORACLE_SQL["generic_rows"] = _generic_sql()
+
+# doc_metadata: the documents, and a statement of one to eight pages for each customer, each page with two of these lines
+STATEMENT_LINES = [
+    "Credit Card Statement", "Statement period: 01/02/2024 to 29/02/2024", "AED 5.00", "Amounts in rupees ₹ 1,00.00", "OPENING BALANCE: 1,234.50", "Transaction Date Description Amount",
+    "Savings Account statement of account", "Card Limit  Available Limit\n10,000.00 5,000.00 250.00 15/03/2024\n300.00 12.00 4,500.00", "Period 2023-01-01 to 2023-01-31", "Withdrawals Deposits Balance",
+    "USD and $ 7.25", "Post Date Trans Date Particulars", "reference no 7 on 01-02-2024", "Card Limit 5.00 6.00 7.00 1/1/24 8.00", "nothing to see", "Type of account: current", "EUR 12.00 EUR", "Transactions of the month",
+]
+
+
+def _metadata_pages(d: Dialect) -> str:
+    """(page_number, text) of a customer's pages."""
+    line = lambda key: d.item(d.array(map(d.text, [x.replace(chr(10), "@") for x in STATEMENT_LINES])), f"({key}) % {len(STATEMENT_LINES)} + 1")
+    text = f"replace(concat({line('c_custkey * 7 + n * 5')}, '@', {line('c_custkey + n * n')}), '@', {'chr(10)'})"
+    return f"select cast(c_custkey as {'string' if d.spark else 'varchar'}) as doc_id, cast(n as {'int' if d.spark else 'integer'}) as page_number, {text} as text from"
+
+
+def _statement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(1), (F.col("c_custkey") % 8 + 1).cast("int"))).alias("n"))
+    pages = people.selectExpr(*_metadata_pages(S).removeprefix("select ").removesuffix(" from").replace(" as doc_id, ", " as doc_id@@").replace(" as page_number, ", " as page_number@@").split("@@"))
+    documents = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), F.lit(1).alias("page_number"), "text")
+    return pages.unionByName(documents)
+
+
+def _metadata_sql() -> str:
+    """The same fields over the first six pages and over all, and a choice between them."""
+    nested = "pages"
+    for step in metadata.steps(D):
+        nested = f"(select *, {', '.join(f'{e} as {n}' for n, e in step.items())} from {nested})"
+    joined = lambda test: f"select doc_id, count(*) as read_pages, any_value(page_count) as page_count, string_agg(coalesce(text, ''), chr(10) order by page_number) as text from numbered where {test} group by doc_id"
+    fields = ", ".join(f"cast({f} as double) as {f}" if f == "confidence" else f for f in metadata.FIELDS)
+    return f"""with raw as ({_metadata_pages(D)} (select c_custkey, unnest(range(1, c_custkey % 8 + 2)) as n from customer) union all select 'd' || doc_id, 1, text from documents),
+      numbered as (select *, count(*) over (partition by doc_id) as page_count, row_number() over (partition by doc_id order by page_number) as r from raw),
+      pages as ({joined(f'r <= {metadata.FIRST_PAGES}')} union all {joined(f'page_count > {metadata.FIRST_PAGES}')}),
+      told as (select *, bool_or(read_pages < page_count and not ({metadata.OPEN})) over (partition by doc_id) as soon from {nested})
+    select doc_id, {fields} from told where (soon and read_pages < page_count) or (not soon and read_pages = page_count)"""
+
+
+QUERIES["doc_metadata"] = lambda spark, sf_dir: metadata.document_metadata(_statement_texts(spark, sf_dir))
+ORACLE_SQL["doc_metadata"] = _metadata_sql()
