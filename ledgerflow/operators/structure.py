@@ -39,6 +39,14 @@ ALIASES = {
 # Rows that are no transactions whatever they hold.
 NO_EVIDENCE = ["opening balance", "closing balance", "balance forward", "brought forward", "carried forward", "statement summary"]
 
+# Words that are one header together.
+PHRASES = [
+    "value date", "post date", "trxn. date", "txn date", "transaction date", "tran id", "transaction id", "account number", "opening balance", "closing balance", "current balance",
+    "available balance", "effective available balance", "minimum payment", "payment due", "due date",
+]
+#: Words of one header are no farther apart than this.
+CLOSE = 25.0
+
 _PAGE = ["doc_id", "page_number"]
 _DATES, _AMOUNTS = "('transaction_date', 'posting_date', 'value_date')", "('amount', 'debit', 'credit')"
 _COLUMN = "header string, role string, x0 double, x1 double, top double, confidence double"
@@ -227,3 +235,20 @@ def document_columns(words: DataFrame) -> DataFrame:
 def statement_rows(words: DataFrame) -> DataFrame:
     """Transactions of positioned words: columns from the document's best page, rows from all of its pages (ETL2)."""
     return ordered_rows(words, document_columns(words))
+
+
+def header_groups(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
+    """Words of each line that are one header together: doc_id, page_number, row, header, x0, x1, top, words (HDR9-12).
+
+    From left to right the longest phrase wins whose words are close; a word that begins none stands alone.  A line is what
+    lies within ``tolerance`` of its first word."""
+    close = lambda n: " and ".join(f"get(tokens, i + {k}).x0 - get(tokens, i + {k - 1}).x1 <= {CLOSE}D" for k in range(1, n))
+    named = lambda n: f"lower(array_join(transform(slice(tokens, i + 1, {n}), t -> t.text), ' ')) in ({', '.join(repr(p) for p in PHRASES if p.count(' ') == n - 1)})"
+    size = "case " + " ".join(f"when i + {n} <= size(tokens) and {named(n)} and {close(n)} then {n}" for n in (3, 2)) + " else 1 end"
+    rows = computed(physical_rows(words, tolerance, running_mean=False), sizes=f"transform(tokens, (t, i) -> {size})")
+    part = "slice(tokens, n.i + 1, n.size)"
+    step = "if(n.i < acc.next, acc, struct(n.i + n.size as next, concat(acc.found, array(n)) as found))"
+    none = "struct(0 as next, cast(array() as array<struct<i: int, size: int>>) as found)"
+    rows = computed(rows, found=f"aggregate(transform(sizes, (s, i) -> struct(i as i, s as size)), {none}, (acc, n) -> {step}, acc -> acc.found)")
+    group = f"struct(array_join(transform({part}, t -> t.text), ' ') as header, array_min(transform({part}, t -> t.x0)) as x0, array_max(transform({part}, t -> t.x1)) as x1, array_min(transform({part}, t -> t.top)) as top, n.size as words)"
+    return rows.select(*_PAGE, "row", F.expr(f"inline(transform(found, n -> {group}))"))

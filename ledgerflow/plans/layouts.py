@@ -11,7 +11,7 @@ from ledgerflow.functions.dialect import DUCKDB as D
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.dialect import Dialect
 from ledgerflow.operators import generic_rows, metadata, regions, scanned, structure
-from ledgerflow.plans.adapters import table
+from ledgerflow.plans.adapters import HEADERS, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -360,3 +360,33 @@ def _metadata_sql() -> str:
 
 QUERIES["doc_metadata"] = lambda spark, sf_dir: metadata.document_metadata(_statement_texts(spark, sf_dir))
 ORACLE_SQL["doc_metadata"] = _metadata_sql()
+
+# header_groups: every customer's header line, its words close to each other or not
+_HEADER_TEXTS = [" ".join(h.replace("|", " ").split()) for h in HEADERS] + ["Effective Available Balance Payment Due Date", "Value date Value Post Date Closing balance"]
+
+
+def _header_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = F.array(*map(F.lit, _HEADER_TEXTS))
+    rows = _customers(spark, sf_dir).withColumn("ws", F.split(texts[(F.col("c_custkey") % len(_HEADER_TEXTS)).cast("int")], " "))
+    gap = F.when(F.col("c_custkey") % 3 == 0, 26.0).otherwise(20.0)
+    words = rows.select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), gap.alias("gap"), F.posexplode("ws").alias("i", "text"))
+    left = 10.0 + F.col("i") * (30.0 + F.col("gap"))
+    return words.select("doc_id", "page_number", "text", left.alias("x0"), (left + 30.0).alias("x1"), (50.0 + F.col("i") % 2).alias("top"), F.lit(60.0).alias("bottom"))
+
+
+QUERIES["header_groups"] = lambda spark, sf_dir: structure.header_groups(_header_words(spark, sf_dir)).select("doc_id", "header", "x0", F.col("words").cast("long").alias("words"))
+
+
+def _header_groups_sql() -> str:
+    """Phrases are put in brackets, the leftmost and longest first; where words stand apart none is."""
+    longest = "|".join(sorted((p.replace(".", "\\.") for p in structure.PHRASES), key=lambda p: -p.count(" ")))
+    texts = D.array(map(D.text, _HEADER_TEXTS))
+    marked = f"regexp_replace(ws || ' ', '(?i)\\b({longest}) ', '<\\1>', 'g')"
+    return f"""with w as (select cast(c_custkey as varchar) as doc_id, c_custkey, list_extract({texts}, c_custkey % {len(_HEADER_TEXTS)} + 1) as ws from customer),
+      m as (select doc_id, c_custkey, case when c_custkey % 3 = 0 then ws || ' ' else {marked} end as marked from w),
+      g as (select doc_id, c_custkey, [replace(replace(p, '<', ''), '>', '') for p in regexp_extract_all(marked, '<[^>]*>|[^ <>]+')] as groups from m),
+      e as (select doc_id, c_custkey, unnest(groups) as header, generate_subscripts(groups, 1) as i, groups from g)
+    select doc_id, header, 10.0::double + (30 + case when c_custkey % 3 = 0 then 26 else 20 end) * coalesce(list_sum([len(string_split(x, ' ')) for x in groups[1:i - 1]]), 0) as x0, len(string_split(header, ' ')) as words from e"""
+
+
+ORACLE_SQL["header_groups"] = _header_groups_sql()

@@ -210,3 +210,42 @@ def test_value_dates_and_empty(spark):
     assert [(c.role, c.header, c.confidence) for c in st.value_dates(pages).collect()[0].columns] == [("value_date", "Value Date", 1.0), ("amount", "Value", 0.9), ("amount", "Amount", 0.9)]
     empty = spark.createDataFrame([(None, None, None, None, None, None, None), ("d", 1, " ", 1.0, 2.0, 3.0, 4.0)], WORDS)
     assert st.structure_pages(empty).count() == 0 and st.document_columns(empty).count() == 0
+
+
+def grouped(words):
+    rows = []
+    for w in sorted(words, key=lambda w: (w["top"], w["x0"])):
+        if rows and abs(w["top"] - rows[-1][0]["top"]) <= 4:
+            rows[-1].append(w)
+        else:
+            rows.append([w])
+    out = []
+    for n, row in enumerate(rows):
+        row, i = sorted(row, key=lambda w: w["x0"]), 0
+        while i < len(row):
+            size = 1
+            for k in (3, 2):
+                part = row[i : i + k]
+                if len(part) == k and " ".join(w["text"] for w in part).lower() in st.PHRASES and all(b["x0"] - a["x1"] <= 25 for a, b in zip(part, part[1:])):
+                    size = k
+                    break
+            part = row[i : i + size]
+            out.append((n, " ".join(w["text"] for w in part), part[0]["x0"], max(w["x1"] for w in part), min(w["top"] for w in part), size))
+            i += size
+    return sorted(out)
+
+
+def test_header_groups(spark):
+    rnd = random.Random(7)
+    pool = ["Value", "Date", "Effective", "Available", "Balance", "Payment", "Due", "Tran", "ID", "Opening", "Trxn.", "Minimum", "x"]
+    pages = {}
+    for n in range(150):
+        x, page = 0.0, []
+        for _ in range(rnd.randrange(1, 12)):
+            x += 20 + rnd.choice([5, 20, 25, 26])
+            page.append((rnd.choice(pool), x, x + 20, 30.0 + rnd.choice([0, 3, 5, 9])))
+        pages[f"d{n}", 1] = page
+    got = {}
+    for r in st.header_groups(as_frame(spark, pages)).collect():
+        got.setdefault(r.doc_id, []).append((r.row, r.header, r.x0, r.x1, r.top, r.words))
+    assert {d: sorted(v) for d, v in got.items()} == {d: grouped(words_of(page)) for (d, _), page in pages.items()}
