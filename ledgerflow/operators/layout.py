@@ -13,6 +13,7 @@ from ledgerflow.functions import classify, values
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.headers import PHRASES, exact_role
 from ledgerflow.functions.vocabulary import BANK_SIGNALS, CARD_SIGNALS
+from ledgerflow.operators.regions import physical_rows
 
 WORDS = "doc_id string, page_number int, text string, x0 double, x1 double, top double, bottom double"
 
@@ -22,20 +23,8 @@ def page_rows(words: DataFrame, tolerance: float = 4.0, running_mean: bool = Fal
     Words are taken from top to bottom; one joins the row at hand if it lies within ``tolerance`` of the row's first word
     (or, with ``running_mean``, of the mean of its words).  A chain of small gaps is therefore not one row.
     """
-    word = F.struct("top", "x0", "x1", "bottom", "text")
-    pages = words.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(word)).alias("ws"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("anchor"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("rows"))
-
-    def step(acc: Column, w: Column) -> Column:
-        same = F.coalesce(F.abs(w["top"] - acc["anchor"]) <= tolerance, F.lit(False))
-        row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
-        total, n = F.when(same, acc["sum"] + w["top"]).otherwise(w["top"]), F.when(same, acc["n"] + 1).otherwise(F.lit(1))
-        anchor = total / n if running_mean else F.when(same, acc["anchor"]).otherwise(w["top"])
-        return F.struct(row.alias("row"), anchor.alias("anchor"), total.alias("sum"), n.alias("n"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    rows = pages.select("doc_id", "page_number", "ws", F.aggregate("ws", start, step, lambda a: a["rows"]).alias("rows"))
-    each = rows.select("doc_id", "page_number", F.explode(F.arrays_zip("ws", "rows")).alias("w"))
-    return each.select("doc_id", "page_number", "w.ws.text", "w.ws.x0", "w.ws.x1", "w.ws.top", "w.ws.bottom", F.col("w.rows").alias("row"))
+    rows = physical_rows(words, tolerance, running_mean)
+    return rows.select("doc_id", "page_number", "row", F.explode("tokens").alias("w")).select("doc_id", "page_number", "w.text", "w.x0", "w.x1", "w.top", "w.bottom", "row")
 
 
 def row_texts(rows: DataFrame) -> DataFrame:

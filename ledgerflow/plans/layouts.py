@@ -390,3 +390,12 @@ def _header_groups_sql() -> str:
 
 
 ORACLE_SQL["header_groups"] = _header_groups_sql()
+
+
+def printed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word, and every two words in a row, of the customers' header lines and names, and of the parts' names."""
+    lines = _customers(spark, sf_dir).select(F.array(*map(F.lit, _HEADER_TEXTS))[(F.col("c_custkey") % len(_HEADER_TEXTS)).cast("int")].alias("line"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("line")).unionByName(table(spark, sf_dir, "part").select(F.col("p_type").alias("line")))
+    words = lines.unionByName(names).distinct().select(F.split("line", " ").alias("ws"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.array_join(F.slice("ws", i + 1, 2), " "))
+    return words.select(F.explode(F.concat("ws", pairs)).alias("header"))

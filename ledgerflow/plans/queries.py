@@ -393,13 +393,7 @@ _add("find_merchant", lambda spark, sf_dir: retrieval.find_merchants(ledger(spar
 
 
 
-def _headers(spark: SparkSession) -> DataFrame:
-    common = ["Date", "Value Date", "Particulars", "Tran ID", "Withdrawals", "Deposits", "Balance", "Post Date", "Trxn. Date", "Description", "Amount"]
-    spelt = ["Transaction Amounts", "Withdrawal (AED)", "Running Balances", "Posting Dat", "Credit Amnt", "Closing balance total", "Cheque", "Number", "Booking_Date", "Money  In", ""]
-    return spark.createDataFrame([(h,) for h in common + spelt], "header string")
-
-
-_add("header_map", lambda spark, sf_dir: headers.mapped(_headers(spark), memory.ratio))
+_add("header_map", lambda spark, sf_dir: headers.mapped(layouts.printed_headers(spark, sf_dir), memory.ratio))
 
 _SHAPES = [
     "{n}", "({n})", "{n}CR", "{n} DR", "|{n}|", "AED{n}", "{k}", "A{k}", "TFR", "{d}-08-2026", "{d}/AUG/26", "2026-0{d}-1", "Aug.", "{d}", "September", "{k}00000/X-1", "salary {n}", "payment to {k}",
@@ -518,13 +512,38 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _canonical_sql() -> str:
+    """The raw rows step by step: the statement's year, parsed values, merchant, direction, and what a row needs to stay."""
+    year = D.extracted("raw_date", r"(?:19|20)[0-9]{2}")
+    steps = [
+        "select statement_id, position, date_text as raw_date, cast(posting_date as varchar) as raw_posting, coalesce(nullif(trim(description_raw), ''), '') as description_raw, amount_text as amount,"
+        f" row_number() over (partition by statement_id order by position) as n, first_value(try_cast(nullif({year}, '') as integer) ignore nulls) over (partition by statement_id order by position"
+        " rows between unbounded preceding and unbounded following) as _year from (select *, date_text as raw_date from ledger)",
+        f"select *, {values.parsed_date(D, 'raw_date', '_year')} as _dated, {values.parsed_date(D, 'raw_posting', '_year')} as _posted, {values.signed_decimal(D, 'amount')} as _amount from s0",
+        *(f"select *, {expression} as {name} from s{i + 1}" for i, (name, expression) in enumerate(text.merchant_columns(D, "description_raw"))),
+    ]
+    last = f"s{len(steps) - 1}"
+    reward = f"coalesce({classify.transaction_type(D, 'description_raw', repr('debit'))} = 'cashback', false)"
+    spaced = "concat(' ', description_raw, ' ')"
+    steps.append(f"select *, case when {reward} or {values.marked_credit(D, 'amount')} then 'credit' else {classify.direction(D, spaced)} end as direction from {last}")
+    points = "50" + "".join(f" + case when nullif(trim({c}), '') is not null then {w} else 0 end" for c, w in (("raw_date", 10), ("raw_posting", 5), ("description_raw", 10), ("amount", 10)))
+    named = ", ".join(f"s{i} as ({step})" for i, step in enumerate(steps))
+    return (
+        f", {named} select statement_id, position, printf('TXN-%06d', n) as transaction_id, coalesce(_dated, _posted) as transaction_date, merchant_name as merchant, cast(abs(_amount) as double) as original_amount, direction,"
+        f" {classify.transaction_type(D, 'description_raw', 'direction')} as transaction_type, {classify.channel(D, 'description_raw')} as transaction_channel, round(cast({points} as double) / 100, 2) as extraction_confidence"
+        f" from s{len(steps) - 1} where coalesce(_dated, _posted) is not null and _amount is not null and description_raw <> '' and not {classify.is_metadata(D, 'description_raw')}"
+    )
+
+
 _add(
     "canonical_ledger",
     lambda spark, sf_dir: canonical.build_ledger(_raw(spark, sf_dir)).select(
         "statement_id", "position", "transaction_id", "transaction_date", "merchant", F.col("original_amount").cast("double").alias("original_amount"), "direction", "transaction_type", "transaction_channel",
         F.round("extraction_confidence", 2).alias("extraction_confidence"),
     ),
+    _canonical_sql(),
 )
+ORACLE_SQL["canonical_ledger"] = ORACLE_SQL["canonical_ledger"].replace(") , s0 as (", "), s0 as (", 1)
 _add(
     "taxonomy",
     lambda spark, sf_dir: spark.createDataFrame([(c, s) for c, subs in TAXONOMY.items() for s in subs], "category string, subcategory string"),
