@@ -34,8 +34,9 @@ PASSAGE = 3
 DROPPED = 0.4
 #: Most labelled rows per class that the model is fitted on, chosen by a hash of the id.
 TRAIN_ROWS = 2000
-#: Most bytes of a text in the fitting sample.
+#: About so many bytes of a text are in the fitting sample; of a longer one they are spread over its whole length.
 TRAIN_BYTES = 1 << 16
+WINDOWS = 64
 EPOCHS = 14
 _U = np.uint64
 
@@ -305,13 +306,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _spread(text: Column, most: int) -> Column:
+    """``text``, or where it is longer than ``most`` bytes, windows over its whole length, a blank between them."""
+    size, room = F.length(text), F.greatest(F.lit(1), F.floor(F.lit(most).cast("long") * F.length(text) / F.octet_length(text) / WINDOWS).cast("int"))
+    at = lambda k: (k.cast("long") * (size - room) / F.lit(WINDOWS - 1)).cast("int") + 1
+    windows = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring(text, at(k), room))
+    return F.when(F.octet_length(text) > most, F.array_join(windows, " ")).otherwise(text)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bytes_each: int = TRAIN_BYTES) -> Model:
     """Fit on at most ``rows`` labelled documents per class, never on those held out (crc32 of the id modulo 5 is 0).
 
     Labels with a null id or mark are ignored; of several marks of one document the larger counts, of several rows of one
     id the one with the least hash of its text.  Only the labels are ranked (by a hash of the id); the chosen ids, of
-    bounded number, are broadcast to fetch their texts.  A chosen text of more than ``bytes_each`` bytes is left out of the
-    fitting sample, so that the driver gets ``2 * rows * bytes_each`` bytes at most; scoring reads every text whole.
+    bounded number, are broadcast to fetch their texts.  Of a chosen text of more than ``bytes_each`` bytes, ``WINDOWS``
+    windows spread evenly from its start to its end take part, of ``bytes_each`` bytes together at its mean width of a
+    character, so the driver gets a bounded sample of texts of any length; scoring reads every text whole.
     An empty table or no label gives a constant score.
     """
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
@@ -320,8 +330,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bytes_each
     ids = [(r["doc_id"], r["toxic"]) for r in chosen.collect()]
     spark = docs.sparkSession
     small = spark.createDataFrame(ids, "doc_id long, toxic int")
-    texts = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= bytes_each)
-    found = texts.join(F.broadcast(small), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").withColumn("text", _spread(F.col("text"), bytes_each))
+    found = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return fit([r["text"] for r in found], [r["toxic"] for r in found])
 

@@ -1,6 +1,7 @@
 """Toxicity: held-out accuracy, whole texts, defined edges."""
 
 import os
+import random
 import zlib
 
 import numpy as np
@@ -73,7 +74,7 @@ def test_held_out_documents_of_the_test_tables(spark):
     known = docs.select("doc_id", "text").join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id")))
     got = toxicity.score(known, toxicity.train(docs, labels)).select("toxic", "toxicity").toPandas()
     flagged = got.toxicity >= 0.5
-    assert flagged[got.toxic == 1].mean() >= 0.8 and flagged[got.toxic == 0].mean() <= 0.05
+    assert flagged[got.toxic == 1].mean() >= 0.85 and flagged[got.toxic == 0].mean() <= 0.02
 
 
 def test_repeated_rows_and_long_texts(spark):
@@ -81,3 +82,24 @@ def test_repeated_rows_and_long_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 4)] + [(1, 0)], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert len(got) == 5 and len({r.toxicity for r in got if r.text == "bad word"}) == 1
+
+
+def test_long_labelled_texts_take_part(spark):
+    """All texts are longer than a fitting text may be; what they hold over their length still teaches the model."""
+    rng = random.Random(5)
+    clean = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(120):
+        words = [rng.choice(clean) for _ in range(3000)]
+        if i % 3 == 0:
+            words = [w if rng.random() < 0.9 else rng.choice(["vile", "scum", "filth"]) for w in words]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, marks, bytes_each=1 << 12)
+    fresh = spark.createDataFrame([(1, "w1 w2 w3 vile scum w4"), (2, "w1 w2 w3 w4 w5 w6")], "doc_id long, text string")
+    got = {r.doc_id: r.toxicity for r in toxicity.score(fresh, model).collect()}
+    assert got[1] > got[2] + 0.2
+    spread = docs.select(toxicity._spread(docs.text, 1 << 12).alias("s"), "text").collect()
+    assert all(len(r.s) <= (1 << 12) + 64 and r.s.startswith(r.text[:50]) and r.s.endswith(r.text[-50:]) for r in spread)
+    assert docs.limit(1).select(toxicity._spread(docs.text, 1 << 20).alias("s"), "text").collect()[0].s == rows[0][1]
