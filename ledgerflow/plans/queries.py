@@ -15,7 +15,7 @@ from ledgerflow.functions.vocabulary import BANK_SIGNALS, CARD_SIGNALS, ISSUES,
 from ledgerflow.operators import answers, canonical, layout, memory, metrics, report, retrieval, statement_pipeline, statements, text_structure, validate
 from ledgerflow.plans import layouts
 from ledgerflow.plans.adapters import BALANCE_SQL, COPIES_SQL, LEDGER_SQL, QUESTIONS, headed_pages, ledger, table, with_balance, with_copies
-from ledgerflow.sources.readers import web_pages
+from ledgerflow.sources import restore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -448,7 +448,6 @@ _add(
     f"select doc_id, {classify.signal_score(D, _PAGE_TEXT, CARD_SIGNALS)} as card_score, {classify.signal_score(D, _PAGE_TEXT, BANK_SIGNALS)} as bank_score, {classify.document_kind(D, _PAGE_TEXT)} as kind, {classify.currency(D, 'text')} as currency from documents",
     base=False,
 )
-_add("doc_metadata", lambda spark, sf_dir: layout.document_metadata(web_pages(spark, sf_dir)))
 _add(
     "metadata_rows",
     lambda spark, sf_dir: table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{classify.is_metadata(S, 'text')} as is_metadata"),
@@ -710,5 +709,29 @@ _add(
     base=False,
 )
 
+# restoring a backup
+def _backup_lines(rows: DataFrame) -> DataFrame:
+    """The ledger as JSON records: some cut off, some with a word for an amount, some without a statement."""
+    names = [n for n in (f.split()[0] for f in restore.LEDGER_JSON.split(", ")) if n in rows.columns]
+    whole = F.to_json(F.struct(*(F.expr(f"if(position % 23 = 0, null, {n})" if n == "statement_id" else n).alias(n) for n in names)))
+    worded = F.to_json(F.struct(*(F.lit("many").alias(n) if n == "original_amount" else F.col(n) for n in names)))
+    record = F.when(F.expr("position % 17 = 0"), F.expr("substring(r, 1, length(r) - 9)")).when(F.expr("position % 19 = 0"), worded).otherwise(F.col("r"))
+    return rows.withColumn("r", whole).select("position", record.alias("record"))
+
+
+_add(
+    "ledger_restore",
+    _on_ledger(lambda rows: restore.records(_backup_lines(rows)).select(
+        "position", "reason", *(F.expr(f"if(reason is null, {e}, null)").alias(n) for n, e in (("statement_id", "row.statement_id"), ("merchant", "row.merchant"), ("original_amount", "cast(row.original_amount as double)"), ("transaction_date", "row.transaction_date")))
+    )),
+    "select position, reason, case when reason is null then statement_id end as statement_id, case when reason is null then merchant end as merchant, case when reason is null then cast(original_amount as double) end as original_amount,"
+    " case when reason is null then transaction_date end as transaction_date from (select *, case when position % 17 = 0 or position % 19 = 0 then 'malformed' when position % 23 = 0 or original_amount is null then 'incomplete' end as reason from ledger)",
+)
+_add(
+    "restored_categories",
+    _on_ledger(lambda rows: restore.with_categories(rows).select("position", "category")),
+    f"select position, case when bool_or(coalesce(trim(category), '') = '') over (partition by statement_id) then {classify.rule_part(D, 'rule', 1)} else category end as category from ({_RULED})",
+)
+
 QUERIES |= layouts.QUERIES
 ORACLE_SQL |= layouts.ORACLE_SQL

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators.canonical import RAW_ROWS
 from ledgerflow.operators.layout import WORDS
-
-LEDGER_JSON = (
-    "statement_id string, position long, transaction_id string, transaction_date date, posting_date date, description_raw string, merchant string,"
-    " original_amount decimal(18,2), original_currency string, direction string, transaction_type string, category string, subcategory string, requires_review boolean"
-)
+from ledgerflow.sources.restore import backup_lines, restored
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -20,8 +16,8 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """A ledger backup; records that do not fit are left out (SNK2)."""
-    return spark.read.schema(LEDGER_JSON).option("mode", "DROPMALFORMED").json(path)
+    """A ledger backup; ``restore.rejected`` has the records that do not fit, and why (SNK2)."""
+    return restored(backup_lines(spark, path))
 
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:

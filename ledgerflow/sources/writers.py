@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.canonical import display_rows
-from ledgerflow.sources.readers import LEDGER_JSON
+from ledgerflow.sources.restore import LEDGER_JSON
 
 
 def backup(ledger: DataFrame, path: str) -> None:
