@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The phrases of a header and the field each names.
-FIELDS = {
-    "posting_date": ["Post Date", "Posting Date"],
-    "transaction_date": ["Transaction Date", "Trxn. Date", "Trxn Date", "Txn Date", "Trans Date", "Booking Date", "Entry Date", "Process Date", "Date"],
-    "value_date": ["Value Date", "Effective Date"],
+# The phrases of a header and the field each names; of phrases of one length the earlier one comes first.
+DATE_PHRASES = [
+    ("Post Date", "posting_date"), ("Posting Date", "posting_date"), ("Transaction Date", "transaction_date"), ("Trxn. Date", "transaction_date"), ("Trxn Date", "transaction_date"),
+    ("Txn Date", "transaction_date"), ("Trans Date", "transaction_date"), ("Value Date", "value_date"), ("Effective Date", "value_date"), ("Booking Date", "transaction_date"),
+    ("Entry Date", "transaction_date"), ("Process Date", "transaction_date"), ("Date", "transaction_date"),
+]
+OTHERS = {
     "description": [
         "Transaction Description", "Transaction Details", "Particulars", "Description", "Narration", "Details", "Remarks", "Merchant", "Payee",
         "Beneficiary", "Memo",
@@ -31,6 +33,7 @@ FIELDS = {
     ],
 }
 DATES = ("transaction_date", "posting_date", "value_date")
+FIELDS = {field: [name for name, of in DATE_PHRASES if of == field] for field in ("posting_date", "transaction_date", "value_date")} | OTHERS
 LINES = 4
 LEAST = 4
 
@@ -44,7 +47,8 @@ def phrase(name: str) -> str:
 
 def phrases() -> list[tuple[str, str]]:
     """(name, field), longest name first."""
-    return sorted(((name, field) for field, names in FIELDS.items() for name in names), key=lambda p: -len(p[0]))
+    others = [(name, field) for field, names in OTHERS.items() for name in names]
+    return sorted(DATE_PHRASES + others, key=lambda p: -len(p[0]))
 
 
 def pattern(names: list[str]) -> str:

@@ -34,3 +34,10 @@ def test_scores(spark):
     texts = ["Date", "Date Amount", "Post Date Date Details", "Value Date Debit", "credit-balance"]
     rows = header_windows(pages(spark, *([t] for t in texts))).collect()
     assert {r.lines[0]: r.score for r in rows} == {"Date": 1, "Date Amount": 5, "Post Date Date Details": 7, "Value Date Debit": 8, "credit-balance": 2}
+
+
+def test_dates_of_one_length_keep_their_order(spark):
+    """"Value Date" stands before "Entry Date" among the phrases, whatever the header's own order."""
+    row = structure(pages(spark, ["Entry Date Value Date Details Amount"])).collect()[0]
+    names = [c.name for c in row.columns if c.name.endswith("Date") and c.name != "Date"]
+    assert names == ["Value Date", "Entry Date"]
