@@ -2,6 +2,9 @@
 
 from difflib import SequenceMatcher
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from ledgerflow.functions import headers
 from ledgerflow.operators.memory import ratio
 
@@ -52,3 +55,18 @@ def test_one_header_at_a_time():
         role, confidence = expected(h)
         got = headers.role_of(h)
         assert got[0] == role and (role is None or abs(got[1] - confidence) < 1e-3), h
+
+
+def test_numbered_names_are_compared_once(spark):
+    """Characters that no phrase has are alike for a similarity, not for a header's words."""
+    names = [f"Customer#{i:06}" for i in range(300)] + ["Date 17 17", "Date 17 18", "Amount (9) due", "Amount (8) due", "Date \U0001f4c5\U0001f4c5", "Date ~~"]
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        compared.add(len(a))
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+
+    got = {r.header: (r.role, r.confidence) for r in headers.mapped(spark.createDataFrame([(n,) for n in names], "header string"), counted).collect()}
+    assert {n: (role, round(c, 3)) for n, (role, c) in got.items()} == {n: (role, round(c, 3)) for n in names for role, c in [expected(n)]}
+    assert compared.value <= 10 * sum(map(len, headers.PHRASES.values()))
