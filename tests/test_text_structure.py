@@ -41,3 +41,12 @@ def test_dates_of_one_length_keep_their_order(spark):
     row = structure(pages(spark, ["Entry Date Value Date Details Amount"])).collect()[0]
     names = [c.name for c in row.columns if c.name.endswith("Date") and c.name != "Date"]
     assert names == ["Value Date", "Entry Date"]
+
+
+def test_windows_stay_in_their_page(spark):
+    """Only a page's best window is sorted: no row is made of the others, whatever their number; the earliest best line wins."""
+    page = "\n".join(["filler"] * 50 + ["Date Details Amount", "filler"] * 3)
+    found = structure(pages(spark, [page, "Date Details Amount"], [None]))
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: (r.header_page, r.header_text) for r in found.collect()}
+    assert got == {"d0": (1, "filler | filler | filler | Date Details Amount"), "d1": (None, None)}
