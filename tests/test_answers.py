@@ -1,6 +1,7 @@
 """Answers in sentences against figures worked out in plain Python."""
 
 import datetime as dt
+from decimal import Decimal
 
 from ledgerflow.operators.answers import answered
 
@@ -59,3 +60,19 @@ def test_empty_ledger(spark):
     got = answers(spark, [], ", ".join(c for c in COLUMNS.split(", ") if not c.startswith(("notes", "account_holder"))))
     assert got["a"] == "This statement contains **0 transactions**, with **UNKNOWN 0.00 received** and **UNKNOWN 0.00 spent**. Net cash flow is **UNKNOWN 0.00**."
     assert got["e"] == "No transactions are currently marked for review." and "couldn't find" in got["c"] and "enough account-holder" in got["l"] and "enough category" in got["k"]
+
+
+def test_retrieval_reads_words_once(spark):
+    """Words of rows that no question has are never shuffled; scores are as worked out by hand."""
+    from ledgerflow.operators.retrieval import retrieve
+
+    row = lambda p, m, d, a, mw, dw: (p, m, d, a, mw, dw, ["food"], sorted({*mw, *dw, "food"}))
+    schema = "position long, merchant string, description string, amount decimal(18,2), merchant_words array<string>, description_words array<string>, category_words array<string>, words array<string>"
+    rows = [row(1, "Blue Cafe", "blue lunch", Decimal("9.00"), ["blue", "cafe"], ["blue", "lunch"]), row(2, "Unknown", "tea", Decimal("4.50"), [], ["tea"]), row(3, "Blue Cafe", "Unknown", Decimal("1.00"), ["blue", "cafe"], [])]
+    asked = spark.createDataFrame([(0, "blue cafe"), (1, "food for 4.50"), (2, "nothing")], "question_id int, question string")
+    found = retrieve(spark.createDataFrame(rows, schema), asked, limit=2)
+    got = {(r.question_id, r.rank): (r.position, r.score) for r in found.collect()}
+    # 6 + 1.5 for "blue", 6 for "cafe", 10 for the whole name; without the description 1.5 less
+    assert got == {(0, 1): (1, 23.5), (0, 2): (3, 22.0), (1, 1): (2, 10.0), (1, 2): (1, 4.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(keys" in plan and "Generate explode(words" not in plan and "Generate explode(merchant_words" not in plan
