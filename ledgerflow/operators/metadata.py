@@ -5,6 +5,8 @@ The first six pages are read; where they leave something open, all pages of the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +47,18 @@ TERMS = {
 DETAILS = ["particulars", "description", "transaction details", "transaction description", "merchant"]
 
 
+def needed(pattern: str) -> str:
+    """What a text in lower case holds wherever a currency's pattern matches: the pattern without its optional characters."""
+    return re.sub(r"\\(.)", r"\1", re.sub(r"(\\.|.)\?", "", pattern.replace(r"\b", ""))).lower()
+
+
 def steps(d: Dialect) -> list[dict[str, str]]:
     """Columns over ``text``, a document's pages with a line feed between them; each step may use those before it."""
     low = f"lower({d.replaced(f"replace(replace(text, '{chr(0xA0)}', ' '), '{chr(0x200B)}', '')", r'[ \t]+', ' ')})"
-    count = lambda pattern: f"{'regexp_count(text, ' + d.text('(?i)' + pattern) + ')' if d.spark else 'len(regexp_extract_all(text, ' + d.text('(?i)' + pattern) + '))'}"
+    # in Spark a pattern is tried only on texts that hold the letters it needs
+    where_held = lambda term, value, none="null": f"case when contains(low, {d.text(term)}) then {value} else {none} end" if d.spark else value
+    every = lambda pattern: f"regexp_count(text, {d.text('(?i)' + pattern)})" if d.spark else f"len(regexp_extract_all(text, {d.text('(?i)' + pattern)}))"
+    count = lambda pattern: where_held(needed(pattern), every(pattern), "0")
     kept = lambda terms: d.array(f"case when contains(low, {d.text(t)}) then {d.text(t)} end" for t in terms)
     found = kept(dict.fromkeys([*CARD_SIGNALS, *BANK_SIGNALS, *KEYWORDS]))
     score = lambda signals: " + ".join(f"case when contains(low, {d.text(t)}) then {w} else 0 end" for t, w in signals.items())
@@ -57,7 +67,7 @@ def steps(d: Dialect) -> list[dict[str, str]]:
     top = lambda column: d.first_case([(f"{column}_{c} = most_{column} and most_{column} > 0", f"'{c}'") for c in CURRENCIES])
     most = lambda column: "greatest(" + ", ".join(f"{column}_{c}" for c in CURRENCIES) + ")"
     of = lambda values: d.first_case([(f"currency = '{c}'", d.text(v)) for c, v in values.items()])
-    period = lambda i: f"coalesce({', '.join(f"nullif({d.extracted('text', p, i)}, '')" for p in PERIODS)})"
+    period = lambda i: f"coalesce({', '.join(f"nullif({where_held(term, d.extracted('text', p, i))}, '')" for p, term in zip(PERIODS, ('period', '20'), strict=True))})"
     money = lambda x: f"try_cast(replace({x}, ',', '') as double)"
     part = lambda i: f"nullif({d.extracted('summary', SUMMARY, i)}, '')"
     where = "instr(low, 'card limit')" if d.spark else "strpos(low, 'card limit')"
@@ -69,7 +79,7 @@ def steps(d: Dialect) -> list[dict[str, str]]:
         | {f"iso_{c}": count(rf"\b{c}\b") for c in CURRENCIES} | {f"any_{c}": " + ".join(map(count, patterns)) for c, patterns in CURRENCIES.items()}
         | {name: d.any_text("low", terms) for name, terms in TERMS.items()} | {"summary": f"case when {where} > 0 then substr(text, {where}, {WINDOW}) end"},
         {"most_iso": most("iso"), "most_any": most("any"), "statement_type": kind, "statement_start_date": period(1), "statement_end_date": period(2),
-         "date_format": d.first_case([(d.matches("text", p), f"'{name}'") for p, name in DATE_FORMATS]), "opening_balance": money(f"nullif({d.extracted('text', OPENING, 1)}, '')"),
+         "date_format": d.first_case([(d.matches("text", p), f"'{name}'") for p, name in DATE_FORMATS]), "opening_balance": money(f"nullif({where_held('opening', d.extracted('text', OPENING, 1))}, '')"),
          "rest": d.all_matches(d.extracted("summary", SUMMARY, 5), MONEY),
          "has_transaction_table": f"(has_transaction_date and {d.any_text('low', DETAILS)})",
          "keywords": f"array_compact({found})" if d.spark else f"[x for x in {found} if x is not null]"},

@@ -70,3 +70,17 @@ def test_iso_codes_beat_symbols(spark):
     frame = spark.createDataFrame([("d", 1, "$ $ $ 5 ₹ statement AED")], "doc_id string, page_number int, text string")
     row = m.document_metadata(frame).collect()[0]
     assert (row.currency, row.country, row.currency_symbol) == ("AED", "United Arab Emirates", "د.إ")
+
+
+def test_patterns_see_only_texts_that_can_match():
+    """Each count of a currency stands behind a search for the letters that its pattern needs."""
+    import re
+
+    from ledgerflow.functions.dialect import SPARK
+    from ledgerflow.operators.metadata import CURRENCIES, needed, steps
+
+    assert [needed(p) for p in CURRENCIES["AED"]] == ["aed", "dh", "dirham", "د.إ"] and needed(r"\bUS DOLLARS?\b") == "us dollar" and needed(r"\$") == "$"
+    for p in [p for ps in CURRENCIES.values() for p in ps]:
+        assert re.search(p, needed(p).upper()) or re.search(p, needed(p))
+    counts = " ".join(steps(SPARK)[1].values())
+    assert counts.count("regexp_count(") == len(re.findall(r"contains\(low, '[^']+'\) then regexp_count\(", counts)) > 0
