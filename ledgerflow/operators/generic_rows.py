@@ -14,7 +14,7 @@ from ledgerflow.functions import tokens as rules
 from ledgerflow.functions.columns import computed
 from ledgerflow.functions.dialect import SPARK as S
 from ledgerflow.functions.vocabulary import METADATA_TERMS
-from ledgerflow.operators.regions import DATES, IGNORED, NUMBERS, physical_rows
+from ledgerflow.operators.regions import DATES, IGNORED, NUMBERS, document_rows
 
 #: Parts of a date stand within this of each other; below each other, within these of the last one's lower end and the first one's centre.
 GAP, BELOW, CENTRE, TOLERANCE = 18.0, 14.0, 18.0, 4.0
@@ -42,7 +42,7 @@ def date_text(x: str) -> str:
     loose, short = r"^(\\d+) ([A-Za-z]+)\\.* (\\d+)$", r"^(\\d+) ([A-Za-z]+)\\.*$"
     year = lambda y, pivot: f"case when length({y}) = 4 then cast({y} as int) when cast({y} as int) > {pivot} then 1900 + cast({y} as int) else 2000 + cast({y} as int) end"
     iso = lambda y, m, d: f"date_format(try_cast(concat(lpad({y}, 4, '0'), '-', lpad({m}, 2, '0'), '-', lpad({d}, 2, '0')) as date), 'yyyy-MM-dd')"
-    strict = " or ".join(f"lower({part(named, 3)}) = '{m}'" for m in _MONTHS if m != "sept")
+    strict = f"lower({part(named, 3)}) in ({', '.join(repr(m) for m in _MONTHS if m != 'sept')})"
     late = f"case when length({part(loose, 3)}) > 4 then null when cast({part(loose, 3)} as int) <= 49 then 2000 + cast({part(loose, 3)} as int) when cast({part(loose, 3)} as int) < 100 then 1900 + cast({part(loose, 3)} as int) else cast({part(loose, 3)} as int) end"
     month = lambda pattern, i: _month(f"lower({part(pattern, i)})")
     day = f"case when length({part(short, 1)}) <= 9 then cast({part(short, 1)} as int) end"
@@ -52,7 +52,7 @@ def date_text(x: str) -> str:
         (f"rlike(d.n, '{turned}')", iso(part(turned, 1), part(turned, 3), part(turned, 4))),
     ]
     tried = f"coalesce({', '.join(f'case when {test} then {value} end' for test, value in cases)}, case when rlike(d.n, '{loose}') and {month(loose, 2)} is not null and try_cast({part(loose, 1)} as int) <= 31 then {iso(late, month(loose, 2), f'try_cast({part(loose, 1)} as int)')} end, case when rlike(d.n, '{short}') and {month(short, 2)} is not null and {day} between 1 and 31 then concat('0001-', lpad({month(short, 2)}, 2, '0'), '-', lpad({day}, 2, '0')) end)"
-    return f"get(transform(array(struct({n} as n)), d -> if(length(d.n) between 4 and 32, {tried}, null)), 0)"
+    return f"get(transform(array(struct({n} as n)), d -> if(length(d.n) between 4 and 32 and substring(d.n, 1, 1) between '0' and '9', {tried}, null)), 0)"  # every shape begins with a digit
 
 
 def _date_groups(rows: DataFrame) -> DataFrame:
@@ -61,10 +61,11 @@ def _date_groups(rows: DataFrame) -> DataFrame:
     Two parts are no date yet if a year follows them."""
     yearly = r"coalesce(rlike({0}, '^\\d{{2,4}}$') and (cast({0} as int) <= 99 or cast({0} as int) between 1900 and 2100), false)".format
     beside = lambda a, b: f"coalesce(abs(get(ts, i + {b}).top - t.top) <= {TOLERANCE}D and get(ts, i + {b}).x0 - get(ts, i + {a}).x1 <= {GAP}D, false)"
-    texts = "transform(array(2, 3, 4), k -> array_join(transform(slice(ts, i + 1, k), w -> w.text), ' '))"
-    starts = f"filter(transform(ts, (t, i) -> if(t.begins, struct(i as i, {beside(0, 1)} as a, {beside(1, 2)} as b, {beside(2, 3)} as c, {yearly('get(ts, i + 2).text')} as more, {texts} as texts), null)), s -> s is not null)"
-    rows = computed(rows, starts=starts)
-    read = f"transform(filter(starts, s -> s.a), s -> struct(s.i as i, s.b as b, s.b and s.c as c, s.more as more, transform(s.texts, x -> {date_text('x')}) as dates))"
+    texts = "transform(array(2, 3, 4), k -> array_join(slice(words, i + 1, k), ' '))"
+    rows = computed(rows, words="transform(ts, t -> t.text)")
+    starts = f"filter(transform(ts, (t, i) -> if(t.begins and {beside(0, 1)}, struct(i as i, {beside(0, 1)} as a, {beside(1, 2)} as b, {beside(2, 3)} as c, {yearly('get(ts, i + 2).text')} as more, {texts} as texts), null)), s -> s is not null)"
+    rows = computed(rows, starts=starts).drop("words")
+    read = f"transform(filter(starts, s -> s.a), s -> struct(s.i as i, s.b as b, s.b and s.c as c, s.more as more, transform(s.texts, (x, k) -> case when k = 0 or s.b and (k = 1 or s.c) then {date_text('x')} end) as dates))"
     rows = computed(rows, read=read)
     size = "case when get(s.dates, 0) is not null and not s.more then 2 when s.b and get(s.dates, 1) is not null then 3 when s.c and get(s.dates, 2) is not null then 4 end"
     rows = computed(rows, level=f"filter(transform(read, s -> struct({size} as n, s.i as i, s.dates as dates)), s -> s.n is not null)")
@@ -87,17 +88,27 @@ def _date_groups(rows: DataFrame) -> DataFrame:
     return computed(rows, groups=f"transform(array_distinct(concat({flat}, upright)), g -> {extent})")
 
 
+#: What a word may be by itself.
+_TESTS = {
+    "begins": lambda x: rules.date_start(S, x), "fragment": lambda x: rules.date_fragment(S, x), "date": lambda x: f"{date_text(x)} is not null", "number": lambda x: rules.amount(S, x),
+    "id": lambda x: rules.identifier(S, x), "tfr": lambda x: f"upper({x}) = 'TFR'", "ignored": lambda x: f"upper({x}) in {tuple(IGNORED)}",
+}
+
+
 def parsed_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Physical rows (doc_id, page_number, row, tokens) as raw rows, by the ``columns`` (doc_id, role, x0, x1) of their document.
 
     Values are texts: dates in several words as 'yyyy-mm-dd', others as printed."""
     column = F.struct("x0", "x1", "role", ((F.col("x0") + F.col("x1")) / 2).alias("c"))
-    by_doc = columns.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(column)).alias("cols"))
-    fields = (
-        "'text', t.text, 'i', i, 'x0', t.x0, 'x1', t.x1, 'c', (t.x0 + t.x1) / 2, 'top', t.top, 'bottom', t.bottom, 'begins',"
-        f" {rules.date_start(S, 't.text')}, 'fragment', {rules.date_fragment(S, 't.text')}, 'date', {date_text('t.text')} is not null, 'number', {rules.amount(S, 't.text')}, 'id', {rules.identifier(S, 't.text')}"
-    )
-    found = _date_groups(computed(rows, ts=f"transform(tokens, (t, i) -> named_struct({fields}))").drop("tokens")).join(by_doc, "doc_id")
+    by_doc = columns.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.sort_array(F.collect_list(column)).alias("cols"))
+    fields = "'text', t.text, 'i', i, 'x0', t.x0, 'x1', t.x1, 'c', (t.x0 + t.x1) / 2, 'top', t.top, 'bottom', t.bottom"
+    tests = ", ".join(f"'{name}', {test('t.text')}" for name, test in _TESTS.items())
+    return _parsed(computed(rows, ts=f"transform(tokens, (t, i) -> named_struct({fields}, {tests}))").drop("tokens").join(by_doc, "doc_id"))
+
+
+def _parsed(found: DataFrame) -> DataFrame:
+    """Rows with tested tokens ``ts`` and their document's columns ``cols`` as raw rows."""
+    found = _date_groups(found)
     of = lambda roles: f"filter(cols, c -> c.role in {roles})"
     group = "array_min(transform(filter(groups, g -> not arrays_overlap(g.at, acc.taken) and abs(g.c - c.c) <= {r}D), g -> struct(abs(g.c - c.c) as d, array_position(groups, g) as n, g.at as at, g.value as value)))".format(r=DATE_REACH)
     whole = "array_min(transform(filter(ts, t -> t.date and not array_contains(acc.used, t.i)), t -> struct(abs(t.c - c.c) as d, t.i as i, t.text as value)))"
@@ -108,10 +119,10 @@ def parsed_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
     )
     none = "struct(cast(array() as array<int>) as used, cast(array() as array<int>) as taken, cast(array() as array<struct<role: string, value: string>>) as found)"
     found = computed(found, dated=f"array(aggregate({of(DATES)}, {none}, (acc, c) -> {step}))")
-    near = "array_min(transform(filter(ts, t -> not array_contains(try_element_at(dated, 1).used, t.i) and (t.id or upper(t.text) = 'TFR')), t -> struct(abs(t.c - id_at) as d, t.i as i))).i"
+    near = "array_min(transform(filter(ts, t -> (t.id or t.tfr) and not array_contains(try_element_at(dated, 1).used, t.i)), t -> struct(abs(t.c - id_at) as d, t.i as i))).i"
     found = computed(found, id_at=f"get({of("('transaction_id')")}, 0).c")
     found = computed(found, id_i=f"if(id_at is null, null, {near})")
-    found = computed(found, ids="case when id_i is not null then if(upper(get(ts, id_i).text) = 'TFR' and coalesce(get(ts, id_i + 1).id, false), array(id_i, id_i + 1), array(id_i)) end")
+    found = computed(found, ids="case when id_i is not null then if(get(ts, id_i).tfr and coalesce(get(ts, id_i + 1).id, false), array(id_i, id_i + 1), array(id_i)) end")
     found = computed(found, transaction_id="case when size(ids) = 2 then concat('TFR ', get(ts, id_i + 1).text) else get(ts, id_i).text end", used="concat(try_element_at(dated, 1).used, coalesce(ids, array()))")
     found = computed(found, numbers="filter(ts, t -> t.number and not array_contains(used, t.i))", number_cols=of(NUMBERS))
     inside = f"(t.c >= c.x0 - {INSIDE}D and t.c <= c.x1 + {INSIDE}D)"
@@ -126,8 +137,8 @@ def parsed_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
     last = "get(ts, try_element_at(filter(placed, p -> get(number_cols, p.k).role = '{r}'), -1).i)".format
     found = computed(found, **{f"_{r}": f"array({last(r=r)})" for r in NUMBERS})
     taken = f"concat(used, array_compact(array({', '.join(f'try_element_at(_{r}, 1).i' for r in NUMBERS)})))"
-    left = f"filter(ts, t -> not array_contains({taken}, t.i) and upper(t.text) not in {tuple(IGNORED)} and not t.date and not t.number and not t.fragment and not (transaction_id is not null and (t.id or upper(t.text) = 'TFR')))"
-    story = f"if(exists(cols, c -> c.role = 'description'), nullif(array_join(transform({left}, t -> t.text), ' '), ''), null)"
+    left = f"array_except(transform(filter(ts, t -> not t.ignored and not t.date and not t.number and not t.fragment and not (transaction_id is not null and (t.id or t.tfr))), t -> t.i), {taken})"
+    story = f"if(exists(cols, c -> c.role = 'description'), nullif(array_join(transform({left}, i -> get(ts, i).text), ' '), ''), null)"
     dates = {r: f"try_element_at(filter(try_element_at(dated, 1).found, d -> d.role = '{r}'), -1).value" for r in DATES}
     found = computed(found, **dates, description=story, **{r: f"try_element_at(_{r}, 1).text" for r in NUMBERS})
     return found.select("doc_id", "page_number", "row", *DATES, "description", *NUMBERS, "transaction_id")
@@ -156,7 +167,6 @@ def generic_rows(words: DataFrame, columns: DataFrame) -> DataFrame:
     """Transactions of positioned words below their document's header, by its columns (doc_id, role, x0, x1, top) (LAY3).
 
     Rows go by the first word's top; a document without columns gives none."""
-    header = columns.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max("top").alias("_top"))
-    below = words.withColumn("doc_id", F.col("doc_id").cast("string")).join(header, "doc_id").filter(F.col("top") > F.col("_top") + HEADER).drop("_top")
-    rows = parsed_rows(physical_rows(below, TOLERANCE, running_mean=False), columns)
+    tests = {name: test("text") for name, test in _TESTS.items()}
+    rows = _parsed(document_rows(words, columns, tests, ["text", "i", "x0", "x1", "c", "top", "bottom"], TOLERANCE, running_mean=False, below=HEADER))
     return with_years(valid_rows(rows), words)

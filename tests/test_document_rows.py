@@ -2,6 +2,7 @@
 
 import pytest
 
+from ledgerflow.operators import generic_rows
 from ledgerflow.operators.regions import ordered_rows
 from ledgerflow.plans import layouts
 
@@ -31,3 +32,9 @@ def test_small_batches(spark, size):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert want and {int(r[0]) % 3 for r in want} == {1, 2}
+
+
+def test_generic_rows_join_years_alone(spark):
+    """Words were joined with their header, and rows with their columns, each in a shuffle of its own."""
+    plan = _plan(generic_rows.generic_rows(layouts._generic_words(spark, SF), layouts._generic_columns(spark, SF)))
+    assert sum("Join " in line for line in plan.splitlines()) == 1 and plan.count("MapInArrow") == 1
