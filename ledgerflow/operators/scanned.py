@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import tokens as rules
@@ -41,22 +41,38 @@ _PAGE = ["doc_id", "page_number"]
 _MAP = "map(" + ", ".join(f"'{a}', '{role}'" for role, names in ALIASES.items() for a in names) + ")"
 
 
-def lines(words: DataFrame) -> DataFrame:
-    """Lines of a page as recognised: line_text, top, words from left to right (OCR1)."""
-    word = F.struct(F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), "text")
-    out = words.groupBy(*_PAGE, "block", "paragraph", "line").agg(F.min("top").alias("top"), F.array_sort(F.collect_list(word)).alias("ws"))
-    return out.withColumn("line_text", F.trim(F.array_join(F.col("ws.text"), " "))).filter("line_text <> ''")
+def _lines(words: DataFrame) -> DataFrame:
+    """Words with ``n``, the number of their line on its page, and ``first``, that of the first line that begins with a date.
+
+    A line counts if it has a text; it lies at its highest word (OCR1).  Windows over a page's words, which are moved once,
+    so neither a line nor a page is held in one row; words are tested before they are moved."""
+    keys = [*_PAGE, "block", "paragraph", "line"]
+    token = F.regexp_extract(F.trim("text"), r"^\S+", 0)
+    words = words.select(
+        *keys, "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "x1", "top")), (F.coalesce(F.trim("text"), F.lit("")) != "").alias("says"),
+        F.when(_digits("text"), F.expr(rules.scanned_date(S, "trim(text)"))).alias("dated"),
+    )
+    line = Window.partitionBy(*keys)
+    # the line's text begins with the first word that is not blank
+    opens = F.first(F.when(F.col("says"), F.struct("text")), ignorenulls=True).over(line.orderBy("x0", "x1", "text").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))["text"]
+    moved = words.repartition(*_PAGE).withColumn("opens", opens).withColumn("line_top", F.min("top").over(line)).filter("opens is not null")
+    begins = F.coalesce(F.when(_digits("opens"), F.expr(rules.begins_with_date(S, "opens"))), F.lit(False))
+    placed = moved.withColumn("n", F.dense_rank().over(Window.partitionBy(*_PAGE).orderBy("line_top", "block", "paragraph", "line")))
+    return placed.withColumn("first", F.min(F.when(begins, F.col("n"))).over(Window.partitionBy(*_PAGE)))
 
 
-def columns(words: DataFrame) -> DataFrame:
-    """Centres of the columns of each page: doc_id, page_number, cols (role to centre) (OCR2, OCR11).
+def regions(words: DataFrame) -> DataFrame:
+    """The columns and regions of each page: doc_id, page_number, cols (role to centre), spans of (start, end) (OCR2-3, OCR11).
 
     Of the ``ABOVE`` lines before the first one that begins with a date, the one that names most fields, three at least, on
-    ties the lower.  A field may be one word or two or three in a row; the last mention counts."""
-    order = Window.partitionBy(*_PAGE).orderBy("top", "block", "paragraph", "line")
-    found = lines(words).withColumn("n", F.row_number().over(order)).withColumn("dated", F.expr(rules.begins_with_date(S, "line_text")))
-    found = found.withColumn("first", F.min(F.when(F.col("dated"), F.col("n"))).over(Window.partitionBy(*_PAGE)))
-    found = found.filter((F.col("n") < F.col("first")) & (F.col("n") >= F.col("first") - ABOVE))
+    ties the lower.  A field may be one word or two or three in a row; the last mention counts.
+    From top to bottom a date is an anchor if it lies below the last one by more than ``APART``; one without another
+    within ``ISOLATED`` is dropped.  A region reaches to the middles between its anchor and the next ones.  A page without
+    columns or dates has none."""
+    ahead = (F.col("n") < F.col("first")) & (F.col("n") >= F.col("first") - ABOVE)
+    dated = F.col("dated") & (F.col("top") >= HEAD)
+    kept = _lines(words).select(*_PAGE, F.when(ahead, F.col("n")).alias("n"), F.when(ahead, F.struct("x0", "x1", "text")).alias("word"), F.when(dated, F.col("top")).alias("at"))
+    found = kept.filter("n is not null or at is not null").groupBy(*_PAGE, "n").agg(F.array_sort(F.collect_list("word")).alias("ws"), F.collect_set("at").alias("tops"))
     found = computed(found, plain="transform(ws, w -> trim(regexp_replace(regexp_replace(lower(w.text), '[^a-z ]', ' '), ' +', ' ')))")
     one = f"transform(ws, (w, i) -> struct(try_element_at({_MAP}, get(plain, i)) as role, (w.x0 + w.x1) / 2 as centre))"
     text = "trim(array_join(slice(plain, i + 1, k), ' '))"
@@ -64,22 +80,19 @@ def columns(words: DataFrame) -> DataFrame:
     found = computed(found, named=f"filter(concat({one}, {several}), c -> c.role is not null)")
     roles = "array_distinct(transform(named, c -> c.role))"
     found = computed(found, cols=f"map_from_entries(transform({roles}, r -> struct(r as role, element_at(filter(named, c -> c.role = r), -1).centre as centre)))")
-    best = F.max_by("cols", F.struct(F.size("cols"), "n")).alias("cols")
-    return found.filter("size(cols) >= 3").groupBy(*_PAGE).agg(best)
-
-
-def anchors(words: DataFrame) -> DataFrame:
-    """The regions of each page, by the tops of its dates: spans of (start, end) (OCR3).
-
-    From top to bottom a date is an anchor if it lies below the last one by more than ``APART``; one without another
-    within ``ISOLATED`` is dropped.  A region reaches to the middles between its anchor and the next ones."""
-    dates = words.filter(F.expr(rules.scanned_date(S, "trim(text)")) & (F.col("top") >= HEAD)).groupBy(*_PAGE).agg(F.array_sort(F.collect_set(F.col("top").cast("double"))).alias("every"))
+    best = F.max_by("cols", F.when(F.size("cols") >= 3, F.struct(F.size("cols"), "n"))).alias("cols")
+    pages = found.groupBy(*_PAGE).agg(best, F.array_sort(F.array_distinct(F.flatten(F.collect_list("tops")))).alias("every")).filter("cols is not null")
     far = f"aggregate(every, cast(array() as array<double>), (acc, t) -> if(size(acc) = 0 or t - element_at(acc, -1) > {APART}D, concat(acc, array(t)), acc))"
-    dates = computed(dates, tops=far)
+    pages = computed(pages, tops=far)
     near = f"coalesce(t - get(tops, i - 1) <= {ISOLATED}D, false) or coalesce(get(tops, i + 1) - t <= {ISOLATED}D, false)"
-    dates = computed(dates, kept=f"filter(tops, (t, i) -> {near})")
+    pages = computed(pages, kept=f"filter(tops, (t, i) -> {near})")
     spans = f"transform(kept, (t, i) -> struct(coalesce((get(kept, i - 1) + t) / 2, t - {BEFORE}D) as start, coalesce((t + get(kept, i + 1)) / 2, t + {AFTER}D) as end))"
-    return computed(dates, spans=spans).filter("size(spans) > 0").select(*_PAGE, "spans")
+    return computed(pages, spans=spans).filter("size(spans) > 0").select(*_PAGE, "cols", "spans").dropna(subset=_PAGE)
+
+
+def _digits(x: str) -> Column:
+    """Whether a text holds a digit, as all dates and numbers do."""
+    return F.rlike(x, F.lit("[0-9]"))
 
 
 def _bare(x: str) -> str:
@@ -108,37 +121,45 @@ def scanned_rows(words: DataFrame, numbers: DataFrame) -> DataFrame:
     Numbers of both passes that are the same value in nearly the same place are one.  A whole number does not count beside
     a decimal one.  Numbers go to columns by the least distance of all pairs, then of those left.  A page without columns
     or dates gives no rows; totals are none."""
+    bare, digits = _bare("text"), "rlike(text, '[0-9]')"
+    date, number = (f"coalesce({digits} and {test(S, 'trim(text)')}, false)" for test in (rules.scanned_date, rules.scanned_number))
+    clean = "trim(BOTH '|[]{}' FROM trim(text))"
+    told = f"source = 0 and trim(text) <> '' and not dated and not (number and rlike({bare}, '^[0-9]')) and upper(trim(text)) not in ('DR', 'CR') and {clean} <> '' and not rlike({clean}, '^[0-9]{{6,}}$')"
+    # a word is tested where it stands alone, before words meet by region
     place = lambda df, source: df.select(*_PAGE, "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "x1", "top")), F.lit(source).alias("source"))
-    pages = columns(words).join(anchors(words), _PAGE)
-    placed = place(words, 0).unionByName(place(numbers, 1)).join(pages, _PAGE)
-    placed = computed(placed, region="array_position(transform(spans, s -> top >= s.start and top < s.end), true)").filter("region > 0")
-    word = F.struct("top", "x0", "x1", "source", "text")
-    rows = placed.groupBy(*_PAGE, "region").agg(F.array_sort(F.collect_list(word)).alias("ws"), F.any_value("cols").alias("cols"))
-    rows = computed(rows, own="filter(ws, w -> w.source = 0)")
+    placed = computed(place(words, 0).unionByName(place(numbers, 1)), dated=f"source = 0 and {date}", number=number)
+    placed = computed(placed, date=f"if(dated, {_bare_date('text')}, null)", bare=f"if(number, {bare}, null)", say=f"if({told}, {clean}, null)")
+    placed = computed(placed, value="try_cast(replace(bare, ',', '') as double)")
+    sound = "value is not null and not rlike(bare, '^((19|20|21)[0-9]{2}|[0-9]{6,})$')"
+    number = F.struct("bare", "value", F.expr("rlike(bare, '^[0-9]{1,4}$') and bare <> '0'").alias("short"), F.contains("bare", F.lit(".")).alias("point"))
+    placed = placed.select(*_PAGE, "top", "x0", "x1", "source", "text", "date", F.when(F.expr(sound), number).alias("number"), "say").filter("date is not null or number is not null or say is not null")
+    # regions travel with the words: each begins before the words at its start, and ends where the next one begins
+    spans = regions(words).select(*_PAGE, "cols", F.posexplode("spans").alias("i", "s")).select(*_PAGE, F.col("s.start").alias("top"), F.struct((F.col("i") + 1).alias("region"), "s.end").alias("span"), "cols")
+    both = placed.withColumn("word", F.lit(True)).unionByName(spans.withColumn("word", F.lit(False)), allowMissingColumns=True).repartition(*_PAGE)
+    placed = both.withColumn("span", F.last("span", ignorenulls=True).over(Window.partitionBy(*_PAGE).orderBy("top", "word").rowsBetween(Window.unboundedPreceding, 0)))
+    word = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("top", "x0", "x1", "source", "text", c))))
+    inside = placed.filter("top < span.end").withColumn("region", F.col("span.region"))
+    rows = inside.groupBy(*_PAGE, "region").agg(word("date").alias("dated"), word("number").alias("numeric"), word("say").alias("said"), F.any_value("cols", ignoreNulls=True).alias("cols")).filter("size(dated) > 0")
     by_x = "(a, b) -> case when a.x0 < b.x0 then -1 when a.x0 > b.x0 then 1 else 0 end"
-    rows = computed(rows, dates=f"transform(array_sort(filter(own, w -> {rules.scanned_date(S, 'trim(w.text)')}), {by_x}), w -> {_bare_date('w.text')})").filter("size(dates) > 0")
-    bare = _bare("w.text")
-    seen = f"transform(filter(ws, w -> {rules.scanned_number(S, 'trim(w.text)')}), w -> struct(w.top as top, (w.x0 + w.x1) / 2 as centre, w.source as source, {bare} as text, try_cast(replace({bare}, ',', '') as double) as value))"
-    rows = computed(rows, seen=seen, money=f"array_compact(transform(array{MONEY}, r -> cols[r]))")
-    near = f"exists(money, m -> abs(c.centre - m) <= {FARTHEST}D)"
-    sound = f"c.value is not null and not rlike(c.text, '^((19|20|21)\\\\d{{2}}|\\\\d{{6,}})$') and (not rlike(c.text, '^\\\\d{{1,4}}$') or c.text = '0' or {near})"
-    rows = computed(rows, found=f"filter(seen, c -> {sound})")
-    rows = computed(rows, exact=f"filter(found, c -> contains(c.text, '.') and {near})")
+    rows = computed(rows, dates=f"transform(array_sort(dated, {by_x}), w -> w.date)")
+    seen = "transform(numeric, w -> struct(w.top as top, (w.x0 + w.x1) / 2 as centre, w.source as source, w.number.bare as text, w.number.value as value, w.number.short as short, w.number.point as point))"
+    rows = computed(rows, seen=seen, money=f"filter(transform(array{MONEY}, r -> struct(r as role, cols[r] as centre)), m -> m.centre is not null)")
+    near = f"exists(money, m -> abs(c.centre - m.centre) <= {FARTHEST}D)"
+    rows = computed(rows, found=f"filter(seen, c -> not c.short or {near})")
+    rows = computed(rows, exact=f"filter(found, c -> c.point and {near})")
     beside = "exists(exact, e -> abs(e.top - c.top) <= 8 and abs(e.centre - c.centre) <= 100)"
     by_top = "(a, b) -> case when a.top < b.top then -1 when a.top > b.top then 1 when a.centre < b.centre then -1 when a.centre > b.centre then 1 when a.source < b.source then -1 when a.source > b.source then 1 else 0 end"
-    rows = computed(rows, left=f"array_sort(filter(found, c -> contains(c.text, '.') or not {beside}), {by_top})")
-    kind = "struct<top: double, centre: double, source: int, text: string, value: double>"
+    rows = computed(rows, left=f"array_sort(filter(found, c -> c.point or not {beside}), {by_top})")
+    kind = "struct<top: double, centre: double, source: int, text: string, value: double, short: boolean, point: boolean>"
     same = "exists(acc, e -> abs(c.centre - e.centre) < 8 and c.value = e.value and abs(c.top - e.top) < 12)"
     rows = computed(rows, items=f"aggregate(left, cast(array() as array<{kind}>), (acc, c) -> if({same}, acc, concat(acc, array(c))))")
-    pairs = f"array_sort(flatten(transform(items, (c, i) -> transform(filter(array{MONEY}, r -> cols[r] is not null), r -> struct(abs(c.centre - cols[r]) as d, i as i, r as role)))))"
+    pairs = f"array_sort(filter(flatten(transform(items, (c, i) -> transform(money, m -> struct(abs(c.centre - m.centre) as d, i as i, m.role as role)))), p -> not coalesce(p.d > {FARTHEST}D, false)))"
     rows = computed(rows, pairs=pairs)
-    taken = f"exists(acc, t -> t.i = p.i or t.role = p.role) or p.d > {FARTHEST}D or (p.role <> 'balance' and get(items, p.i).value = 0)"
+    taken = "exists(acc, t -> t.i = p.i or t.role = p.role) or (p.role <> 'balance' and get(items, p.i).value = 0)"
     rows = computed(rows, placed=f"aggregate(pairs, cast(array() as array<struct<d: double, i: int, role: string>>), (acc, p) -> if({taken}, acc, concat(acc, array(p))))")
     rightmost = "array(get(items, -array_max(transform(items, (c, i) -> struct(c.centre as c, -i as i))).i))"
     rows = computed(rows, right=rightmost, **{f"_{r}": f"get(items, try_element_at(filter(placed, p -> p.role = '{r}'), 1).i).text" for r in MONEY})
-    told = rf"trim(w.text) <> '' and not {rules.scanned_date(S, 'trim(w.text)')} and not ({rules.scanned_number(S, 'trim(w.text)')} and rlike({bare}, '^\\d')) and upper(trim(w.text)) not in ('DR', 'CR')"
-    clean = "trim(BOTH '|[]{}' FROM trim(w.text))"
-    story = f"array_join(filter(transform(filter(own, w -> {told}), w -> {clean}), t -> t <> '' and not rlike(t, '^\\\\d{{6,}}$')), ' ')"
+    story = "array_join(said.say, ' ')"
     rows = computed(rows, story=f"trim(regexp_replace(regexp_replace({story}, '^\\\\d{{1,2}}-[A-Za-z]{{3,9}}-\\\\d{{2,4}}\\\\s*', ''), '\\\\s+', ' '))")
     last = f"coalesce(_balance, case when abs(try_element_at(right, 1).centre - cols['balance']) <= {FARTHEST}D then try_element_at(right, 1).text end)"
     texts = {"amount": "_amount", "debit": "_debit", "credit": "_credit", "balance": last}

@@ -229,3 +229,22 @@ def test_regions_against_plain_loops(spark):
     assert not wrong, (len(wrong), wrong[:3])
     assert len(want) > 80
     assert scanned.scanned_statement(frame.limit(0), more).count() == 0
+
+
+def test_regions_travel_with_the_words(spark):
+    """Words were joined with the columns of their page, which Spark took for small and broadcast; two joins did it."""
+    words = spark.createDataFrame([], WORDS)
+    plan = scanned.scanned_rows(words, words)._jdf.queryExecution().analyzed().toString()
+    assert not [line for line in plan.splitlines() if "Join " in line]
+
+
+def test_words_outside_all_regions(spark):
+    """Words above the first region, below the last one, and on a page without a key are in none."""
+    put = lambda doc, text, x, top, line: (doc, 1, text, float(x), float(x + 40), float(top), None, 1, 1, line)
+    page = lambda doc: [
+        *(put(doc, t, x, 150, 1) for t, x in (("Date", 20), ("Details", 120), ("Debit", 300), ("Balance", 500))), put(doc, "ABOVE", 120, 269.9, 2),
+        *(put(doc, t, x, 300, 3) for t, x in (("01/02/2024", 20), ("Shop", 120), ("5.00", 300))), *(put(doc, t, x, 340, 4) for t, x in (("02/02/2024", 20), ("Cafe", 120), ("6.00", 300))), put(doc, "BELOW", 120, 470, 5),
+    ]
+    words = spark.createDataFrame(page("a") + page(None) + [put("b", "9.00", 300, 310, 1)], WORDS)
+    got = sorted((r.doc_id, r.position, r.description, r.debit) for r in scanned.scanned_rows(words, words.limit(0)).collect())
+    assert got == [("a", 1, "Shop", Decimal("5.00")), ("a", 2, "Cafe", Decimal("6.00"))]
