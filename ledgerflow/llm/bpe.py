@@ -29,35 +29,32 @@ def _byte_letters() -> list[str]:
 
 
 _LETTER = _byte_letters()
+_BLANK = _LETTER[32]
 
 
 class TextEncoder(dict):
     """Unit -> ids as little-endian uint32 bytes.  A plain key stands for a blank and the key; a key after ``\\x00`` for
     a line feed and the rest; one after ``\\x01`` for the rest as it is."""
 
-    def __init__(self, path: str, limit: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path)
-        self._model = self._encode.model
+        self._tokenize = self._encode.model.tokenize
         self._tails: dict[str, bytes] = {}
         self._special = [t.content for t in self._encode.get_added_tokens_decoder().values()]
         self._limit, self._longest = limit, longest
+        ids = np.arange(max(self._encode.get_vocab().values()) + 1, dtype=np.uint32).tobytes()
+        self._bytes_of = [ids[k : k + 4] for k in range(0, len(ids), 4)]
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._encode.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _word(self, before: str, word: str) -> bytes | None:
-        """Ids of a word of letters with closing punctuation: two pre-tokens, of which the model needs no splitting."""
-        stem = word.rstrip(_CLOSING)
-        if not stem.isalpha():
-            return None
-        text = before + stem
-        letters = text.replace(" ", _LETTER[32]) if text.isascii() else "".join([_LETTER[b] for b in text.encode()])
-        out = np.array([t.id for t in self._model.tokenize(letters)], np.uint32).tobytes()
-        tail = word[len(stem) :]
-        return out + self._tail(tail) if tail else out
+    def _letters(self, before: str, stem: str) -> bytes:
+        """Ids of letters after a blank or nothing: one pre-token, of which the model needs no splitting."""
+        letters = before.replace(" ", _BLANK) + stem if stem.isascii() else "".join([_LETTER[b] for b in (before + stem).encode()])
+        return b"".join([self._bytes_of[t.id] for t in self._tokenize(letters)])
 
     def _tail(self, tail: str) -> bytes:
         if tail not in self._tails:
@@ -69,13 +66,18 @@ class TextEncoder(dict):
 
     def __missing__(self, key: str) -> bytes:
         head = key[:1]
-        if head == "\x00":
-            word = self._word("", key[1:])
-            out = self._ids("\n" + key[1:]) if word is None else self._tail("\n") + word
-        elif head == "\x01":
-            out = self._word("", key[1:]) or self._ids(key[1:])
+        marked = head == "\x00" or head == "\x01"
+        word = key[1:] if marked else key
+        stem = word.rstrip(_CLOSING)
+        if not stem.isalpha():
+            out = self._ids(("" if head == "\x01" else "\n" if marked else " ") + word)
+        elif len(stem) < len(word):  # the stem's ids are mostly at hand
+            out = self[head + stem if marked else stem] + self._tail(word[len(stem) :])
+        elif marked:
+            out = self._letters("", stem)
+            out = self._tail("\n") + out if head == "\x00" else out
         else:
-            out = self._word(" ", key) or self._ids(" " + key)
+            out = self._letters(" ", stem)
         if len(self) < self._limit and len(key) <= self._longest:
             self[key] = out
         return out

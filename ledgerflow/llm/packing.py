@@ -100,17 +100,19 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[dict[int, l
     return plan, opened
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc_id", "piece"), lengths: DataFrame | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``pieces``, which have a ``length`` of 1 to ``capacity``.
 
     Two passes over the pieces: one counts lengths in shares (the driver receives at most capacity * SHARES counts), one
     numbers each share and looks the slots up.  Equal pieces, repeated rows included, get slots of their own; other
     columns are carried along (one that has the name of an added one is replaced); an empty table stays empty.
+    ``lengths`` has the same rows with ``length`` and ``order`` at least; where it is given the first pass reads it, so that
+    other columns are made or read only once.
     """
     pieces = pieces.drop("sequence_id", "offset")
     share = F.pmod(F.xxhash64(*order), F.lit(SHARES)).cast("int")
     dealt = pieces.withColumn("_pack_share", share)
-    counted = dealt.groupBy("length", "_pack_share").count().collect()
+    counted = (pieces if lengths is None else lengths).groupBy("length", share.alias("_pack_share")).count().collect()
     counts: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(SHARES, np.int64))
     for r in counted:
         counts[r["length"]][r["_pack_share"]] = r["count"]

@@ -58,12 +58,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pieces of ``docs`` with their places in sequences of 1024 tokens: the pieces' ids are written once, then only
-    lengths and digests travel."""
+    """Pieces of ``docs`` with their places in sequences of 1024 tokens: the pieces' ids are written once and read once, for
+    their digests; lengths are counted without them, and only lengths and digests travel."""
     path = table_path(spark, "pieces")
     packing.cut_pieces(docs, BYTE_BPE, end=2).write.options(**token_output.FILE_OPTIONS).parquet(path)
-    pieces = token_output.with_crc32(spark.read.schema(packing.PIECES).parquet(path))
-    return packing.pack(pieces)
+    files = spark.read.schema(packing.PIECES).parquet(path)
+    return packing.pack(token_output.with_crc32(files), lengths=files.select("doc_id", "piece", "length"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

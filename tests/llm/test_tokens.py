@@ -130,3 +130,33 @@ def test_packing_places_every_piece_once(spark, tokenizer):
         assert at <= 64
     assert len(sequences) == len(plain_best_fit([r.length for r in rows], 64))
     assert packing.pack(packing.cut_pieces(docs.limit(0), PATH, end=2)).count() == 0
+
+
+def test_a_word_before_closing_marks_is_encoded_once(tokenizer):
+    from ledgerflow.llm.bpe import TextEncoder
+
+    encoder = TextEncoder(PATH)
+    text = "zorbling zorbling. zorbling,, été! Über? x1. ...\nzorbling; \x0bzorbling: ﬁn. 日本!"
+    for part in (text, text.replace("\x0b", ""), "zorbling."):
+        assert np.frombuffer(encoder.encode(part), np.uint32).tolist() == tokenizer.encode(part, add_special_tokens=False).ids
+    encoder = TextEncoder(PATH)
+    asked, tokenize = [], encoder._tokenize
+    encoder._tokenize = lambda letters: asked.append(letters) or tokenize(letters)
+    encoder.encode("the zorbling, zorbling. zorbling! zorbling")
+    assert sum("zorbling" in a for a in asked) == 1
+
+
+def test_lengths_are_counted_without_the_ids(spark, tokenizer):
+    docs = frame(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pieces = packing.cut_pieces(docs, PATH, end=2, capacity=64).localCheckpoint()
+    packed = packing.pack(pieces.mapInArrow(seen, packing.PIECES), capacity=64, lengths=pieces.select("doc_id", "piece", "length"))
+    assert read.value == 0
+    places = lambda df: sorted((r.doc_id, r.piece, r.sequence_id, r.offset) for r in df.collect())
+    assert places(packed) == places(packing.pack(pieces, capacity=64))
