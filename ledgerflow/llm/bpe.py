@@ -36,7 +36,7 @@ class TextEncoder(dict):
     """Unit -> ids as little-endian uint32 bytes.  A plain key stands for a blank and the key; a key after ``\\x00`` for
     a line feed and the rest; one after ``\\x01`` for the rest as it is."""
 
-    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 690_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
