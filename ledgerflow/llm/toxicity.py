@@ -37,6 +37,8 @@ TRAIN_ROWS = 2000
 #: About so many bytes of a text are in the fitting sample; of a longer one they are spread over its whole length.
 TRAIN_BYTES = 1 << 16
 WINDOWS = 64
+#: Bytes of text whose n-grams the driver holds at a time when it fits.
+FIT_RUN = 1 << 16
 EPOCHS = 14
 _U = np.uint64
 
@@ -47,12 +49,12 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def word_grams(texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]]:
-    """For runs of texts: (first row, end row, for each n-gram length (bucket, word) of all n-grams, word offsets of the
+def word_grams(texts: pa.Array, run: int = 1 << 19) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]]:
+    """For runs of texts, of about ``run`` bytes: (first row, end row, for each n-gram length (bucket, word) of all n-grams, word offsets of the
     texts, hash of each word).  Words are runs of letters and digits, folded to lower case, and a word that repeats the
     one before it is left out; n-grams may include the blanks around a word, of which every word has one of length 3."""
     data, offsets = words.text_buffers(texts)
-    for i, j in words.runs(offsets, 1 << 19):
+    for i, j in words.runs(offsets, run):
         piece, at = _FOLD[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         hashes, start, end, bounds = words.hash_words(piece, at)
         if len(hashes):
@@ -158,32 +160,41 @@ class _Corpus:
 
 
 def _corpus(texts: list[str | None], y: np.ndarray) -> _Corpus | None:
-    hashes, gram_parts, counts = [], [], []
-    for _, _, found, bounds, h in word_grams(pa.array(texts, pa.large_string())):
+    """Short runs of texts one after the other, each giving the n-grams of words not met before, so the driver holds little
+    more than the result."""
+    hashes, counts, known, takes, grams = [], [], [], [], []
+    seen = np.zeros(0, np.uint64)
+    for _, _, found, bounds, h in word_grams(pa.array(texts, pa.large_string()), FIT_RUN):
+        hashes.append(h)
+        counts.append(np.diff(bounds))
+        if not len(h):
+            continue
         unique, where = np.unique(h, return_index=True)
-        owner = np.concatenate([o for _, o in found]) if found else np.zeros(0, np.int32)
+        if len(seen):
+            at = np.minimum(np.searchsorted(seen, unique), len(seen) - 1)
+            unique, where = unique[seen[at] != unique], where[seen[at] != unique]
+        owner = np.concatenate([o for _, o in found])
         order = np.argsort(owner, kind="stable")
-        bucket = np.concatenate([b for b, _ in found])[order] if found else owner
         word_at = np.searchsorted(owner[order], np.arange(len(h) + 1))
         take = np.diff(word_at)[where]
         index = np.repeat(word_at[where], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-        gram_parts.append((unique, take, bucket[index] if len(bucket) else bucket))
-        hashes.append(h)
-        counts.append(np.diff(bounds))
-    all_words = np.concatenate(hashes)
-    if not len(all_words):
+        known.append(unique)
+        takes.append(take)
+        grams.append(np.concatenate([b for b, _ in found])[order][index])
+        seen = np.insert(seen, np.searchsorted(seen, unique), unique)
+    if not len(seen):
         return None
-    vocabulary, text_word = np.unique(all_words, return_inverse=True)
-    size_of, grams_of = np.zeros(len(vocabulary), np.int64), [None] * len(vocabulary)
-    for unique, take, bucket in gram_parts:
-        at = np.searchsorted(vocabulary, unique)
-        ends = np.cumsum(take)
-        for v, a, b in zip(at, ends - take, ends, strict=True):
-            if grams_of[v] is None:
-                grams_of[v] = bucket[a:b]
-                size_of[v] = b - a
-    bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-    return _Corpus(y, text_word, bounds, np.concatenate(grams_of), np.concatenate([[0], np.cumsum(size_of)]))
+    # each run's words take their places among all words by hash
+    ats = [np.searchsorted(seen, unique) for unique in known]
+    size_of = np.zeros(len(seen), np.int64)
+    for at, take in zip(ats, takes, strict=True):
+        size_of[at] = take
+    gram_at = np.concatenate([[0], np.cumsum(size_of)])
+    all_grams = np.zeros(gram_at[-1], np.int32)
+    for at, take, part in zip(ats, takes, grams, strict=True):
+        all_grams[np.repeat(gram_at[at] - np.cumsum(take) + take, take) + np.arange(len(part))] = part
+    text_word = np.concatenate([np.searchsorted(seen, h) for h in hashes])
+    return _Corpus(y, text_word, np.concatenate([[0], np.cumsum(np.concatenate(counts))]), all_grams, gram_at)
 
 
 def _guess(corpus: _Corpus, texts: np.ndarray) -> np.ndarray:

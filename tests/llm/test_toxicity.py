@@ -103,3 +103,22 @@ def test_long_labelled_texts_take_part(spark):
     spread = docs.select(toxicity._spread(docs.text, 1 << 12).alias("s"), "text").collect()
     assert all(len(r.s) <= (1 << 12) + 64 and r.s.startswith(r.text[:50]) and r.s.endswith(r.text[-50:]) for r in spread)
     assert docs.limit(1).select(toxicity._spread(docs.text, 1 << 20).alias("s"), "text").collect()[0].s == rows[0][1]
+
+
+def test_the_driver_holds_few_n_grams_at_a_time(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    names = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 11))) for _ in range(4000)]
+    texts = [None, "", " ."] + [" ".join(rng.choice(names, 300)) for _ in range(600)]
+    y = np.arange(len(texts)) % 2
+    tracemalloc.start()
+    corpus = toxicity._corpus(texts, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20  # 93 MB with runs of 512 KiB that each kept all of their words, 11 MB now
+    monkeypatch.setattr(toxicity, "FIT_RUN", 1 << 30)
+    whole = toxicity._corpus(texts, y)
+    for name in ("text_word", "bounds", "grams", "gram_at"):
+        assert np.array_equal(getattr(corpus, name), getattr(whole, name))
+    assert toxicity._corpus([None, " "], y[:2]) is None
