@@ -15,7 +15,7 @@ from ledgerflow.functions import headers
 from ledgerflow.functions import tokens as rules
 from ledgerflow.functions.columns import computed
 from ledgerflow.functions.dialect import SPARK as S
-from ledgerflow.operators.regions import IGNORED, ordered_rows, physical_rows
+from ledgerflow.operators.regions import IGNORED, ordered_rows, physical_rows, placed_words
 
 #: Tops of a header band lie within this of the band's mean; stacked words within this of each other.
 BAND = 14.0
@@ -49,23 +49,28 @@ CLOSE = 25.0
 
 _PAGE = ["doc_id", "page_number"]
 _DATES, _AMOUNTS = "('transaction_date', 'posting_date', 'value_date')", "('amount', 'debit', 'credit')"
+_ENDS = r"(?U)^\s+|\s+$"
 _COLUMN = "header string, role string, x0 double, x1 double, top double, confidence double"
 _has = "exists({c}, c -> c.role in {r})".format
 
 
-def _speaks(text: Column) -> Column:
-    """Whether a text may map to a field: the similarity of a text without a signal word never suffices."""
+def _speaking(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose text may map to a field: the similarity of a text without a signal word never suffices.
+
+    Every phrase and signal word has two letters side by side, so most texts need no pattern; the plain text is made once."""
     signals = sorted({w for words in headers.SIGNALS.values() for w in words})
-    return headers.exact_role(text).isNotNull() | F.arrays_overlap(F.split(headers.plain(text), " "), F.array(*map(F.lit, signals)))
+    phrases = sorted({p.replace("_", " ") for ps in headers.PHRASES.values() for p in ps})
+    made = computed(df.filter(F.lower("text").rlike("[a-z]{2}")), _plain=headers.plain(F.regexp_replace("text", _ENDS, "")))
+    return made.filter(F.col("_plain").isin(*phrases) | F.exists(F.split("_plain", " "), lambda w: w.isin(*signals))).drop("_plain")
 
 
 def header_words(words: DataFrame) -> DataFrame:
     """The words of ``words`` that read as a header by themselves, with role and confidence (STR5)."""
     placed = words.select(
-        F.col("doc_id").cast("string").alias("doc_id"), F.col("page_number").cast("int").alias("page_number"), F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("text"),
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("page_number").cast("int").alias("page_number"), "text",
         *(F.col(c).cast("double").alias(c) for c in ("x0", "x1", "top")), F.coalesce("bottom", "top").cast("double").alias("bottom"),
     ).filter("x0 is not null and x1 is not null and top is not null")
-    may = placed.filter(_speaks(F.col("text")) & ~F.upper("text").isin(*IGNORED))
+    may = _speaking(placed).withColumn("text", F.regexp_replace("text", _ENDS, "")).filter(~F.upper("text").isin(*IGNORED))
     return may.withColumn("r", headers.header_roles(F.array("text"))[0]).select("*", "r.role", "r.confidence").drop("r").filter("role is not null")
 
 
@@ -160,12 +165,19 @@ def primary_pages(words: DataFrame) -> DataFrame:
     return rows.select(*_PAGE, F.col("cols").alias("columns"), "score", "dates")
 
 
-def fragmented_pages(words: DataFrame) -> DataFrame:
+def _pages_dates(words: DataFrame) -> DataFrame:
+    """The places of the words "Date" of each page that has one."""
+    dates = placed_words(words.filter(F.upper("text").contains("DATE"))).filter("upper(text) = 'DATE'")
+    return dates.groupBy(*_PAGE).agg(F.collect_list(F.expr("struct((x0 + x1) / 2 as centre, top as top)")).alias("dates"))
+
+
+def fragmented_pages(words: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """Pages with a table by a header in pieces: doc_id, page_number, columns, score, transaction_rows (STR4, STR12-16, STR19).
 
     Up to four rows in a row may be the header.  Words near a group's centre join it, a group's words together name a
     column, else its surest word does.  Two rows below it, or more, must have a date and a number; up to 100 count.  The
-    best score wins, then more such rows, more columns, the lower band."""
+    best score wins, then more such rows, more columns, the lower band.  ``every`` holds ``words`` and may hold other pages;
+    the places of the words "Date" are read from it."""
     rows = physical_rows(words)
     gate = F.exists("tokens", lambda t: F.lower(t["text"]).isin(*SIGNALS))
     no_row = " or ".join(f"contains(line, '{t}')" for t in NO_EVIDENCE)
@@ -174,10 +186,9 @@ def fragmented_pages(words: DataFrame) -> DataFrame:
     rows = rows.withColumn("counts", F.expr(f"dated and priced and not ({no_row})").cast("int"))
     rows = rows.withColumn("below", F.least(F.lit(100), F.coalesce(F.expr(f"sum(counts) over ({page} order by row rows between 1 following and unbounded following)"), F.lit(0))).cast("int"))
     rows = rows.withColumn("gate", F.expr(f"max(gate) over ({page}) and max(row) over ({page}) >= 2")).filter("gate")
-    places = F.flatten(F.collect_list(F.expr(_date_places("tokens")))).alias("dates")
     words_ = rows.select(*_PAGE, "row", "below", F.explode("tokens").alias("t")).select(*_PAGE, "row", "below", "t.*").filter(~F.upper("text").isin(*IGNORED, "/CR"))
     alias = lambda text: F.try_element_at(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv]), F.trim(F.regexp_replace(F.lower(F.replace(text, F.lit("/"), F.lit(" "))), r"\s+", " ")))
-    named = words_.withColumn("alias", alias(F.col("text"))).filter(_speaks(F.col("text")) | F.col("alias").isNotNull())
+    named = _speaking(words_).withColumn("alias", alias(F.col("text")))  # what has an alias speaks
     named = named.withColumn("r", headers.header_roles(F.array("text"))[0]).withColumn("role", F.coalesce("r.role", "alias"))
     named = named.withColumn("confidence", F.when(F.col("r.role").isNotNull(), F.col("r.confidence")).otherwise(0.90)).filter("role is not null")
     word = F.struct("x0", "top", "x1", "text", "role", "confidence")
@@ -204,7 +215,8 @@ def fragmented_pages(words: DataFrame) -> DataFrame:
     tables = tables.withColumn("score", F.expr("least(base * 0.65D + least(transaction_rows / 10D, 1D) * 0.35D, 1D)"))
     best = F.max(F.struct("score", "transaction_rows", F.size("cols").alias("n"), "first", "end", "cols")).alias("b")
     found = tables.groupBy(*_PAGE).agg(best).select(*_PAGE, F.col("b.cols").alias("columns"), "b.score", "b.transaction_rows")
-    return found.join(rows.groupBy(*_PAGE).agg(places), _PAGE)
+    dates = _pages_dates(words if every is None else every)
+    return found.filter("doc_id is not null and page_number is not null").join(dates, _PAGE, "left").withColumn("dates", F.coalesce("dates", F.array()))
 
 
 def structure_pages(words: DataFrame) -> DataFrame:
@@ -212,7 +224,7 @@ def structure_pages(words: DataFrame) -> DataFrame:
     the places of the page's words "Date" (STR2)."""
     sure = primary_pages(words).withColumn("fragmented", F.lit(False))
     rest = words.join(sure.select(*_PAGE), _PAGE, "left_anti")
-    other = fragmented_pages(rest).drop("transaction_rows").withColumn("fragmented", F.lit(True))
+    other = fragmented_pages(rest, words).drop("transaction_rows").withColumn("fragmented", F.lit(True))
     return sure.unionByName(other).withColumn("score", F.round("score", 4))
 
 
