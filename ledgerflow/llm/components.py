@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.runtime import cut
+from ledgerflow.llm.runtime import cut, remove, stored, table_path
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,10 +22,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def _cut_with_state(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """``edges`` materialised, and what two equal sets of links have in common; seen while they are written."""
+def _stored_with_state(edges: DataFrame, path: str) -> tuple[DataFrame, tuple]:
+    """``edges`` written to ``path``, and what two equal sets of links have in common; seen while they are written."""
     seen = Observation()
-    done = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+    done = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), path)
     state = seen.get
     return done, (state["n"], state["h"])
 
@@ -34,13 +34,17 @@ def components(edges: DataFrame, first: str = "a", second: str = "b", most: int
     """(node, root): for every node with a link to another node, the smallest node it reaches.
 
     Nulls and self-links are ignored; repeated links count once; no edges give an empty table.  Labels stay distributed.
+    The links of a round are removed when those of the next one stand.
     """
-    x, y = F.col(first), F.col(second)
-    current, seen = _cut_with_state(edges.filter(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
+    x, y, spark = F.col(first), F.col(second), edges.sparkSession
+    path = table_path(spark, "links")
+    current, seen = _stored_with_state(edges.filter(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), path)
     for _ in range(most):
         if not seen[0]:
             break
-        current, state = _cut_with_state(_star(cut(_star(current, large=True)), large=False))
+        old, path = path, table_path(spark, "links")
+        current, state = _stored_with_state(_star(cut(_star(current, large=True)), large=False), path)
+        remove(spark, old)
         if state == seen:
             break
         seen = state

@@ -237,7 +237,7 @@ def duplicate_paragraphs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlapping and adjoining paragraphs of a stream sorted by (row, kept, first_word) joined to passages."""
+    """Overlapping and adjoining paragraphs of a stream sorted by (row, kept, first_word, n_words, class_id) joined to passages."""
     for rows in rows_by_key(batches, ["row", "kept"]):
         rows = rows.combine_chunks()
         row, kept, first, count, class_id, owner = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("row", "kept", "first_word", "n_words", "class_id", "owner_doc_id"))
@@ -264,9 +264,10 @@ def duplicate_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     """One row per passage of ``least`` words or more of which all is in another document too.
 
     A passage joins the lines and segments, near-duplicates of those of another document, that overlap or adjoin.  Returns
-    doc_id, first_word (from 0), n_words, n_paragraphs (lines and segments joined), class_id (of the first of them),
-    owner_doc_id (the smallest doc_id of their classes) and kept: true for the passages that begin with this document,
-    false for the copies, which may be removed; the two are joined apart.  Words are as in ``words``.
+    doc_id, first_word (from 0), n_words, n_paragraphs (lines and segments joined), class_id (of the first of them; of those
+    that begin at one word the shortest, then the smallest class), owner_doc_id (the smallest doc_id of their classes) and
+    kept: true for the passages that begin with this document, false for the copies, which may be removed; the two are
+    joined apart.  Words are as in ``words``.
 
     Nulls, empty texts and null ids as in ``duplicate_paragraphs``; rows of one doc_id and text are returned once; an
     empty table gives no rows; other columns are not read.
@@ -274,5 +275,5 @@ def duplicate_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     texts = _texts(docs)
     found = _found(texts, _shared(texts, MIN_WORDS, True), MIN_WORDS, True)
     schema = "doc_id long, first_word int, n_words int, n_paragraphs int, class_id long, owner_doc_id long, kept boolean"
-    dealt = found.drop("paragraph").repartition("row").sortWithinPartitions("row", "kept", "first_word")
+    dealt = found.drop("paragraph").repartition("row").sortWithinPartitions("row", "kept", "first_word", "n_words", "class_id")
     return dealt.mapInArrow(_joined, schema).filter(F.col("n_words") >= least)

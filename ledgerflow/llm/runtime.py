@@ -40,6 +40,15 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/ledgerflow/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back, for loops of joins: what follows is planned by the size of the files.
+
+    A checkpoint keeps the size that Spark estimated before it, and a join multiplies those of its sides, so in a loop that
+    number itself grows, fourfold in length with each round, until the driver has neither time nor memory for it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that no later step reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
